@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from propensity.catalogue import Catalogue, default_catalogue, spark_type
 from propensity.functions.json import session_id as json_session_id
-from propensity.functions.time import as_timestamp, in_window, minus_days, seconds_between, whole_days
+from propensity.functions.time import (as_timestamp, in_window, micros_between, minus_days, seconds_between,
+                                      whole_days)
 
 PAGE_VIEW = "page_view"
 EMAIL_OPEN = "email_open"
@@ -119,8 +120,9 @@ def _level2(l1: DataFrame) -> DataFrame:
                  F.sum("eo_30d").alias("emails_opened_30d"),
                  F.sum("ec_30d").alias("emails_clicked_30d"),
                  F.avg(F.when(has_sess, F.col("n_rows"))).alias("avg_pages_per_session"),
-                 F.avg(F.when(has_sess, seconds_between(F.col("first_t"), F.col("last_t"))))
-                 .alias("avg_session_duration_seconds"),
+                 # exact integer microseconds summed, one division: order-independent result
+                 (F.sum(F.when(has_sess, micros_between(F.col("first_t"), F.col("last_t"))))
+                  / F.count("session_key") / F.lit(1e6)).alias("avg_session_duration_seconds"),
                  F.sum("pricing").alias("pricing_page_views"),
                  (F.sum("pricing") > 0).alias("viewed_pricing"),
                  (F.sum("demo") > 0).alias("requested_demo"),

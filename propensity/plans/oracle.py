@@ -120,12 +120,13 @@ FEATURE_AGG = """agg AS (
 ),
 sess AS (
   SELECT lead_id, session_id, count(*) AS n,
-         (epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 1e6 AS dur
+         epoch_us(max(occurred_at)) - epoch_us(min(occurred_at)) AS dur_us
   FROM pit WHERE event_type = 'page_view' AND session_id IS NOT NULL AND session_id <> ''
   GROUP BY lead_id, session_id
 ),
 sagg AS (
-  SELECT lead_id, count(*) AS ns, avg(n) AS app, avg(dur) AS asd FROM sess GROUP BY lead_id
+  SELECT lead_id, count(*) AS ns, avg(n) AS app,
+         CAST(sum(dur_us) AS DOUBLE) / count(*) / 1e6 AS asd FROM sess GROUP BY lead_id
 )"""
 
 FEATURE_COLUMNS = """
@@ -149,3 +150,23 @@ FEATURE_COLUMNS = """
     'unknown' AS job_title_seniority,
     coalesce(agg.vel, 0) AS engagement_velocity_7d,
     coalesce(agg.vel, 0) > 0 AS is_engagement_increasing"""
+
+REQUESTS = """req AS (
+  SELECT doc_id * 2 AS lead_id, doc_id AS position FROM labels
+  UNION ALL
+  SELECT doc_id * 2 AS lead_id, doc_id + 1000000 AS position FROM labels WHERE toxic = 1
+)"""
+
+LABELLED = f"""lat AS (SELECT lead_id, max(occurred_at) AS latest_event_at FROM ev GROUP BY lead_id),
+lab AS (
+  SELECT l.lead_id, l.converted,
+    CASE WHEN l.converted AND l.converted_at IS NOT NULL THEN l.converted_at - INTERVAL 1 DAY
+         ELSE least(l.created_at + INTERVAL 90 DAY, {NOW}, coalesce(lat.latest_event_at, {NOW})) END AS as_of
+  FROM leads l LEFT JOIN lat ON lat.lead_id = l.lead_id
+  WHERE l.converted IS NOT NULL AND NOT (l.converted AND l.converted_at IS NULL)
+)"""
+
+MODEL_FEATURE_LIST = """days_since_last_visit, days_since_last_email_open, days_since_first_touch,
+  total_pageviews_7d, total_pageviews_30d, total_sessions, emails_opened_30d, emails_clicked_30d,
+  avg_pages_per_session, avg_session_duration_seconds, pricing_page_views, engagement_velocity_7d,
+  viewed_pricing, requested_demo, downloaded_content, visited_competitor_comparison, is_engagement_increasing"""

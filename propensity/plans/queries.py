@@ -9,7 +9,11 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from propensity.catalogue import default_catalogue
+from propensity.operators import dataset as ds
 from propensity.operators import features as feat
+from propensity.operators import joins as jn
+from propensity.operators import windows as wn
 from propensity.plans import oracle as O
 from propensity.sources import tables as tb
 
@@ -41,3 +45,150 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = tb.leads_view(spark, sf_dir)
     events = tb.events_view(spark, sf_dir)
     return feat.feature_matrix(leads, events, as_of=tb.FIXTURE_NOW)
+
+
+def _fm_now_sql(select_cols: str) -> str:
+    return O.with_(O.EV, O.LEADS, f"pit AS (SELECT *, {O.NOW} AS as_of FROM ev WHERE occurred_at < {O.NOW})",
+                   O.FEATURE_AGG, f"""fm AS (
+  SELECT l.lead_id, {O.NOW} AS as_of, {O.FEATURE_COLUMNS}
+  FROM leads l LEFT JOIN agg ON agg.lead_id = l.lead_id LEFT JOIN sagg ON sagg.lead_id = l.lead_id)""") + \
+        f"SELECT {select_cols} FROM fm"
+
+
+# F1-F20: each catalogue feature on its own (Catalyst prunes the other aggregates).
+def _feature_query(name: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return q_feature_matrix(spark, sf_dir).select("lead_id", name)
+    q.__name__ = f"q_{name}"
+    return q
+
+
+for _f in default_catalogue.names():
+    register(_f, _fm_now_sql(f"lead_id, {_f}"))(_feature_query(_f))
+
+
+# ---------------------------------------------------------------------------
+# J2 / P1: point-in-time join with per-lead cut-offs; M1 training set with W1
+# ---------------------------------------------------------------------------
+
+def _labelled_with_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir)
+    return ds.with_as_of(ds.labelled(leads), tb.events_view(spark, sf_dir), tb.FIXTURE_NOW)
+
+
+@register("pit_join", O.with_(O.EV, O.LEADS, O.LABELLED) + """
+SELECT ev.lead_id, ev.event_id, ev.event_type, ev.occurred_at, lab.as_of
+FROM ev JOIN lab ON ev.lead_id = lab.lead_id AND ev.occurred_at < lab.as_of""")
+def q_pit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = _labelled_with_as_of(spark, sf_dir)
+    ev = tb.events_view(spark, sf_dir).select("lead_id", "event_id", "event_type", "occurred_at")
+    return feat.pit_join(lab, ev)
+
+
+@register("as_of_date", O.with_(O.EV, O.LEADS, O.LABELLED) + "SELECT lead_id, as_of FROM lab")
+def q_as_of_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled_with_as_of(spark, sf_dir).select("lead_id", "as_of")
+
+
+@register("training_dataset", O.with_(O.EV, O.LEADS, O.LABELLED,
+                                      "pit AS (SELECT ev.*, lab.as_of FROM ev JOIN lab ON ev.lead_id = lab.lead_id "
+                                      "AND ev.occurred_at < lab.as_of)", O.FEATURE_AGG, f"""fm AS (
+  SELECT lab.lead_id, lab.as_of, lab.converted, {O.FEATURE_COLUMNS}
+  FROM lab LEFT JOIN agg ON agg.lead_id = lab.lead_id LEFT JOIN sagg ON sagg.lead_id = lab.lead_id)""") + f"""
+SELECT lead_id, as_of, {O.MODEL_FEATURE_LIST}, converted,
+  CASE WHEN row_number() OVER (ORDER BY as_of, lead_id) <= floor(count(*) OVER () * 0.8)
+       THEN 'train' ELSE 'test' END AS split
+FROM fm""")
+def q_training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir)
+    events = tb.events_view(spark, sf_dir)
+    return ds.time_split(ds.labelled_features(leads, events, tb.FIXTURE_NOW))
+
+
+@register("labelled_leads", O.with_(O.EV, O.LEADS, O.LABELLED) + "SELECT lead_id, converted FROM lab")
+def q_labelled_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.labelled(tb.leads_view(spark, sf_dir)).select("lead_id", "converted")
+
+
+@register("label_rate", O.with_(O.EV, O.LEADS, O.LABELLED) +
+          "SELECT avg(CASE WHEN converted THEN 1.0 ELSE 0.0 END) AS label_rate FROM lab")
+def q_label_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.label_rate(ds.labelled(tb.leads_view(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Joins J1, J3, J4, S3; aggregations A1, A2
+# ---------------------------------------------------------------------------
+
+@register("lead_latest_event", O.with_(O.EV, O.LEADS) + """
+SELECT l.lead_id, m.latest_event_at FROM leads l
+LEFT JOIN (SELECT lead_id, max(occurred_at) AS latest_event_at FROM ev GROUP BY lead_id) m ON m.lead_id = l.lead_id""")
+def q_lead_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id")
+    return jn.with_latest_event(leads, tb.events_view(spark, sf_dir))
+
+
+@register("latest_event", O.with_(O.EV) +
+          "SELECT lead_id, max(occurred_at) AS latest_event_at FROM ev GROUP BY lead_id")
+def q_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jn.latest_event(tb.events_view(spark, sf_dir))
+
+
+@register("leads_without_events", O.with_(O.EV, O.LEADS) + """
+SELECT l.lead_id, l.external_id FROM leads l
+LEFT JOIN (SELECT DISTINCT lead_id FROM ev) e ON e.lead_id = l.lead_id WHERE e.lead_id IS NULL""")
+def q_leads_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id", "external_id")
+    return jn.without_events(leads, tb.events_view(spark, sf_dir))
+
+
+@register("missing_ids", O.with_(O.REQUESTS) + """
+SELECT r.lead_id, r.position FROM req r WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = r.lead_id)""")
+def q_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir)
+    return jn.missing_ids(tb.score_requests_view(spark, sf_dir), leads)
+
+
+@register("lookup_leads_by_ids", O.with_(O.EV, O.LEADS, O.REQUESTS) + """
+SELECT l.lead_id, l.external_id FROM leads l WHERE l.lead_id IN (SELECT lead_id FROM req)""")
+def q_lookup_leads_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id", "external_id")
+    return jn.lookup_by_ids(leads, tb.score_requests_view(spark, sf_dir))
+
+
+@register("session_rollup", O.with_(O.EV) + f"""
+SELECT lead_id, session_id, count(*) AS page_views,
+       (epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 1e6 AS duration_seconds
+FROM ev WHERE occurred_at < {O.NOW} AND event_type = 'page_view' AND session_id IS NOT NULL
+GROUP BY lead_id, session_id""")
+def q_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = feat.pit_filter(tb.events_view(spark, sf_dir), tb.FIXTURE_NOW)
+    return feat.session_rollup(ev)
+
+
+# ---------------------------------------------------------------------------
+# Windows W4, W6
+# ---------------------------------------------------------------------------
+
+@register("sessionize_6h", O.with_(O.EV) + """, f AS (
+  SELECT *, CASE WHEN event_type = 'page_view' AND NOT coalesce(
+      lag(event_type) OVER w = 'page_view'
+      AND epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) <= 21600000000, false) THEN 1 ELSE 0 END AS st
+  FROM ev WINDOW w AS (PARTITION BY lead_id ORDER BY occurred_at, event_id)
+)
+SELECT event_id, lead_id, event_type, occurred_at,
+  CASE WHEN event_type = 'page_view' THEN CAST(sum(st) OVER (PARTITION BY lead_id ORDER BY occurred_at, event_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS session_no
+FROM f""")
+def q_sessionize_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir).select("event_id", "lead_id", "event_type", "occurred_at")
+    return wn.sessionize(ev, gap_seconds=6 * 3600)
+
+
+@register("latest_event_per_lead", O.with_(O.EV) + """
+SELECT lead_id, event_id, event_type, occurred_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY occurred_at DESC, event_id DESC) AS rn FROM ev) x
+WHERE rn = 1""")
+def q_latest_event_per_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir).select("lead_id", "event_id", "event_type", "occurred_at")
+    return wn.latest_per_key(ev, "lead_id", "occurred_at", tie="event_id")

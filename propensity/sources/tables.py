@@ -165,3 +165,13 @@ def scored_holdout_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read_table(spark, sf_dir, "labels")
     p = (F.pmod(F.col("doc_id") * 37, F.lit(101)) + F.lit(0.5)) / F.lit(101.0)
     return lab.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"), p.alias("p"))
+
+
+def score_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested lead ids with their request position (some ids are unknown,
+    some requested twice): ``labels`` ids doubled, toxic ones repeated."""
+    lab = read_table(spark, sf_dir, "labels")
+    first = lab.select((F.col("doc_id") * 2).alias("lead_id"), F.col("doc_id").alias("position"))
+    again = lab.where(F.col("toxic") == 1).select((F.col("doc_id") * 2).alias("lead_id"),
+                                                  (F.col("doc_id") + 1_000_000).alias("position"))
+    return first.unionByName(again)
