@@ -170,3 +170,63 @@ MODEL_FEATURE_LIST = """days_since_last_visit, days_since_last_email_open, days_
   total_pageviews_7d, total_pageviews_30d, total_sessions, emails_opened_30d, emails_clicked_30d,
   avg_pages_per_session, avg_session_duration_seconds, pricing_page_views, engagement_velocity_7d,
   viewed_pricing, requested_demo, downloaded_content, visited_competitor_comparison, is_engagement_increasing"""
+
+
+# ---------------------------------------------------------------------------
+# Raw lead cleaning, generated per column
+# ---------------------------------------------------------------------------
+from propensity.constants import CSV_COLUMN_MAP, CSV_NA_TOKENS, NUMERIC_CSV_COLUMNS, YES_NO_CSV_COLUMNS  # noqa: E402
+from propensity.functions.cleaning import STRIP_PATTERN  # noqa: E402
+
+RAW_COLUMNS = ["Prospect ID", "Lead Number"] + [c for c, _ in CSV_COLUMN_MAP if c != "Prospect ID"]
+NUM_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def q(name: str) -> str:
+    return '"' + name + '"'
+
+
+def sql_number(x: str) -> str:
+    return (f"CASE WHEN regexp_full_match({x}, '{NUM_RE}') THEN TRY_CAST({x} AS DOUBLE) "
+            f"WHEN regexp_full_match(lower({x}), '[+-]?(inf|infinity)') "
+            f"THEN CASE WHEN starts_with({x}, '-') THEN -'Infinity'::DOUBLE ELSE 'Infinity'::DOUBLE END END")
+
+
+def clean_ctes() -> str:
+    tokens = ", ".join("'" + t + "'" for t in CSV_NA_TOKENS)
+    na = ",\n    ".join(f"CASE WHEN {q(c)} IN ({tokens}) THEN NULL ELSE {q(c)} END AS {q(c)}" for c in RAW_COLUMNS)
+    st = ",\n    ".join(f"regexp_replace({q(c)}, '{STRIP_PATTERN}', '', 'g') AS {q(c)}" for c in RAW_COLUMNS)
+    ph = ",\n    ".join(f"CASE WHEN lower({q(c)}) = 'select' OR {q(c)} = '' THEN NULL ELSE {q(c)} END AS {q(c)}"
+                        for c in RAW_COLUMNS)
+    typed = []
+    for src, dst in CSV_COLUMN_MAP:
+        if src in YES_NO_CSV_COLUMNS:
+            typed.append(f"coalesce({q(src)} = 'Yes', false) AS {dst}")
+        elif src == "Converted":
+            n = sql_number(q(src))
+            typed.append(f"CASE WHEN ({n}) = 1 THEN true WHEN ({n}) = 0 THEN false END AS {dst}")
+        elif src in NUMERIC_CSV_COLUMNS:
+            typed.append(f"{sql_number(q(src))} AS {dst}")
+        else:
+            typed.append(f"{q(src)} AS {dst}")
+    typed_s = ",\n    ".join(typed)
+    return raw_leads_cte() + f""",
+na AS (SELECT input_order,
+    {na}
+  FROM raw),
+st AS (SELECT input_order,
+    {st}
+  FROM na),
+ph AS (SELECT input_order,
+    {ph}
+  FROM st),
+cleaned AS (SELECT
+    {typed_s},
+    input_order
+  FROM ph),
+valid AS (SELECT *, 'kaggle' AS source_system FROM cleaned
+  WHERE external_id IS NOT NULL AND regexp_replace(external_id, '{STRIP_PATTERN}', '', 'g') <> ''),
+rejected AS (SELECT * FROM cleaned
+  WHERE NOT (external_id IS NOT NULL AND regexp_replace(external_id, '{STRIP_PATTERN}', '', 'g') <> '')),
+inserted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY input_order) AS rn
+  FROM valid) x WHERE rn = 1)"""

@@ -8,8 +8,12 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propensity.catalogue import default_catalogue
+from propensity.constants import CSV_COLUMN_MAP, NUMERIC_CSV_COLUMNS
+from propensity.operators import cleaning as cl
+from propensity.session import scratch_path
 from propensity.operators import dataset as ds
 from propensity.operators import features as feat
 from propensity.operators import joins as jn
@@ -192,3 +196,137 @@ WHERE rn = 1""")
 def q_latest_event_per_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tb.events_view(spark, sf_dir).select("lead_id", "event_id", "event_type", "occurred_at")
     return wn.latest_per_key(ev, "lead_id", "occurred_at", tie="event_id")
+
+
+# ---------------------------------------------------------------------------
+# Cleaning C1-C10, load S1/S4, summaries A3/A4
+# ---------------------------------------------------------------------------
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.na_tokens_to_null(tb.raw_leads_view(spark, sf_dir), exclude=("input_order",))
+
+
+_C = O.with_(O.clean_ctes())
+_SOME = ("City", "Lead Source", "Specialization", "Country")
+
+
+def _snake(c: str) -> str:
+    return dict(CSV_COLUMN_MAP)[c]
+
+
+@register("scan_csv_leads")
+def q_scan_csv_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "raw_leads_csv/" + sf_dir.strip("/").replace("/", "_"))
+    tb.write_csv(tb.raw_leads_view(spark, sf_dir), path)
+    df = tb.read_leads_csv(spark, path)
+    return df.select(F.col("input_order").cast("bigint").alias("input_order"),
+                     *[F.col(f"`{c}`").alias(_snake(c)) for c, _ in CSV_COLUMN_MAP])
+
+
+ORACLE["scan_csv_leads"] = _C + "SELECT input_order, " + ", ".join(
+    f'{O.q(c)} AS {d}' for c, d in CSV_COLUMN_MAP) + " FROM na"
+
+
+@register("strip_strings", _C + "SELECT input_order, " + ", ".join(f"{O.q(c)} AS {_snake(c)}" for c in _SOME) +
+          " FROM st")
+def q_strip_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.strip_strings(_raw(spark, sf_dir))
+    return df.select("input_order", *[F.col(f"`{c}`").alias(_snake(c)) for c in _SOME])
+
+
+@register("replace_placeholders", _C + "SELECT input_order, " + ", ".join(f"{O.q(c)} AS {_snake(c)}" for c in _SOME) +
+          " FROM ph")
+def q_replace_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.replace_placeholders(_raw(spark, sf_dir))
+    return df.select("input_order", *[F.col(f"`{c}`").alias(_snake(c)) for c in _SOME])
+
+
+@register("yes_no_to_bool", _C + "SELECT input_order, do_not_email, do_not_call FROM cleaned")
+def q_yes_no_to_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.convert_booleans(cl.replace_placeholders(_raw(spark, sf_dir)))
+    return df.select("input_order", F.col("`Do Not Email`").alias("do_not_email"),
+                     F.col("`Do Not Call`").alias("do_not_call"))
+
+
+@register("flag_to_nullable_bool", _C + "SELECT input_order, converted FROM cleaned")
+def q_flag_to_nullable_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.convert_booleans(cl.replace_placeholders(_raw(spark, sf_dir)))
+    return df.select("input_order", F.col("Converted").alias("converted"))
+
+
+@register("coerce_numerics", _C + "SELECT input_order, total_visits, total_time_spent, page_views_per_visit FROM cleaned")
+def q_coerce_numerics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.coerce_numerics(cl.replace_placeholders(_raw(spark, sf_dir)))
+    return df.select("input_order", *[F.col(f"`{c}`").alias(_snake(c)) for c in NUMERIC_CSV_COLUMNS])
+
+
+@register("rename_and_project", _C + "SELECT " + ", ".join(f"{O.q(c)} AS {d}" for c, d in CSV_COLUMN_MAP) +
+          ", input_order FROM na")
+def q_rename_and_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.rename_columns(_raw(spark, sf_dir), keep=["input_order"])
+
+
+@register("clean_leads", _C + "SELECT * FROM cleaned")
+def q_clean_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.clean_leads(_raw(spark, sf_dir))
+
+
+@register("validate_required", _C + """SELECT input_order, true AS is_valid FROM valid
+UNION ALL SELECT input_order, false AS is_valid FROM rejected""")
+def q_validate_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, rejected = cl.split_required(cl.clean_leads(_raw(spark, sf_dir)))
+    return (valid.select("input_order", F.lit(True).alias("is_valid"))
+            .unionByName(rejected.select("input_order", F.lit(False).alias("is_valid"))))
+
+
+@register("valid_leads", _C + "SELECT * EXCLUDE (source_system), source_system FROM valid")
+def q_valid_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    return valid
+
+
+@register("append_ignore_existing", _C + "SELECT external_id, input_order FROM inserted")
+def q_append_ignore_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    return cl.rows_to_insert(None, valid).select("external_id", "input_order")
+
+
+def _load(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
+    raw = tb.raw_leads_view(spark, sf_dir)
+    valid, rejected = cl.prepare_load(raw)
+    first = cl.rows_to_insert(None, valid)
+    if not second:
+        return cl.load_summary(raw, valid, rejected, first)
+    return cl.load_summary(raw, valid, rejected, cl.rows_to_insert(first, valid))
+
+
+_SUMMARY = """SELECT (SELECT count(*) FROM raw) AS total_read,
+  (SELECT count(*) FROM rejected) AS total_rejected,
+  (SELECT count(*) FROM valid) - {ins} AS total_skipped,
+  {ins} AS total_inserted,
+  CASE WHEN (SELECT count(*) FROM valid) > 0 THEN round_even(
+    (SELECT count(*) FILTER (WHERE converted) FROM valid) / (SELECT count(*) FROM valid) * 100.0, 1)
+    ELSE 0.0 END AS conversion_rate"""
+
+
+@register("load_summary", _C + _SUMMARY.format(ins="(SELECT count(*) FROM inserted)"))
+def q_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _load(spark, sf_dir, second=False)
+
+
+@register("reload_summary", _C + _SUMMARY.format(ins="0"))
+def q_reload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _load(spark, sf_dir, second=True)
+
+
+def _null_pct_sql(cols: list[str], src: str) -> str:
+    parts = [f"SELECT '{c}' AS column_name, CASE WHEN count(*) > 0 THEN round_even("
+             f"count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100.0, 1) ELSE 0.0 END AS null_pct FROM {src}"
+             for c in cols]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("null_percentages", _C + _null_pct_sql([d for _, d in CSV_COLUMN_MAP], "valid"))
+def q_null_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    return cl.null_percentages(valid.drop("input_order"))

@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: tuple, index: Column) -> Column:
     """``values[index]`` for a 0-based integer Column (NULL index -> NULL)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,3 +175,19 @@ def score_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = lab.where(F.col("toxic") == 1).select((F.col("doc_id") * 2).alias("lead_id"),
                                                   (F.col("doc_id") + 1_000_000).alias("position"))
     return first.unionByName(again)
+
+
+def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw lead CSV with a header: every column read as a string (no inference),
+    padding kept, then the reader's missing-value tokens turned into NULL."""
+    from propensity.operators.cleaning import na_tokens_to_null
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .option("mode", "PERMISSIVE").option("multiLine", True).csv(path))
+    return na_tokens_to_null(raw)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, padding preserved (the writer trims by default)."""
+    (df.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
