@@ -99,3 +99,21 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
     ev = ev.join(offset, [key, "_bucket"], "left")
     out = ev.withColumn("session_no", F.when(is_pv, (F.col("_off") + F.col("_local")).cast("bigint")))
     return out.drop("_bucket", "_prev_type", "_prev_ts", "_pl", "_start", "_local", "_off")
+
+
+def prefix_sums(df: DataFrame, order: list[str], cols: list[str], partitions: int | None = None) -> DataFrame:
+    """Adds ``_before_<c>`` = sum of ``c`` over all rows strictly before each row in
+    ``order`` (a total order).  Range partitioning keeps neighbours together; each
+    partition computes local prefixes and a per-partition total table (one row per
+    partition) supplies the offsets, so no single task sees all rows."""
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_lp_{c}") for c in cols])
+    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")
+                                      for c in cols])
+    out = local.join(F.broadcast(offsets), "_pid")
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_lp_{c}")).alias(f"_before_{c}") for c in cols])

@@ -230,3 +230,31 @@ rejected AS (SELECT * FROM cleaned
   WHERE NOT (external_id IS NOT NULL AND regexp_replace(external_id, '{STRIP_PATTERN}', '', 'g') <> '')),
 inserted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY input_order) AS rn
   FROM valid) x WHERE rn = 1)"""
+
+CRM = """crm AS (
+  SELECT c_custkey AS lead_id,
+    ['1', '7', '10', '11-50', '51-200', '201-500', '501-1000', '1001-5000', '5001-10000', '10000+', 'unknown',
+     ' 11-50 ', '12', ''][c_custkey % 14 + 1] AS company_size,
+    ['Technology', 'Software', 'SaaS', 'Retail', 'Financial Services', 'Healthcare', 'Internet'][c_nationkey % 7 + 1]
+      AS industry,
+    ['CEO', 'VP Sales', 'Engineer', 'Head of Growth', 'Analyst', 'Director of IT', 'Chief of Staff', 'Manager',
+     'vice president, marketing'][(c_custkey // 2) % 9 + 1] AS job_title
+  FROM customer
+)"""
+
+REGISTRY = """reg AS (
+  SELECT CASE WHEN n_nationkey % 6 = 5
+              THEN 'v' || CAST(n_regionkey + 1 AS VARCHAR) || '.' || CAST(n_nationkey AS VARCHAR) || '.1'
+              ELSE 'v' || CAST(n_regionkey + 1 AS VARCHAR) || '.' || CAST(n_nationkey AS VARCHAR) END AS version,
+         n_nationkey = 7 AS is_active, n_nationkey
+  FROM nation
+)"""
+
+PREDICTIONS = HOLDOUT + """,
+pred AS (
+  SELECT ho.id AS lead_id, ho.p AS score,
+    CASE WHEN ho.p >= 0.7 THEN 'A' WHEN ho.p >= 0.4 THEN 'B' WHEN ho.p >= 0.2 THEN 'C'
+         WHEN ho.p IS NOT NULL THEN 'D' END AS bucket,
+    CASE WHEN l.toxic = 1 THEN 'v1.1' ELSE 'v1.0' END AS model_version
+  FROM ho JOIN labels l ON l.doc_id = ho.id
+)"""

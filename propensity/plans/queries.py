@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity.catalogue import default_catalogue
-from propensity.constants import CSV_COLUMN_MAP, NUMERIC_CSV_COLUMNS
+from propensity.constants import BOOLEAN_FEATURES, CSV_COLUMN_MAP, MODEL_FEATURES, NUMERIC_CSV_COLUMNS
+from propensity.functions import rules as ru
+from propensity.functions import scoring as fs
+from propensity.operators import constraints as cs
+from propensity.operators import profile as pf
+from propensity.operators import registry as rg
 from propensity.operators import cleaning as cl
 from propensity.session import scratch_path
 from propensity.operators import dataset as ds
 from propensity.operators import features as feat
 from propensity.operators import joins as jn
+from propensity.operators import metrics as mt
 from propensity.operators import windows as wn
 from propensity.plans import oracle as O
 from propensity.sources import tables as tb
@@ -330,3 +336,383 @@ def _null_pct_sql(cols: list[str], src: str) -> str:
 def q_null_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
     return cl.null_percentages(valid.drop("input_order"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics M4-M7 on the scored holdout view
+# ---------------------------------------------------------------------------
+
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.scored_holdout_view(spark, sf_dir)
+
+
+@register("metric_auc_roc", O.with_(O.HOLDOUT, """g AS (
+  SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM ho GROUP BY p),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)""") + """
+SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS auc_roc FROM c""")
+def q_metric_auc_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.auc_roc(_holdout(spark, sf_dir))
+
+
+@register("metric_precision_recall_f1", O.with_(O.HOLDOUT, """c AS (SELECT
+  count(*) FILTER (WHERE p > 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p > 0.5 AND y = 0) AS fp,
+  count(*) FILTER (WHERE p <= 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p <= 0.5 AND y = 0) AS tn FROM ho)""") + """
+SELECT tp, fp, fn, tn,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM c""")
+def q_metric_precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.confusion_metrics(_holdout(spark, sf_dir))
+
+
+@register("metric_log_loss", O.with_(O.HOLDOUT) + f"""
+SELECT avg(-(y * ln(least(greatest(p, {mt.EPS!r}), 1 - {mt.EPS!r}))
+         + (1 - y) * ln(1 - least(greatest(p, {mt.EPS!r}), 1 - {mt.EPS!r})))) AS log_loss FROM ho""")
+def q_metric_log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.log_loss(_holdout(spark, sf_dir))
+
+
+@register("calibration_error", O.with_(O.HOLDOUT, """q AS (
+  SELECT quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM ho),
+edges AS (SELECT i, CASE WHEN i = 0 THEN 0.0 ELSE e[i + 1] END AS lo,
+                    CASE WHEN i = 9 THEN 1.00000001 ELSE e[i + 2] END AS hi
+          FROM q, range(10) t(i)),
+b AS (SELECT edges.i, count(*) AS n, avg(y) AS acc, avg(p) AS conf
+      FROM ho JOIN edges ON ho.p >= edges.lo AND ho.p < edges.hi GROUP BY edges.i)""") + """
+SELECT coalesce(sum(n * abs(acc - conf)), 0.0) / (SELECT count(*) FROM ho) AS calibration_error FROM b""")
+def q_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.calibration_error(_holdout(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Profiling A5-A9, E1-E5, W3, P5 over the loaded leads; A6 over events
+# ---------------------------------------------------------------------------
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    return cl.rows_to_insert(None, valid)
+
+
+_NUMS = ["total_visits", "total_time_spent", "page_views_per_visit"]
+_CATS = ["lead_origin", "lead_source", "country", "current_occupation", "specialization", "last_activity"]
+_LEAD_COLS = [d for _, d in CSV_COLUMN_MAP] + ["source_system"]
+
+
+@register("count_by_source", _C + "SELECT source_system, count(*) AS count FROM inserted GROUP BY source_system")
+def q_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.count_by(_loaded(spark, sf_dir), "source_system")
+
+
+@register("null_percentages_sql", _C + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_pct "
+    f"FROM inserted" for c in _LEAD_COLS))
+def q_null_percentages_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.null_percentages_long(_loaded(spark, sf_dir), _LEAD_COLS)
+
+
+@register("any_not_null", _C + "SELECT external_id, " + ", ".join(_NUMS) + " FROM inserted WHERE " +
+          " OR ".join(f"{c} IS NOT NULL" for c in _NUMS))
+def q_any_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.any_not_null(_loaded(spark, sf_dir), _NUMS).select("external_id", *_NUMS)
+
+
+_HIST_SQL = _C + """, nn AS (SELECT * FROM inserted WHERE total_visits IS NOT NULL OR total_time_spent IS NOT NULL
+                              OR page_views_per_visit IS NOT NULL),
+hs AS (""" + "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v FROM nn WHERE {c} IS NOT NULL"
+                                 for c in _NUMS) + """),
+mm AS (SELECT column_name, min(v) AS mn, max(v) AS mx FROM hs GROUP BY column_name),
+lh AS (SELECT column_name, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+              CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM mm),
+b AS (SELECT hs.column_name, least(CAST(floor((v - lo) / (hi - lo) * 40.0) AS INTEGER), 39) AS bin
+      FROM hs JOIN lh USING (column_name)),
+c AS (SELECT column_name, bin, count(*) AS n FROM b GROUP BY ALL),
+g AS (SELECT column_name, lo, hi, CAST(bin AS INTEGER) AS bin FROM lh, range(40) t(bin))
+SELECT g.column_name, g.bin, g.lo + g.bin * ((g.hi - g.lo) / 40.0) AS bin_lo,
+       g.lo + (g.bin + 1) * ((g.hi - g.lo) / 40.0) AS bin_hi, coalesce(c.n, 0) AS count
+FROM g LEFT JOIN c ON c.column_name = g.column_name AND c.bin = g.bin"""
+
+
+@register("numeric_histogram", _HIST_SQL)
+def q_numeric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.histogram(pf.any_not_null(_loaded(spark, sf_dir), _NUMS), _NUMS, bins=40)
+
+
+@register("top_values", _C + ", tv AS (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS count FROM inserted WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in _CATS) + """)
+SELECT column_name, value, count, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC) AS rank FROM tv) x
+WHERE rank <= 10""")
+def q_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.top_values(_loaded(spark, sf_dir), _CATS, k=10)
+
+
+@register("conversion_overall", _C + """SELECT count(*) AS total,
+  count(*) FILTER (WHERE converted) AS converted_count,
+  round(100.0 * count(*) FILTER (WHERE converted) / count(*), 2) AS conversion_rate_pct FROM inserted""")
+def q_conversion_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.conversion_overall(_loaded(spark, sf_dir))
+
+
+def _conv_by_sql(col: str) -> str:
+    return _C + f"""SELECT {col}, round(100.0 * count(*) FILTER (WHERE converted) / count(*), 2) AS conversion_rate_pct,
+  count(*) AS total FROM inserted WHERE {col} IS NOT NULL GROUP BY {col}
+ORDER BY conversion_rate_pct DESC, {col} ASC LIMIT 15"""
+
+
+@register("conversion_by_source", _conv_by_sql("lead_source"))
+def q_conversion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.conversion_by(_loaded(spark, sf_dir), "lead_source", k=15)
+
+
+@register("conversion_by_activity", _conv_by_sql("last_activity"))
+def q_conversion_by_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.conversion_by(_loaded(spark, sf_dir), "last_activity", k=15)
+
+
+_CORR_VARS = _NUMS + ["converted"]
+
+
+def _corr_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(_CORR_VARS) for b in _CORR_VARS[i + 1:]]
+    rows = []
+    for a, b in pairs:
+        rows.append(f"SELECT '{a}' AS var_a, '{b}' AS var_b, corr({a}, {b}) AS corr FROM cm")
+        rows.append(f"SELECT '{b}' AS var_a, '{a}' AS var_b, corr({a}, {b}) AS corr FROM cm")
+    for c in _CORR_VARS:
+        rows.append(f"SELECT '{c}' AS var_a, '{c}' AS var_b, CASE WHEN stddev_samp({c}) > 0 THEN 1.0 END AS corr FROM cm")
+    return (_C + ", cm AS (SELECT total_visits, total_time_spent, page_views_per_visit, "
+            "CASE WHEN converted THEN 1 ELSE 0 END AS converted FROM inserted)\n" + "\nUNION ALL ".join(rows))
+
+
+@register("correlation_matrix", _corr_sql())
+def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _loaded(spark, sf_dir).select(*_NUMS, F.when(F.col("converted"), 1).otherwise(0).alias("converted"))
+    return pf.correlation_matrix(df, _CORR_VARS)
+
+
+@register("events_by_type", O.with_(O.EV) + """, c AS (SELECT event_type, count(*) AS n FROM ev GROUP BY event_type),
+t AS (SELECT unnest(['page_view', 'email_open', 'email_click', 'form_submission', 'email_unsubscribe']) AS event_type)
+SELECT t.event_type, coalesce(c.n, 0) AS count,
+  CASE WHEN sum(coalesce(c.n, 0)) OVER () > 0 THEN coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER () * 100.0
+       ELSE 0.0 END AS pct
+FROM t LEFT JOIN c USING (event_type)""")
+def q_events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.events_by_type(tb.events_view(spark, sf_dir))
+
+
+@register("class_balance", O.with_(O.EV, O.LEADS, O.LABELLED) + """SELECT
+  count(*) FILTER (WHERE NOT converted) AS n_neg, count(*) FILTER (WHERE converted) AS n_pos,
+  CASE WHEN count(*) FILTER (WHERE converted) > 0
+       THEN count(*) FILTER (WHERE NOT converted) / count(*) FILTER (WHERE converted) END AS pos_weight FROM lab""")
+def q_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.class_balance(ds.labelled(tb.leads_view(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Registry A10, A11, M11, M12, P6
+# ---------------------------------------------------------------------------
+
+@register("existing_versions", O.with_(O.REGISTRY) + "SELECT version FROM reg")
+def q_existing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.registry_view(spark, sf_dir).select("version")
+
+
+@register("next_version", O.with_(O.REGISTRY) + """, p AS (
+  SELECT string_split(ltrim(version, 'v'), '.') AS parts FROM reg),
+ok AS (SELECT CAST(parts[1] AS INTEGER) AS major, CAST(parts[2] AS INTEGER) AS minor FROM p WHERE len(parts) = 2),
+best AS (SELECT major, minor FROM (SELECT major, minor FROM ok UNION ALL SELECT 1, -1)
+         ORDER BY major DESC, minor DESC LIMIT 1)
+SELECT 'v' || CAST(major AS VARCHAR) || '.' || CAST(minor + 1 AS VARCHAR) AS next_version FROM best""")
+def q_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.next_version(tb.registry_view(spark, sf_dir))
+
+
+@register("active_only", O.with_(O.REGISTRY) + "SELECT version FROM reg WHERE is_active")
+def q_active_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.active(tb.registry_view(spark, sf_dir)).select("version")
+
+
+@register("active_model_info", O.with_(O.REGISTRY) + """SELECT version, 0.5 + n_nationkey / 100.0 AS auc_roc,
+  TIMESTAMP '2024-01-01 00:00:00' + to_days(n_nationkey) AS trained_at FROM reg WHERE is_active""")
+def q_active_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = rg.active_model_info(tb.registry_view(spark, sf_dir))
+    return info.select("version", F.col("metrics")["auc_roc"].alias("auc_roc"), "trained_at")
+
+
+@register("register_model", O.with_(O.REGISTRY) + """SELECT version, false AS is_active FROM reg
+UNION ALL SELECT 'v9.9' AS version, true AS is_active""")
+def q_register_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = rg.register_model(tb.registry_view(spark, sf_dir), "v9.9", "models/v9.9", {"auc_roc": 0.9},
+                            {"max_depth": 6}, ["days_since_last_visit"], set_active=True)
+    return reg.select("version", "is_active")
+
+
+# ---------------------------------------------------------------------------
+# Scoring helpers X4, X5, W2, K4, K5 (deterministic scores, no model needed)
+# ---------------------------------------------------------------------------
+
+@register("score_bucket", O.with_(O.PREDICTIONS) + "SELECT lead_id, score, bucket FROM pred")
+def q_score_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ho = tb.scored_holdout_view(spark, sf_dir)
+    return ho.select(F.col("id").alias("lead_id"), F.col("p").alias("score"), fs.score_bucket("p").alias("bucket"))
+
+
+@register("valid_score_row", O.with_(O.PREDICTIONS) + """SELECT lead_id,
+  coalesce(score BETWEEN 0 AND 1 AND bucket IN ('A', 'B', 'C', 'D'), false) AS is_valid FROM pred""")
+def q_valid_score_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.predictions_view(spark, sf_dir).select("lead_id", fs.valid_score().alias("is_valid"))
+
+
+@register("prediction_log_query", O.with_(O.PREDICTIONS) +
+          "SELECT model_version, bucket, count(*) AS count FROM pred GROUP BY model_version, bucket")
+def q_prediction_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.predictions_view(spark, sf_dir).groupBy("model_version", "bucket").agg(F.count(F.lit(1)).alias("count"))
+
+
+# Stand-in global importances for the 17 model features (a rule, not a model).
+FIXTURE_IMPORTANCES = [((i * 7) % 17 + 1) / 153.0 for i in range(len(MODEL_FEATURES))]
+
+
+def _factors_sql() -> str:
+    top = fs.ordered_factors(list(MODEL_FEATURES), FIXTURE_IMPORTANCES)
+    rows = []
+    for i, (nm, imp) in enumerate(top, start=1):
+        val = (f"CASE WHEN {nm} THEN 'true' ELSE 'false' END" if nm in BOOLEAN_FEATURES
+               else f"CAST({nm} AS VARCHAR)")
+        rows.append(f"SELECT lead_id, {i} AS rank, '{nm}' AS feature, {imp!r} AS impact, {val} AS value FROM fm")
+    return _fm_now_sql("*").replace("SELECT * FROM fm", "") + "\nUNION ALL ".join(rows)
+
+
+@register("top_factors", _factors_sql())
+def q_top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fm = q_feature_matrix(spark, sf_dir)
+    arr = fs.top_factors(list(MODEL_FEATURES), FIXTURE_IMPORTANCES)
+    return (fm.select("lead_id", F.posexplode(arr).alias("pos", "f"))
+            .select("lead_id", (F.col("pos") + 1).alias("rank"), "f.feature", "f.impact", "f.value"))
+
+
+@register("feature_snapshot", _fm_now_sql("lead_id, to_json(json_object(" + ", ".join(
+    f"'{c}', {c}" for c in MODEL_FEATURES) + ")) AS snapshot"))
+def q_feature_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fm = q_feature_matrix(spark, sf_dir)
+    return fm.select("lead_id", fs.feature_snapshot(list(MODEL_FEATURES)).alias("snapshot"))
+
+
+# ---------------------------------------------------------------------------
+# Constraints C11, defaults C12, validation V1/V2, CRM rules R1-R4
+# ---------------------------------------------------------------------------
+
+@register("constraint_violations", _C + """, d AS (SELECT external_id FROM valid GROUP BY external_id HAVING count(*) > 1)
+SELECT input_order, 'unique:external_id' AS rule FROM valid WHERE external_id IN (SELECT external_id FROM d)
+UNION ALL SELECT input_order, 'max_length:external_id' FROM valid WHERE length(external_id) > 50
+UNION ALL SELECT input_order, 'max_length:tags' FROM valid WHERE length(tags) > 200""")
+def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    v = cs.lead_violations(valid)
+    return v.select("input_order", F.explode("violations").alias("rule"))
+
+
+@register("event_constraint_violations", O.with_(O.EV) + """SELECT event_id, 'fk:lead_id' AS rule FROM ev
+WHERE lead_id NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT event_id, 'check:event_type' FROM ev
+WHERE event_type NOT IN ('page_view', 'email_open', 'email_click', 'form_submission', 'email_unsubscribe')""")
+def q_event_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = cs.event_violations(tb.events_view(spark, sf_dir), tb.leads_view(spark, sf_dir).select("lead_id"))
+    return v.select("event_id", F.explode("violations").alias("rule"))
+
+
+@register("row_defaults", O.with_(O.REGISTRY) + """SELECT version, coalesce(CASE WHEN n_nationkey % 2 = 0
+  THEN is_active END, false) AS is_active, 'pending' AS status FROM reg""")
+def q_row_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = tb.registry_view(spark, sf_dir)
+    # odd nations arrive without an is_active value and without a status
+    nat = F.regexp_extract("version", r"^v\d+\.(\d+)", 1).cast("int")
+    raw = reg.select("version", F.when(F.pmod(nat, F.lit(2)) == 0, F.col("is_active")).alias("is_active"),
+                     F.lit(None).cast("string").alias("status"))
+    return cs.with_defaults(raw, {**cs.REGISTRY_DEFAULTS, **cs.SYNC_DEFAULTS})
+
+
+def _raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw, untyped feature values as an external feature source would deliver them."""
+    raw = _raw(spark, sf_dir)
+    from propensity.functions import cleaning as fcl
+    return raw.select(
+        F.col("input_order").alias("lead_id"),
+        fcl.to_number(fcl.strip("TotalVisits")).alias("days_since_last_visit"),
+        fcl.to_number(fcl.strip("Page Views Per Visit")).alias("avg_pages_per_session"),
+        fcl.flag_to_bool(fcl.strip("Converted")).alias("viewed_pricing"),
+        fcl.strip("Lead Origin").alias("company_size_bucket"),
+        F.lower(fcl.strip("What is your current occupation")).alias("job_title_seniority"))
+
+
+_RAWF_SQL = _C + """, rf AS (SELECT input_order AS lead_id, """ + O.sql_number('"TotalVisits"') + """ AS dslv,
+  """ + O.sql_number('"Page Views Per Visit"') + """ AS apps,
+  CASE WHEN (""" + O.sql_number('"Converted"') + """) = 1 THEN true WHEN (""" + O.sql_number('"Converted"') + """) = 0
+       THEN false END AS vp,
+  "Lead Origin" AS csb, lower("What is your current occupation") AS jts FROM st)
+"""
+
+
+@register("validate_features", _RAWF_SQL + """SELECT lead_id,
+  CASE WHEN dslv IS NOT NULL AND NOT isnan(dslv) AND NOT isinf(dslv) THEN CAST(dslv AS BIGINT) ELSE 365 END
+    AS days_since_last_visit,
+  CASE WHEN apps IS NOT NULL AND NOT isnan(apps) AND NOT isinf(apps) THEN apps ELSE 0.0 END AS avg_pages_per_session,
+  coalesce(vp, false) AS viewed_pricing,
+  CASE WHEN csb IN ('unknown', '1-10', '11-50', '51-200', '201-1000', '1000+') THEN csb ELSE 'unknown' END
+    AS company_size_bucket,
+  CASE WHEN jts IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level') THEN jts
+       ELSE 'unknown' END AS job_title_seniority
+FROM rf""")
+def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = ["days_since_last_visit", "avg_pages_per_session", "viewed_pricing", "company_size_bucket",
+            "job_title_seniority"]
+    return feat.apply_defaults(_raw_features(spark, sf_dir)).select("lead_id", *keep)
+
+
+@register("invalid_feature_report", _RAWF_SQL + """SELECT lead_id, 'company_size_bucket' AS feature, csb AS value,
+  'unknown' AS default_value FROM rf
+WHERE csb IS NOT NULL AND csb NOT IN ('unknown', '1-10', '11-50', '51-200', '201-1000', '1000+')
+UNION ALL SELECT lead_id, 'job_title_seniority', jts, 'unknown' FROM rf
+WHERE jts IS NOT NULL AND jts NOT IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level')""")
+def q_invalid_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.invalid_feature_report(_raw_features(spark, sf_dir))
+
+
+_SIZE_CASE = """CASE trim(company_size) WHEN '1' THEN '1-10' WHEN '2' THEN '1-10' WHEN '3' THEN '1-10'
+  WHEN '4' THEN '1-10' WHEN '5' THEN '1-10' WHEN '6' THEN '1-10' WHEN '7' THEN '1-10' WHEN '8' THEN '1-10'
+  WHEN '9' THEN '1-10' WHEN '10' THEN '1-10' WHEN '11-50' THEN '11-50' WHEN '51-200' THEN '51-200'
+  WHEN '201-500' THEN '201-1000' WHEN '501-1000' THEN '201-1000' WHEN '1001-5000' THEN '1000+'
+  WHEN '5001-10000' THEN '1000+' WHEN '10000+' THEN '1000+' ELSE 'unknown' END"""
+
+
+@register("normalize_company_size", O.with_(O.CRM) + f"SELECT lead_id, {_SIZE_CASE} AS company_size_bucket FROM crm")
+def q_normalize_company_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crm = tb.crm_contacts_view(spark, sf_dir)
+    return crm.select("lead_id", ru.normalize_company_size("company_size").alias("company_size_bucket"))
+
+
+@register("industry_match_icp", O.with_(O.CRM) + f"""SELECT lead_id,
+  industry IN ('Technology', 'Software', 'SaaS', 'Information Technology', 'Computer Software', 'Internet',
+               'Financial Services', 'Marketing and Advertising')
+  AND list_position(['unknown', '1-10', '11-50', '51-200', '201-1000', '1000+'], {_SIZE_CASE}) >= 3
+  AS industry_match_icp FROM crm""")
+def q_industry_match_icp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crm = tb.crm_contacts_view(spark, sf_dir)
+    size = ru.normalize_company_size("company_size")
+    return crm.select("lead_id", ru.icp_match(F.col("industry"), size).alias("industry_match_icp"))
+
+
+@register("decision_maker_title", O.with_(O.CRM) + """SELECT lead_id,
+  regexp_matches(job_title, '(?i)(CEO|CTO|CFO|COO|CMO|VP|Vice President|Director|Head of|Chief)') AS is_decision_maker
+FROM crm""")
+def q_decision_maker_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crm = tb.crm_contacts_view(spark, sf_dir)
+    return crm.select("lead_id", ru.is_decision_maker("job_title").alias("is_decision_maker"))
+
+
+@register("crm_rename", O.with_(O.PREDICTIONS) +
+          "SELECT lead_id, score AS lead_score, bucket AS lead_score_bucket, "
+          "model_version AS lead_score_model_version FROM pred")
+def q_crm_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.crm_rename(tb.predictions_view(spark, sf_dir), "hubspot", "out")

@@ -191,3 +191,50 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, padding preserved (the writer trims by default)."""
     (df.write.mode("overwrite").option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+# Fixture lists for the CRM contact view (raw sizes include unmapped values).
+_RAW_SIZES = ("1", "7", "10", "11-50", "51-200", "201-500", "501-1000", "1001-5000", "5001-10000",
+              "10000+", "unknown", " 11-50 ", "12", "")
+_INDUSTRIES = ("Technology", "Software", "SaaS", "Retail", "Financial Services", "Healthcare", "Internet")
+_TITLES = ("CEO", "VP Sales", "Engineer", "Head of Growth", "Analyst", "Director of IT", "Chief of Staff",
+           "Manager", "vice president, marketing")
+
+
+def crm_contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRM contacts (lead_id, company_size, industry, job_title) derived from ``customer``."""
+    cust = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return cust.select(k.alias("lead_id"),
+                       _pick(_RAW_SIZES, F.pmod(k, F.lit(len(_RAW_SIZES)))).alias("company_size"),
+                       _pick(_INDUSTRIES, F.pmod(F.col("c_nationkey"), F.lit(len(_INDUSTRIES)))).alias("industry"),
+                       _pick(_TITLES, F.pmod(F.floor(k / 2), F.lit(len(_TITLES)))).alias("job_title"))
+
+
+def registry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model registry derived from ``nation``: one version per nation (a few
+    malformed), the version of nation 7 active."""
+    nat = read_table(spark, sf_dir, "nation")
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    version = F.when(F.pmod(n, F.lit(6)) == 5, F.concat(F.lit("v"), (r + 1).cast("string"), F.lit("."),
+                                                         n.cast("string"), F.lit(".1"))) \
+        .otherwise(F.concat(F.lit("v"), (r + 1).cast("string"), F.lit("."), n.cast("string")))
+    return nat.select(
+        version.alias("version"),
+        F.concat(F.lit("models/"), version).alias("artifact_path"),
+        F.create_map(F.lit("auc_roc"), (F.lit(0.5) + n / F.lit(100.0))).alias("metrics"),
+        F.lit('{"max_depth": 6}').alias("hyperparameters"),
+        F.array(F.lit("days_since_last_visit"), F.lit("total_sessions")).alias("feature_columns"),
+        (n == 7).alias("is_active"),
+        F.timestamp_add("DAY", n, ntz(FIXTURE_EPOCH)).alias("trained_at"),
+    )
+
+
+def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged predictions derived from the scored holdout: (lead_id, score, bucket, model_version)."""
+    from propensity.functions.scoring import score_bucket
+    ho = scored_holdout_view(spark, sf_dir)
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    return ho.join(lab, "id").select(
+        F.col("id").alias("lead_id"), F.col("p").alias("score"), score_bucket("p").alias("bucket"),
+        F.when(F.col("toxic") == 1, F.lit("v1.1")).otherwise(F.lit("v1.0")).alias("model_version"))
