@@ -23,6 +23,8 @@ from propensity.operators import dataset as ds
 from propensity.operators import features as feat
 from propensity.operators import joins as jn
 from propensity.operators import metrics as mt
+from propensity.operators import model as md
+from propensity.operators import scoring as sc
 from propensity.operators import windows as wn
 from propensity.plans import oracle as O
 from propensity.sources import tables as tb
@@ -716,3 +718,70 @@ def q_decision_maker_title(spark: SparkSession, sf_dir: str) -> DataFrame:
           "model_version AS lead_score_model_version FROM pred")
 def q_crm_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.crm_rename(tb.predictions_view(spark, sf_dir), "hubspot", "out")
+
+
+# ---------------------------------------------------------------------------
+# ML M1-M3, M8, M10, K1-K3 (model-dependent: rows-only checks, no SQL oracle)
+# ---------------------------------------------------------------------------
+
+_TRAINED: dict[str, object] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    """Train once per session and table directory (fit = GBT on the time-split train rows)."""
+    key = f"{id(spark)}:{sf_dir}"
+    if key not in _TRAINED:
+        ts = q_training_dataset(spark, sf_dir).checkpoint(eager=True)
+        train = ts.where(F.col("split") == "train")
+        test = ts.where(F.col("split") == "test")
+        _TRAINED[key] = md.train_model(train, test)
+    return _TRAINED[key]
+
+
+@register("assemble_features")
+def q_assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = q_training_dataset(spark, sf_dir)
+    vec = md.assemble_features().transform(ts)
+    return vec.select("lead_id", md.vector_to_array("features").alias("features"))
+
+
+@register("train_classifier")
+def q_train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _trained(spark, sf_dir)
+    m = res.metrics
+    return spark.createDataFrame(
+        [(m["auc_roc"], m["precision"], m["recall"], m["f1"], m["log_loss"], m["calibration_error"])],
+        "auc_roc double, precision double, recall double, f1 double, log_loss double, calibration_error double")
+
+
+@register("feature_importance")
+def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _trained(spark, sf_dir)
+    return spark.createDataFrame(sorted(res.feature_importance.items(), key=lambda kv: -kv[1]),
+                                 "feature string, importance double")
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = q_training_dataset(spark, sf_dir).where(F.col("split") == "train")
+    return (md.stratified_folds(ts, 5).groupBy("fold", "converted")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _score(spark: SparkSession, sf_dir: str):
+    res = _trained(spark, sf_dir)
+    imps = [res.feature_importance[c] for c in MODEL_FEATURES]
+    return sc.score_leads(tb.score_requests_view(spark, sf_dir), tb.leads_view(spark, sf_dir),
+                          tb.events_view(spark, sf_dir), res.model, "v1.0", imps, tb.FIXTURE_NOW)
+
+
+@register("score_leads")
+def q_score_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _score(spark, sf_dir).results
+    return r.select("lead_id", "score", "bucket", "model_version",
+                    F.to_json("top_factors").alias("top_factors"), "feature_snapshot", "scored_at")
+
+
+@register("partial_failures")
+def q_partial_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _score(spark, sf_dir).errors
