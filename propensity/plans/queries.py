@@ -28,6 +28,8 @@ from propensity.operators import scoring as sc
 from propensity.operators import windows as wn
 from propensity.plans import oracle as O
 from propensity.sources import tables as tb
+from propensity.streaming import score_stream as ss
+from propensity.streaming import throttle as th
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -785,3 +787,27 @@ def q_score_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("partial_failures")
 def q_partial_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir).errors
+
+
+# ---------------------------------------------------------------------------
+# Streaming T1 (micro-batch scoring), T2 (sliding-window throttle): rows-only
+# ---------------------------------------------------------------------------
+
+@register("sliding_window_throttle")
+def q_sliding_window_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir).select("event_id", "lead_id", "occurred_at")
+    return th.throttle(ev, "lead_id", "occurred_at", tie="event_id")
+
+
+@register("score_stream")
+def q_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+    res = _trained(spark, sf_dir)
+    imps = [res.feature_importance[c] for c in MODEL_FEATURES]
+    run = scratch_path(spark, f"score_stream/{uuid.uuid4().hex}")
+    tb.score_requests_view(spark, sf_dir).repartition(4).write.parquet(f"{run}/requests")
+    q = ss.score_stream(spark, f"{run}/requests", tb.leads_view(spark, sf_dir), tb.events_view(spark, sf_dir),
+                        res.model, "v1.0", imps, tb.FIXTURE_NOW, f"{run}/predictions", f"{run}/checkpoint",
+                        errors_dir=f"{run}/errors")
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/predictions").select("lead_id", "score", "bucket", "model_version")
