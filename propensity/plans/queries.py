@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from propensity.catalogue import default_catalogue
 from propensity.constants import BOOLEAN_FEATURES, CSV_COLUMN_MAP, MODEL_FEATURES, NUMERIC_CSV_COLUMNS
+from propensity.functions import json as fj
 from propensity.functions import rules as ru
 from propensity.functions import scoring as fs
 from propensity.operators import constraints as cs
@@ -811,3 +812,79 @@ def q_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                         errors_dir=f"{run}/errors")
     q.awaitTermination()
     return spark.read.parquet(f"{run}/predictions").select("lead_id", "score", "bucket", "model_version")
+
+
+# ---------------------------------------------------------------------------
+# Remaining sources/sinks and joins: S2, S7, S8, S9, J6, J7, X1, X2, W5
+# ---------------------------------------------------------------------------
+
+@register("scan_table_pruned", O.with_(O.EV, O.LEADS) +
+          "SELECT lead_id, converted, converted_at, created_at FROM leads WHERE converted IS NOT NULL")
+def q_scan_table_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (tb.leads_view(spark, sf_dir).select("lead_id", "converted", "converted_at", "created_at")
+            .where(F.col("converted").isNotNull()))
+
+
+@register("default_as_of", O.with_(O.EV, O.LEADS, O.LABELLED) + f"""
+SELECT l.lead_id, coalesce(lab.as_of, {O.NOW}) AS as_of FROM leads l
+LEFT JOIN lab ON lab.lead_id = l.lead_id AND lab.converted""")
+def q_default_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _labelled_with_as_of(spark, sf_dir).where(F.col("converted")).select("lead_id", "as_of")
+    return feat.resolve_as_of(tb.leads_view(spark, sf_dir).select("lead_id"), given, tb.FIXTURE_NOW)
+
+
+@register("relationship_traversal", O.with_(O.EV, O.LEADS) + """
+SELECT l.lead_id, l.external_id, ev.event_id, ev.event_type FROM leads l JOIN ev ON ev.lead_id = l.lead_id""")
+def q_relationship_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id", "external_id")
+    ev = tb.events_view(spark, sf_dir).select("lead_id", "event_id", "event_type")
+    return jn.nest_children(leads, ev)
+
+
+@register("update_by_key", O.with_(O.EV, O.LEADS) + "SELECT lead_id, converted_at FROM leads")
+def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = (tb.read_table(spark, sf_dir, "customer")
+            .select(F.col("c_custkey").alias("lead_id"), F.lit(None).cast("timestamp_ntz").alias("converted_at")))
+    return jn.update_by_key(base, tb.conversions(spark, sf_dir), "lead_id", ["converted_at"])
+
+
+@register("delete_cascade", O.with_(O.EV, O.REQUESTS) +
+          "SELECT event_id, lead_id FROM ev WHERE lead_id NOT IN (SELECT lead_id FROM req)")
+def q_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doomed = tb.score_requests_view(spark, sf_dir).select("lead_id")
+    return jn.delete_cascade(doomed, tb.events_view(spark, sf_dir).select("event_id", "lead_id"))
+
+
+@register("delete_restrict", O.with_(O.PREDICTIONS, O.REQUESTS) + """
+SELECT DISTINCT c.c_custkey AS lead_id FROM customer c
+WHERE c.c_custkey IN (SELECT lead_id FROM req) AND c.c_custkey IN (SELECT lead_id FROM pred)""")
+def q_delete_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id")
+    doomed = jn.lookup_by_ids(leads, tb.score_requests_view(spark, sf_dir))
+    return jn.delete_restricted(doomed, tb.predictions_view(spark, sf_dir))
+
+
+@register("adhoc_sql", O.with_(O.EV) + "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type")
+def q_adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.adhoc_sql(spark, "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type",
+                        ev=tb.events_view(spark, sf_dir))
+
+
+@register("json_get_session", O.with_(O.EV) + "SELECT event_id, session_id FROM ev")
+def q_json_get_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir)
+    return ev.select("event_id", fj.session_id("properties").alias("session_id"))
+
+
+@register("json_nested_get", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def q_json_nested_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir)
+    return ev.select("event_id", fj.json_nested("properties", "$.k", "int").alias("k"))
+
+
+@register("dedup_first", _C + """SELECT lead_source, input_order FROM (
+  SELECT lead_source, input_order, row_number() OVER (PARTITION BY lead_source ORDER BY input_order) AS rn
+  FROM valid) x WHERE rn = 1""")
+def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
+    return wn.dedup_first(valid.select("lead_source", "input_order"), "lead_source", ["input_order"])

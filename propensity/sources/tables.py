@@ -238,3 +238,10 @@ def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ho.join(lab, "id").select(
         F.col("id").alias("lead_id"), F.col("p").alias("score"), score_bucket("p").alias("bucket"),
         F.when(F.col("toxic") == 1, F.lit("v1.1")).otherwise(F.lit("v1.0")).alias("model_version"))
+
+
+def adhoc_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
+    """Run a SQL string over the given frames registered as temporary views."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql)
