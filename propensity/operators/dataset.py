@@ -34,14 +34,22 @@ def with_as_of(leads: DataFrame, events: DataFrame, now, horizon_days: int = AS_
 
 
 def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catalogue = default_catalogue,
-                      salt_buckets: int = 8) -> DataFrame:
-    """lead_id, as_of, the 17 model features and ``converted`` for every usable labelled lead."""
+                      salt_buckets: int = 8, materialize: bool = True) -> DataFrame:
+    """lead_id, as_of, the 17 model features and ``converted`` for every usable labelled lead.
+
+    The narrow (lead_id, converted, as_of) table feeds both the point-in-time join
+    and the final left join; it is checkpointed once (shared checkpoint folder) so
+    the event aggregation behind ``as_of`` runs a single time.
+    """
     lab = with_as_of(labelled(leads.select("lead_id", "converted", "converted_at", "created_at")), events, now)
+    lab = lab.select("lead_id", "converted", "as_of")
+    if materialize:
+        lab = lab.checkpoint(eager=True)
     # No scan bound: a converted lead's cut-off (conversion - 1 day) may lie after ``now``.
-    fm = feature_matrix(lab, events, as_of_col="as_of", catalogue=catalogue, salt_buckets=salt_buckets)
-    labels = lab.select("lead_id", "converted")
+    fm = feature_matrix(lab, events, as_of_col="as_of", catalogue=catalogue, salt_buckets=salt_buckets,
+                        carry=("converted",))
     keep = [c for c in fm.columns if c not in FIRMOGRAPHIC_FEATURES]
-    return fm.select(*keep).join(labels, "lead_id")
+    return fm.select(*keep)
 
 
 def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_fraction: float = TEST_FRACTION,

@@ -208,29 +208,30 @@ def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
 
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,
                    catalogue: Catalogue = default_catalogue, salt_buckets: int = 8,
-                   as_of_upper=None) -> DataFrame:
+                   as_of_upper=None, carry: tuple = ()) -> DataFrame:
     """All catalogue features per lead, plus lead_id and the cut-off ``as_of``.
 
     ``as_of_col`` names a per-lead cut-off column of ``leads`` (training); otherwise
     ``as_of`` is one shared cut-off (scoring "now").  Leads without events get
-    defaults.  ``leads`` must hold one row per lead_id.
+    defaults.  ``leads`` must hold one row per lead_id.  ``carry`` columns of
+    ``leads`` (e.g. the label) pass through, so no second join is needed.
     """
     ev = _events_for_features(events)
     if as_of_col is not None:
-        la = leads.select("lead_id", F.col(as_of_col).alias("as_of"))
+        la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
         pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper)
         base = la
     else:
         if as_of is None:
             raise ValueError("give either as_of (shared cut-off) or as_of_col (per-lead cut-off)")
         pit = pit_filter(ev, as_of)
-        base = leads.select("lead_id").withColumn("as_of", as_of_timestamp(as_of))
+        base = leads.select("lead_id", *carry).withColumn("as_of", as_of_timestamp(as_of))
     feats = feature_aggregates(pit).drop("as_of")
     out = base.join(feats, "lead_id", "left")
     custom = _custom_features(pit, catalogue)
     if custom is not None:
         out = out.drop(*[c for c in custom.columns if c != "lead_id"]).join(custom, "lead_id", "left")
-    return apply_defaults(out, catalogue)
+    return apply_defaults(out, catalogue, keep=("lead_id", "as_of", *carry))
 
 
 def resolve_as_of(leads: DataFrame, as_of_dates: DataFrame | None, default) -> DataFrame:
