@@ -20,46 +20,50 @@ def _string_cols(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
 
 
+def _apply(df: DataFrame, rules: dict) -> DataFrame:
+    """One projection: ``rules`` maps a column to its SQL rule, the rest pass through."""
+    out = []
+    for c in df.columns:
+        q = fc.quote(c)
+        out.append(f"{rules[c](q)} AS {q}" if c in rules else q)
+    return df.selectExpr(*out)
+
+
 def na_tokens_to_null(df: DataFrame, exclude=()) -> DataFrame:
     """CSV missing-value tokens -> NULL on every string column (reader semantics)."""
-    strs = _string_cols(df)
-    return df.select(*[fc.na_token_to_null(c).alias(c) if c in strs and c not in exclude else F.col(c)
-                       for c in df.columns])
+    return _apply(df, {c: fc.na_token_sql for c in _string_cols(df) if c not in exclude})
 
 
 def strip_strings(df: DataFrame) -> DataFrame:
-    strs = _string_cols(df)
-    return df.select(*[fc.strip(c).alias(c) if c in strs else F.col(c) for c in df.columns])
+    return _apply(df, {c: fc.strip_sql for c in _string_cols(df)})
 
 
 def replace_placeholders(df: DataFrame) -> DataFrame:
-    """Strip every string column; ``select`` (any case) and '' become NULL."""
+    """Strip every string column; ``select`` (any case) and '' become NULL.
+
+    Two projections, so each value is trimmed once and the rule reads the result."""
     strs = _string_cols(df)
-    return df.select(*[fc.placeholder_to_null(c).alias(c) if c in strs else F.col(c) for c in df.columns])
+    return _apply(strip_strings(df), {c: fc.stripped_placeholder_sql for c in strs})
 
 
 def convert_booleans(df: DataFrame) -> DataFrame:
     """Yes/No columns -> non-null boolean; the label -> nullable boolean."""
-    out = []
-    for c in df.columns:
-        if c in YES_NO_CSV_COLUMNS:
-            out.append(fc.yes_no_to_bool(c).alias(c))
-        elif c == LABEL_CSV_COLUMN:
-            out.append(fc.flag_to_bool(c).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    rules = {c: fc.yes_no_sql for c in YES_NO_CSV_COLUMNS if c in df.columns}
+    if LABEL_CSV_COLUMN in df.columns:
+        rules[LABEL_CSV_COLUMN] = fc.flag_sql
+    return _apply(df, rules)
 
 
 def coerce_numerics(df: DataFrame) -> DataFrame:
-    return df.select(*[fc.to_number(c).alias(c) if c in NUMERIC_CSV_COLUMNS else F.col(c) for c in df.columns])
+    return _apply(df, {c: fc.number_sql for c in NUMERIC_CSV_COLUMNS if c in df.columns})
 
 
 def rename_columns(df: DataFrame, keep=()) -> DataFrame:
     """Mapped CSV columns renamed, in map order; unmapped ones dropped, missing ones
     tolerated.  ``keep`` columns pass through unchanged (e.g. an input-order column)."""
-    present = [(src, dst) for src, dst in CSV_COLUMN_MAP if src in df.columns]
-    return df.select(*[F.col(f"`{src}`").alias(dst) for src, dst in present], *[F.col(k) for k in keep])
+    cols = set(df.columns)
+    present = [(src, dst) for src, dst in CSV_COLUMN_MAP if src in cols]
+    return df.selectExpr(*[f"{fc.quote(src)} AS {dst}" for src, dst in present], *[fc.quote(k) for k in keep])
 
 
 def clean_leads(df: DataFrame, keep=("input_order",)) -> DataFrame:
@@ -81,7 +85,7 @@ def add_source_system(df: DataFrame, value: str = SOURCE_SYSTEM) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[fc.nan_to_null(c).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return _apply(df, {c: fc.nan_sql for c in doubles})
 
 
 def prepare_load(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -78,57 +78,71 @@ def pit_filter(events: DataFrame, as_of) -> DataFrame:
     return events.where(F.col("occurred_at") < a).withColumn("as_of", a)
 
 
+# The wide expression lists below are SQL expression strings: each is parsed once
+# on the JVM, which keeps plan construction to a few calls instead of thousands.
+_DAY_US = 86_400_000_000
+
+
+def _in_window_sql(days: float) -> str:
+    us = int(round(days * _DAY_US))
+    return f"(occurred_at >= timestampadd(MICROSECOND, -{us}, as_of) AND occurred_at < as_of)"
+
+
 def _level1(pit: DataFrame) -> DataFrame:
-    t, a = F.col("occurred_at"), F.col("as_of")
-    typ, nm = F.col("event_type"), F.col("event_name")
-    pv = typ == PAGE_VIEW
-    sign = F.when(typ == UNSUBSCRIBE, F.lit(-1)).otherwise(F.lit(1))
-    mid = minus_days(a, 3.5)
-    velocity = (F.when((t >= mid) & (t < a), sign)
-                .when((t >= minus_days(a, 7)) & (t < mid), -sign)
-                .otherwise(F.lit(0)))
-    sess = F.when(pv, F.col("session_id"))
-    return (pit.groupBy("lead_id", sess.alias("session_key"))
-            .agg(F.max("as_of").alias("as_of"),
-                 F.max(F.when(pv, t)).alias("last_pv"),
-                 F.max(F.when(typ == EMAIL_OPEN, t)).alias("last_eo"),
-                 F.min(t).alias("first_t"),
-                 F.max(t).alias("last_t"),
-                 F.count(F.lit(1)).alias("n_rows"),
-                 F.count_if(pv & in_window(t, a, 7)).alias("pv_7d"),
-                 F.count_if(pv & in_window(t, a, 30)).alias("pv_30d"),
-                 F.count_if((typ == EMAIL_OPEN) & in_window(t, a, 30)).alias("eo_30d"),
-                 F.count_if((typ == EMAIL_CLICK) & in_window(t, a, 30)).alias("ec_30d"),
-                 F.count_if(pv & (nm == "Pricing")).alias("pricing"),
-                 F.count_if(pv & (nm == "Competitor Comparison")).alias("competitor"),
-                 F.count_if((typ == FORM) & (nm == "Demo Request")).alias("demo"),
-                 F.count_if((typ == FORM) & (nm == "Content Download")).alias("content"),
-                 F.sum(velocity).cast("bigint").alias("velocity")))
+    pv = f"event_type = '{PAGE_VIEW}'"
+    sign = f"(CASE WHEN event_type = '{UNSUBSCRIBE}' THEN -1 ELSE 1 END)"
+    mid = f"timestampadd(MICROSECOND, -{int(3.5 * _DAY_US)}, as_of)"
+    start = f"timestampadd(MICROSECOND, -{7 * _DAY_US}, as_of)"
+    velocity = (f"CASE WHEN occurred_at >= {mid} AND occurred_at < as_of THEN {sign} "
+                f"WHEN occurred_at >= {start} AND occurred_at < {mid} THEN -{sign} ELSE 0 END")
+    aggs = [
+        "max(as_of) AS as_of",
+        f"max(CASE WHEN {pv} THEN occurred_at END) AS last_pv",
+        f"max(CASE WHEN event_type = '{EMAIL_OPEN}' THEN occurred_at END) AS last_eo",
+        "min(occurred_at) AS first_t",
+        "max(occurred_at) AS last_t",
+        "count(1) AS n_rows",
+        f"count_if({pv} AND {_in_window_sql(7)}) AS pv_7d",
+        f"count_if({pv} AND {_in_window_sql(30)}) AS pv_30d",
+        f"count_if(event_type = '{EMAIL_OPEN}' AND {_in_window_sql(30)}) AS eo_30d",
+        f"count_if(event_type = '{EMAIL_CLICK}' AND {_in_window_sql(30)}) AS ec_30d",
+        f"count_if({pv} AND event_name = 'Pricing') AS pricing",
+        f"count_if({pv} AND event_name = 'Competitor Comparison') AS competitor",
+        f"count_if(event_type = '{FORM}' AND event_name = 'Demo Request') AS demo",
+        f"count_if(event_type = '{FORM}' AND event_name = 'Content Download') AS content",
+        f"CAST(sum({velocity}) AS BIGINT) AS velocity",
+    ]
+    keyed = pit.selectExpr("*", f"CASE WHEN {pv} THEN session_id END AS session_key")
+    return keyed.groupBy("lead_id", "session_key").agg(*[F.expr(x) for x in aggs])
+
+
+def _days(ts_agg: str) -> str:
+    return f"CAST(floor(timestampdiff(MICROSECOND, {ts_agg}, max(as_of)) / {float(_DAY_US)}) AS BIGINT)"
 
 
 def _level2(l1: DataFrame) -> DataFrame:
-    a = F.max("as_of")
-    has_sess = F.col("session_key").isNotNull()
-    return (l1.groupBy("lead_id")
-            .agg(a.alias("as_of"),
-                 whole_days(F.max("last_pv"), a).alias("days_since_last_visit"),
-                 whole_days(F.max("last_eo"), a).alias("days_since_last_email_open"),
-                 whole_days(F.min("first_t"), a).alias("days_since_first_touch"),
-                 F.sum("pv_7d").alias("total_pageviews_7d"),
-                 F.sum("pv_30d").alias("total_pageviews_30d"),
-                 F.count("session_key").alias("total_sessions"),
-                 F.sum("eo_30d").alias("emails_opened_30d"),
-                 F.sum("ec_30d").alias("emails_clicked_30d"),
-                 F.avg(F.when(has_sess, F.col("n_rows"))).alias("avg_pages_per_session"),
-                 # exact integer microseconds summed, one division: order-independent result
-                 (F.sum(F.when(has_sess, micros_between(F.col("first_t"), F.col("last_t"))))
-                  / F.count("session_key") / F.lit(1e6)).alias("avg_session_duration_seconds"),
-                 F.sum("pricing").alias("pricing_page_views"),
-                 (F.sum("pricing") > 0).alias("viewed_pricing"),
-                 (F.sum("demo") > 0).alias("requested_demo"),
-                 (F.sum("content") > 0).alias("downloaded_content"),
-                 (F.sum("competitor") > 0).alias("visited_competitor_comparison"),
-                 F.sum("velocity").alias("engagement_velocity_7d")))
+    aggs = [
+        "max(as_of) AS as_of",
+        f"{_days('max(last_pv)')} AS days_since_last_visit",
+        f"{_days('max(last_eo)')} AS days_since_last_email_open",
+        f"{_days('min(first_t)')} AS days_since_first_touch",
+        "sum(pv_7d) AS total_pageviews_7d",
+        "sum(pv_30d) AS total_pageviews_30d",
+        "count(session_key) AS total_sessions",
+        "sum(eo_30d) AS emails_opened_30d",
+        "sum(ec_30d) AS emails_clicked_30d",
+        "avg(CASE WHEN session_key IS NOT NULL THEN n_rows END) AS avg_pages_per_session",
+        # exact integer microseconds summed, one division: order-independent result
+        "sum(CASE WHEN session_key IS NOT NULL THEN timestampdiff(MICROSECOND, first_t, last_t) END)"
+        " / count(session_key) / 1000000.0D AS avg_session_duration_seconds",
+        "sum(pricing) AS pricing_page_views",
+        "sum(pricing) > 0 AS viewed_pricing",
+        "sum(demo) > 0 AS requested_demo",
+        "sum(content) > 0 AS downloaded_content",
+        "sum(competitor) > 0 AS visited_competitor_comparison",
+        "sum(velocity) AS engagement_velocity_7d",
+    ]
+    return l1.groupBy("lead_id").agg(*[F.expr(x) for x in aggs])
 
 
 def session_rollup(pit: DataFrame) -> DataFrame:
@@ -144,20 +158,48 @@ def session_rollup(pit: DataFrame) -> DataFrame:
 def feature_aggregates(pit: DataFrame) -> DataFrame:
     """Raw (not yet defaulted) features per lead from point-in-time event rows."""
     agg = _level2(_level1(pit))
-    return agg.withColumn("is_engagement_increasing", F.col("engagement_velocity_7d") > 0)
+    return agg.selectExpr("*", "engagement_velocity_7d > 0 AS is_engagement_increasing")
 
 
-def _invalid_numeric(c: Column) -> Column:
-    return c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def validity(feature, c: Column) -> Column:
-    """True when a present value is valid for the feature's type (NULL when absent)."""
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+_SQL_TYPES = {"LongType()": "BIGINT", "DoubleType()": "DOUBLE", "BooleanType()": "BOOLEAN", "StringType()": "STRING"}
+
+
+def _sql_type(feature) -> str:
+    return _SQL_TYPES[repr(spark_type(feature))]
+
+
+def validity_sql(feature, col: str) -> str:
+    """SQL: true when a present value is valid for the feature's type, NULL when absent."""
+    c = _q(col)
     if feature.type == "numeric":
-        return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(~_invalid_numeric(c.cast("double")))
+        d = f"CAST({c} AS DOUBLE)"
+        return f"CASE WHEN {c} IS NULL THEN NULL ELSE NOT (isnan({d}) OR abs({d}) = double('inf')) END"
     if feature.type == "categorical":
-        return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(c.isin(*feature.categories))
-    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(F.lit(True))
+        cats = ", ".join(_sql_literal(x) for x in feature.categories)
+        return f"CASE WHEN {c} IS NULL THEN NULL ELSE {c} IN ({cats}) END"
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE true END"
+
+
+def validity(feature, c: Column | str) -> Column:
+    """True when a present value is valid for the feature's type (NULL when absent)."""
+    if isinstance(c, str):
+        return F.expr(validity_sql(feature, c))
+    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(
+        ~(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
+        if feature.type == "numeric" else (c.isin(*feature.categories) if feature.type == "categorical"
+                                           else F.lit(True)))
 
 
 def apply_defaults(df: DataFrame, catalogue: Catalogue = default_catalogue, keep=("lead_id", "as_of")) -> DataFrame:
@@ -166,35 +208,34 @@ def apply_defaults(df: DataFrame, catalogue: Catalogue = default_catalogue, keep
     Numeric: finite numbers only; boolean: booleans only (the column type enforces
     it); categorical: one of the listed categories.
     """
-    out = [F.col(k) for k in keep if k in df.columns]
+    cols = set(df.columns)
+    out = [_q(k) for k in keep if k in cols]
     for f in catalogue.all_features():
-        typ = spark_type(f)
-        default = F.lit(f.default).cast(typ)
-        if f.name not in df.columns:
-            out.append(default.alias(f.name))
+        typ = _sql_type(f)
+        default = f"CAST({_sql_literal(f.default)} AS {typ})"
+        if f.name not in cols:
+            out.append(f"{default} AS {_q(f.name)}")
             continue
-        c = F.col(f.name)
-        ok = F.coalesce(validity(f, c), F.lit(False))
-        out.append(F.when(ok, c.cast(typ)).otherwise(default).alias(f.name))
-    return df.select(*out)
+        ok = f"coalesce({validity_sql(f, f.name)}, false)"
+        out.append(f"CASE WHEN {ok} THEN CAST({_q(f.name)} AS {typ}) ELSE {default} END AS {_q(f.name)}")
+    return df.selectExpr(*out)
 
 
 def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalogue, key: str = "lead_id") -> DataFrame:
     """Present-but-invalid values: (lead_id, feature, value, default), one row each."""
+    cols = set(df.columns)
     rows = []
     for f in catalogue.all_features():
-        if f.name not in df.columns:
+        if f.name not in cols:
             continue
-        c = F.col(f.name)
-        bad = F.coalesce(~validity(f, c), F.lit(False))
-        rows.append(F.when(bad, F.struct(F.lit(f.name).alias("feature"), c.cast("string").alias("value"),
-                                         F.lit(str(f.default).lower() if isinstance(f.default, bool) else str(f.default))
-                                         .alias("default_value"))))
+        bad = f"coalesce(NOT ({validity_sql(f, f.name)}), false)"
+        dv = str(f.default).lower() if isinstance(f.default, bool) else str(f.default)
+        rows.append(f"CASE WHEN {bad} THEN named_struct('feature', {_sql_literal(f.name)}, "
+                    f"'value', CAST({_q(f.name)} AS STRING), 'default_value', {_sql_literal(dv)}) END")
     if not rows:
-        return df.select(F.col(key), F.lit(None).cast("string").alias("feature"),
-                         F.lit(None).cast("string").alias("value"),
-                         F.lit(None).cast("string").alias("default_value")).limit(0)
-    return (df.select(F.col(key), F.explode(F.array_compact(F.array(*rows))).alias("r"))
+        return df.selectExpr(_q(key), "CAST(NULL AS STRING) AS feature", "CAST(NULL AS STRING) AS value",
+                             "CAST(NULL AS STRING) AS default_value").limit(0)
+    return (df.selectExpr(_q(key), f"explode(array_compact(array({', '.join(rows)}))) AS r")
             .select(key, "r.feature", "r.value", "r.default_value"))
 
 

@@ -640,15 +640,15 @@ def q_row_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw, untyped feature values as an external feature source would deliver them."""
-    raw = _raw(spark, sf_dir)
     from propensity.functions import cleaning as fcl
-    return raw.select(
-        F.col("input_order").alias("lead_id"),
-        fcl.to_number(fcl.strip("TotalVisits")).alias("days_since_last_visit"),
-        fcl.to_number(fcl.strip("Page Views Per Visit")).alias("avg_pages_per_session"),
-        fcl.flag_to_bool(fcl.strip("Converted")).alias("viewed_pricing"),
-        fcl.strip("Lead Origin").alias("company_size_bucket"),
-        F.lower(fcl.strip("What is your current occupation")).alias("job_title_seniority"))
+    q = fcl.quote
+    return _raw(spark, sf_dir).selectExpr(
+        "input_order AS lead_id",
+        f"{fcl.number_sql(fcl.strip_sql(q('TotalVisits')))} AS days_since_last_visit",
+        f"{fcl.number_sql(fcl.strip_sql(q('Page Views Per Visit')))} AS avg_pages_per_session",
+        f"{fcl.flag_sql(fcl.strip_sql(q('Converted')))} AS viewed_pricing",
+        f"{fcl.strip_sql(q('Lead Origin'))} AS company_size_bucket",
+        f"lower({fcl.strip_sql(q('What is your current occupation'))}) AS job_title_seniority")
 
 
 _RAWF_SQL = _C + """, rf AS (SELECT input_order AS lead_id, """ + O.sql_number('"TotalVisits"') + """ AS dslv,

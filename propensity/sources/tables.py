@@ -32,8 +32,24 @@ def ntz(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table as a DataFrame, resolved once per session (file listing and schema
+    inference happen on first use, like registering a table in the catalog).
+    Call ``refresh_tables`` after the files change."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
+
+
+def refresh_tables() -> None:
+    _TABLES.clear()
 
 
 def _pick(values: tuple, index: Column) -> Column:
