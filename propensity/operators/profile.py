@@ -43,7 +43,8 @@ def top_k_per_group(df: DataFrame, group: str, order: list, k: int, spread: int
     first = Window.partitionBy(group, "_b").orderBy(*order)
     pre = df.withColumn("_b", b).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
     final = Window.partitionBy(group).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).drop("_b", "_r")
+    return (pre.withColumn("rank", F.row_number().over(final).cast("bigint")).where(F.col("rank") <= k)
+            .drop("_b", "_r"))
 
 
 def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:

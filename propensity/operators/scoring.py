@@ -40,14 +40,9 @@ def score_leads(requested: DataFrame, leads: DataFrame, events: DataFrame, model
     finite become errors instead of being silently dropped; everything else gets a
     prediction row.  ``importances`` are the model's global importances.
     """
-    if "position" not in requested.columns:
-        requested = requested.withColumn("position", F.monotonically_increasing_id())
-    found = lookup_by_ids(leads.select("lead_id"), requested)
-    fm = feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets)
-    ok = _finite(feature_names)
-    good = fm.where(ok)
-    bad = fm.where(~ok).select("lead_id", F.lit(None).cast("bigint").alias("position"),
-                               F.lit("invalid model input").alias("error"))
+    requested = _with_position(requested)
+    fm = batch_features(requested, leads, events, now, salt_buckets)
+    good = fm.where(_finite(feature_names))
     scored = probability(model.transform(good))
     a, b, c = thresholds
     results = scored.select(
@@ -58,9 +53,32 @@ def score_leads(requested: DataFrame, leads: DataFrame, events: DataFrame, model
         fs.top_factors(list(feature_names), importances).alias("top_factors"),
         fs.feature_snapshot(list(feature_names)).alias("feature_snapshot"),
         as_timestamp(now).alias("scored_at"))
+    return ScoreBatch(results=results, errors=batch_errors(requested, leads, fm, feature_names))
+
+
+def _with_position(requested: DataFrame) -> DataFrame:
+    if "position" not in requested.columns:
+        requested = requested.withColumn("position", F.monotonically_increasing_id())
+    return requested
+
+
+def batch_features(requested: DataFrame, leads: DataFrame, events: DataFrame, now,
+                   salt_buckets: int = 8) -> DataFrame:
+    """Features as of ``now`` for the requested leads that exist."""
+    found = lookup_by_ids(leads.select("lead_id"), requested)
+    return feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets)
+
+
+def batch_errors(requested: DataFrame, leads: DataFrame, features: DataFrame,
+                 feature_names=MODEL_FEATURES) -> DataFrame:
+    """(lead_id, position, error): 'Lead not found' for unknown ids (request rows
+    kept), 'invalid model input' for leads whose model inputs are not finite."""
+    requested = _with_position(requested)
     missing = missing_ids(requested, leads.select("lead_id")).select(
         "lead_id", F.col("position").cast("bigint"), F.lit("Lead not found").alias("error"))
-    return ScoreBatch(results=results, errors=missing.unionByName(bad))
+    bad = features.where(~_finite(feature_names)).select(
+        "lead_id", F.lit(None).cast("bigint").alias("position"), F.lit("invalid model input").alias("error"))
+    return missing.unionByName(bad)
 
 
 def append_predictions(results: DataFrame, path: str) -> None:

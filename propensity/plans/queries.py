@@ -325,7 +325,7 @@ def q_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _load(spark, sf_dir, second=False)
 
 
-@register("reload_summary", _C + _SUMMARY.format(ins="0"))
+@register("reload_summary", _C + _SUMMARY.format(ins="CAST(0 AS BIGINT)"))
 def q_reload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _load(spark, sf_dir, second=True)
 
@@ -585,7 +585,8 @@ def _factors_sql() -> str:
     for i, (nm, imp) in enumerate(top, start=1):
         val = (f"CASE WHEN {nm} THEN 'true' ELSE 'false' END" if nm in BOOLEAN_FEATURES
                else f"CAST({nm} AS VARCHAR)")
-        rows.append(f"SELECT lead_id, {i} AS rank, '{nm}' AS feature, {imp!r} AS impact, {val} AS value FROM fm")
+        rows.append(f"SELECT lead_id, {i} AS rank, '{nm}' AS feature, CAST({imp!r} AS DOUBLE) AS impact, "
+                    f"{val} AS value FROM fm")
     return _fm_now_sql("*").replace("SELECT * FROM fm", "") + "\nUNION ALL ".join(rows)
 
 
@@ -597,8 +598,8 @@ def q_top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("lead_id", (F.col("pos") + 1).alias("rank"), "f.feature", "f.impact", "f.value"))
 
 
-@register("feature_snapshot", _fm_now_sql("lead_id, to_json(json_object(" + ", ".join(
-    f"'{c}', {c}" for c in MODEL_FEATURES) + ")) AS snapshot"))
+@register("feature_snapshot", _fm_now_sql("lead_id, CAST(to_json(json_object(" + ", ".join(
+    f"'{c}', {c}" for c in MODEL_FEATURES) + ")) AS VARCHAR) AS snapshot"))
 def q_feature_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     fm = q_feature_matrix(spark, sf_dir)
     return fm.select("lead_id", fs.feature_snapshot(list(MODEL_FEATURES)).alias("snapshot"))
@@ -741,11 +742,17 @@ def _trained(spark: SparkSession, sf_dir: str):
     return _TRAINED[key]
 
 
-@register("assemble_features")
+@register("assemble_features", ORACLE["training_dataset"].replace(
+    "SELECT lead_id, as_of, " + O.MODEL_FEATURE_LIST + ", converted,", "SELECT lead_id, " + ", ".join(
+        f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(MODEL_FEATURES)) + ",", 1).replace(
+    "\nFROM fm", "\nFROM fm) x, LATERAL (VALUES " + ", ".join(
+        f"({i}, f{i})" for i in range(len(MODEL_FEATURES))) + ") v(idx, value)", 1).replace(
+    "\nSELECT lead_id, CAST(", "\nSELECT lead_id, CAST(idx AS BIGINT) AS idx, value FROM (SELECT lead_id, CAST(", 1))
 def q_assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = q_training_dataset(spark, sf_dir)
     vec = md.assemble_features().transform(ts)
-    return vec.select("lead_id", md.vector_to_array("features").alias("features"))
+    return (vec.select("lead_id", F.posexplode(md.vector_to_array("features")).alias("idx", "value"))
+            .select("lead_id", F.col("idx").cast("bigint").alias("idx"), "value"))
 
 
 @register("train_classifier")
@@ -764,11 +771,15 @@ def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "feature string, importance double")
 
 
-@register("stratified_folds")
+@register("stratified_folds", ORACLE["training_dataset"].replace(
+    "SELECT lead_id, as_of, " + O.MODEL_FEATURE_LIST + ", converted,", "SELECT lead_id, converted,", 1).replace(
+    "\nFROM fm", "\nFROM fm) s WHERE split = 'train'", 1).replace(
+    "\nSELECT lead_id, converted,", """
+SELECT lead_id, CAST((row_number() OVER (ORDER BY converted, md5(CAST(lead_id AS VARCHAR) || ':42'), lead_id) - 1)
+  % 5 AS INTEGER) AS fold FROM (SELECT lead_id, converted,""", 1))
 def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = q_training_dataset(spark, sf_dir).where(F.col("split") == "train")
-    return (md.stratified_folds(ts, 5).groupBy("fold", "converted")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return md.stratified_folds(ts, 5).select("lead_id", "fold")
 
 
 def _score(spark: SparkSession, sf_dir: str):
@@ -785,9 +796,13 @@ def q_score_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_json("top_factors").alias("top_factors"), "feature_snapshot", "scored_at")
 
 
-@register("partial_failures")
+@register("partial_failures", O.with_(O.REQUESTS) + """SELECT r.lead_id, r.position, 'Lead not found' AS error
+FROM req r WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = r.lead_id)""")
 def q_partial_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _score(spark, sf_dir).errors
+    req = tb.score_requests_view(spark, sf_dir)
+    leads = tb.leads_view(spark, sf_dir)
+    fm = sc.batch_features(req, leads, tb.events_view(spark, sf_dir), tb.FIXTURE_NOW)
+    return sc.batch_errors(req, leads, fm)
 
 
 # ---------------------------------------------------------------------------

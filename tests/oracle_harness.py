@@ -47,8 +47,29 @@ def rows(df: pd.DataFrame) -> tuple[list[str], list[tuple]]:
     return cols, out
 
 
-def compare(spark_df, con, sql: str):
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+                 "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "float": "FLOAT", "smallint": "SMALLINT", "date": "DATE"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[str]:
+    rel = con.sql(sql)
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in spark_df.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        got = duck_types.get(f.name)
+        if got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duck {got}")
+    return out
+
+
+def compare(spark_df, con, sql: str, check_types: bool = True):
     """Return (ok, message)."""
+    if check_types:
+        bad = type_mismatches(spark_df, con, sql)
+        if bad:
+            return False, "types differ: " + "; ".join(bad)
     s = spark_df.toPandas()
     d = con.execute(sql).df()
     sc, sr = rows(s)
