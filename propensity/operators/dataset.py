@@ -11,6 +11,7 @@ from propensity.functions.time import as_of_date, as_timestamp
 from propensity.operators.features import feature_matrix
 from propensity.operators.joins import with_latest_event
 from propensity.operators.windows import global_rank
+from propensity.session import checkpoint
 
 
 def labelled(leads: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catal
     lab = with_as_of(labelled(leads.select("lead_id", "converted", "converted_at", "created_at")), events, now)
     lab = lab.select("lead_id", "converted", "as_of")
     if materialize:
-        lab = lab.checkpoint(eager=True)
+        lab = checkpoint(lab)
     # No scan bound: a converted lead's cut-off (conversion - 1 day) may lie after ``now``.
     fm = feature_matrix(lab, events, as_of_col="as_of", catalogue=catalogue, salt_buckets=salt_buckets,
                         carry=("converted",))

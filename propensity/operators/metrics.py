@@ -62,7 +62,9 @@ def quantile_edges(df: DataFrame, score: str = "p", n_bins: int = ECE_BINS) -> l
     The global rank is distributed; only the 2 * (n + 1) order statistics the
     interpolation needs reach the driver (a bounded list, independent of data size).
     """
-    ranked = global_rank(df.select(score, F.monotonically_increasing_id().alias("_tie")), [score, "_tie"])
+    # Only the values at given ranks are read, and tied scores are equal values, so
+    # ordering by the score alone is enough (no non-deterministic tie-breaker).
+    ranked = global_rank(df.select(score), [score])
     total = ranked.select("_total").limit(1).collect()
     if not total:
         return []

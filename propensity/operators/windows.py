@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propensity.session import checkpoint
+
 
 def _first_by(df: DataFrame, key: str | list[str], order: list, pick) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
@@ -52,7 +54,7 @@ def global_rank(df: DataFrame, order: list[str], partitions: int | None = None,
              .withColumn("_lrank", F.monotonically_increasing_id()
                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33) + F.lit(1)))
     if materialize:
-        local = local.checkpoint(eager=True)
+        local = checkpoint(local)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

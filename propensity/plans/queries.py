@@ -19,7 +19,7 @@ from propensity.operators import constraints as cs
 from propensity.operators import profile as pf
 from propensity.operators import registry as rg
 from propensity.operators import cleaning as cl
-from propensity.session import scratch_path
+from propensity.session import checkpoint, scratch_path
 from propensity.operators import dataset as ds
 from propensity.operators import features as feat
 from propensity.operators import joins as jn
@@ -735,7 +735,7 @@ def _trained(spark: SparkSession, sf_dir: str):
     """Train once per session and table directory (fit = GBT on the time-split train rows)."""
     key = f"{id(spark)}:{sf_dir}"
     if key not in _TRAINED:
-        ts = q_training_dataset(spark, sf_dir).checkpoint(eager=True)
+        ts = checkpoint(q_training_dataset(spark, sf_dir))
         train = ts.where(F.col("split") == "train")
         test = ts.where(F.col("split") == "test")
         _TRAINED[key] = md.train_model(train, test)

@@ -63,3 +63,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def checkpoint(df, eager: bool = True):
+    """``df.checkpoint`` into the shared folder (resolved first, so a session that
+    was built elsewhere works too).  Reliable: survives executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)

@@ -62,8 +62,13 @@ def throttle(df: DataFrame, key: str, ts: str, max_requests: int = THROTTLE_MAX_
     window_us = int(round(window_seconds * 1_000_000))
     order = [key, ts] + ([tie] if tie else [])
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prepared = (df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-                .repartition(n, key).sortWithinPartitions(*order))
+    t = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        # wall-clock arithmetic: independent of the session time zone (no DST shifts)
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    else:
+        micros = F.unix_micros(t.cast("timestamp"))
+    prepared = df.withColumn("_us", micros).repartition(n, key).sortWithinPartitions(*order)
     schema = T.StructType(prepared.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
 
     scan = _make_scan()
