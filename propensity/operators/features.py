@@ -249,15 +249,19 @@ def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
 
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,
                    catalogue: Catalogue = default_catalogue, salt_buckets: int = 8,
-                   as_of_upper=None, carry: tuple = ()) -> DataFrame:
+                   as_of_upper=None, carry: tuple = (), restrict_events: bool = False) -> DataFrame:
     """All catalogue features per lead, plus lead_id and the cut-off ``as_of``.
 
     ``as_of_col`` names a per-lead cut-off column of ``leads`` (training); otherwise
     ``as_of`` is one shared cut-off (scoring "now").  Leads without events get
     defaults.  ``leads`` must hold one row per lead_id.  ``carry`` columns of
     ``leads`` (e.g. the label) pass through, so no second join is needed.
+    ``restrict_events``: ``leads`` is a small subset (a scoring request), so events
+    are semi-joined to it before aggregating instead of aggregating every lead.
     """
     ev = _events_for_features(events)
+    if restrict_events:
+        ev = ev.join(leads.select("lead_id"), "lead_id", "left_semi")
     if as_of_col is not None:
         la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
         pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper)

@@ -66,7 +66,7 @@ def batch_features(requested: DataFrame, leads: DataFrame, events: DataFrame, no
                    salt_buckets: int = 8) -> DataFrame:
     """Features as of ``now`` for the requested leads that exist."""
     found = lookup_by_ids(leads.select("lead_id"), requested)
-    return feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets)
+    return feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets, restrict_events=True)
 
 
 def batch_errors(requested: DataFrame, leads: DataFrame, features: DataFrame,
