@@ -49,31 +49,42 @@ def violations(df: DataFrame, rules: list[Column], unique: list[str] = (), fk: l
     return out.withColumn("violations", arr).drop(*helper)
 
 
+def _present(df: DataFrame, cols) -> list:
+    have = set(df.columns)
+    return [c for c in cols if (c[0] if isinstance(c, tuple) else c) in have]
+
+
 def lead_violations(leads: DataFrame) -> DataFrame:
-    rules = not_null("external_id", "source_system") + max_length(LEAD_VARCHAR_LIMITS)
+    """Rules of the leads table, for the columns the frame has."""
+    rules = not_null(*_present(leads, ["external_id", "source_system"]))
+    rules += max_length(_present(leads, LEAD_VARCHAR_LIMITS))
     return violations(leads, rules, unique=["external_id"])
 
 
 def event_violations(events: DataFrame, leads: DataFrame) -> DataFrame:
-    rules = not_null("lead_id", "event_type", "occurred_at") + max_length(EVENT_VARCHAR_LIMITS)
+    rules = not_null(*_present(events, ["lead_id", "event_type", "occurred_at"]))
+    rules += max_length(_present(events, EVENT_VARCHAR_LIMITS))
     rules.append(one_of("event_type", EVENT_TYPES))
     return violations(events, rules, fk=[("lead_id", leads, "lead_id")])
 
 
 def prediction_violations(predictions: DataFrame, leads: DataFrame) -> DataFrame:
-    rules = not_null("lead_id", "score", "bucket", "model_version", "scored_at") + max_length(PREDICTION_VARCHAR_LIMITS)
+    rules = not_null(*_present(predictions, ["lead_id", "score", "bucket", "model_version", "scored_at"]))
+    rules += max_length(_present(predictions, PREDICTION_VARCHAR_LIMITS))
     rules.append(one_of("bucket", PREDICTION_BUCKETS))
     return violations(predictions, rules, fk=[("lead_id", leads, "lead_id")])
 
 
 def sync_log_violations(logs: DataFrame, leads: DataFrame) -> DataFrame:
-    rules = not_null("lead_id", "source_system", "action", "status") + max_length(SYNC_VARCHAR_LIMITS)
+    rules = not_null(*_present(logs, ["lead_id", "source_system", "action", "status"]))
+    rules += max_length(_present(logs, SYNC_VARCHAR_LIMITS))
     rules.append(one_of("status", SYNC_STATUSES))
     return violations(logs, rules, fk=[("lead_id", leads, "lead_id")])
 
 
 def registry_violations(registry: DataFrame) -> DataFrame:
-    rules = not_null("version", "artifact_path", "trained_at") + max_length(REGISTRY_VARCHAR_LIMITS)
+    rules = not_null(*_present(registry, ["version", "artifact_path", "trained_at"]))
+    rules += max_length(_present(registry, REGISTRY_VARCHAR_LIMITS))
     return violations(registry, rules, unique=["version"])
 
 
