@@ -35,7 +35,7 @@ def with_as_of(leads: DataFrame, events: DataFrame, now, horizon_days: int = AS_
 
 
 def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catalogue = default_catalogue,
-                      salt_buckets: int = 8, materialize: bool = True) -> DataFrame:
+                      salt_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """lead_id, as_of, the 17 model features and ``converted`` for every usable labelled lead.
 
     The narrow (lead_id, converted, as_of) table feeds both the point-in-time join
@@ -64,7 +64,7 @@ def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_frac
 
 
 def training_dataset(leads: DataFrame, events: DataFrame, now, test_fraction: float = TEST_FRACTION,
-                     salt_buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+                     salt_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the 17 model features + converted, split on time."""
     lab = require_rows(labelled(leads))
     split = time_split(labelled_features(lab, events, now, salt_buckets=salt_buckets), test_fraction=test_fraction)

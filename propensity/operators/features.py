@@ -42,15 +42,44 @@ def _events_for_features(events: DataFrame) -> DataFrame:
     return events.select("lead_id", "event_type", "event_name", "occurred_at", sess.alias("session_id"))
 
 
+# Target events per join task for a hot lead, and the cap on how many hot leads
+# may be listed (the broadcast size bound).
+ROWS_PER_TASK = 2_000_000
+MAX_HOT_LEADS = 200_000
+
+
+def hot_keys(events: DataFrame, key: str = "lead_id", rows_per_task: int = ROWS_PER_TASK,
+             max_hot: int = MAX_HOT_LEADS) -> DataFrame:
+    """(key, _pit_k): keys owning more than ``rows_per_task`` rows and the number of
+    salt buckets each needs (ceil(rows / rows_per_task)).
+
+    Per-key counts are a partial aggregate over one column.  The threshold is raised
+    to total_rows / max_hot when needed, so the result never has more than
+    ``max_hot`` rows (each listed key owns more than threshold rows): a proven bound
+    that makes broadcasting it safe.  Only the total row count reaches the driver.
+    """
+    counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    threshold = max(int(rows_per_task), -(-int(total) // int(max_hot)))
+    return (counts.where(F.col("_n") > threshold)
+            .select(F.col(key), F.ceil(F.col("_n") / F.lit(float(threshold))).cast("int").alias("_pit_k")))
+
+
 def pit_join(leads_asof: DataFrame, events: DataFrame, as_of_col: str = "as_of",
-             salt_buckets: int = 8, as_of_upper=None) -> DataFrame:
+             salt_buckets: int | None = None, as_of_upper=None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Events strictly before their own lead's cut-off, with the cut-off attached.
 
-    ``leads_asof`` has one row per lead (lead_id, as_of).  The equi-key is salted
-    with ``salt_buckets`` buckets derived from the event's own columns, so a lead
-    that owns a large share of all events is split over that many join tasks; the
-    narrow (lead_id, as_of) side is replicated once per bucket.  ``as_of_upper`` (an
-    upper bound of every cut-off, e.g. "now") is applied to the event scan so
+    ``leads_asof`` has one row per lead (lead_id, as_of).  Skew handling:
+
+    * default (``salt_buckets=None``): adaptive salting.  Leads owning more than
+      ``rows_per_task`` events get ceil(n / rows_per_task) salt buckets (from
+      ``hot_keys``, a bounded broadcast); each of their events picks a bucket by a
+      hash of its own columns and only their (lead_id, as_of) row is replicated per
+      bucket, so a lead with a third of all events spreads over many join tasks
+      while ordinary leads are joined unchanged.
+    * ``salt_buckets=k``: every lead salted into k buckets; ``1`` disables salting.
+
+    ``as_of_upper`` (an upper bound of every cut-off) is applied to the event scan so
     Parquet can skip row groups.  Leads without qualifying events are absent here;
     ``feature_matrix`` keeps them.
     """
@@ -58,14 +87,25 @@ def pit_join(leads_asof: DataFrame, events: DataFrame, as_of_col: str = "as_of",
     if as_of_upper is not None:
         ev = ev.where(F.col("occurred_at") < as_of_timestamp(as_of_upper))
     la = leads_asof.select(F.col("lead_id").alias("_pit_lead"), F.col(as_of_col).alias("as_of"))
-    if salt_buckets and salt_buckets > 1:
-        ev = ev.withColumn("_pit_salt", F.pmod(F.xxhash64(*ev.columns), F.lit(salt_buckets)))
-        la = la.withColumn("_pit_lsalt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        cond = ((ev["lead_id"] == la["_pit_lead"]) & (ev["_pit_salt"] == la["_pit_lsalt"])
-                & (ev["occurred_at"] < la["as_of"]))
-        return ev.join(la, cond, "inner").drop("_pit_lead", "_pit_salt", "_pit_lsalt")
-    cond = (ev["lead_id"] == la["_pit_lead"]) & (ev["occurred_at"] < la["as_of"])
-    return ev.join(la, cond, "inner").drop("_pit_lead")
+    if salt_buckets == 1:
+        cond = (ev["lead_id"] == la["_pit_lead"]) & (ev["occurred_at"] < la["as_of"])
+        return ev.join(la, cond, "inner").drop("_pit_lead")
+    h = F.xxhash64(*ev.columns)
+    if salt_buckets is None:
+        hot = F.broadcast(hot_keys(ev, rows_per_task=rows_per_task))
+        ev = ev.join(hot, "lead_id", "left").withColumn("_pit_k", F.coalesce(F.col("_pit_k"), F.lit(1)))
+        la = (la.join(hot.withColumnRenamed("lead_id", "_pit_lead"), "_pit_lead", "left")
+              .withColumn("_pit_k", F.coalesce(F.col("_pit_k"), F.lit(1))))
+        k_ev, k_la = F.col("_pit_k"), F.col("_pit_k")
+    else:
+        k_ev = k_la = F.lit(int(salt_buckets))
+    ev = ev.withColumn("_pit_salt", F.pmod(h, k_ev.cast("bigint")))
+    la = la.withColumn("_pit_lsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), (k_la - 1).cast("bigint"))))
+    ev = ev.drop("_pit_k")
+    la = la.drop("_pit_k")
+    cond = ((ev["lead_id"] == la["_pit_lead"]) & (ev["_pit_salt"] == la["_pit_lsalt"])
+            & (ev["occurred_at"] < la["as_of"]))
+    return ev.join(la, cond, "inner").drop("_pit_lead", "_pit_salt", "_pit_lsalt")
 
 
 def as_of_timestamp(value) -> Column:
@@ -248,8 +288,9 @@ def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
 
 
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,
-                   catalogue: Catalogue = default_catalogue, salt_buckets: int = 8,
-                   as_of_upper=None, carry: tuple = (), restrict_events: bool = False) -> DataFrame:
+                   catalogue: Catalogue = default_catalogue, salt_buckets: int | None = None,
+                   as_of_upper=None, carry: tuple = (), restrict_events: bool = False,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """All catalogue features per lead, plus lead_id and the cut-off ``as_of``.
 
     ``as_of_col`` names a per-lead cut-off column of ``leads`` (training); otherwise
@@ -264,7 +305,8 @@ def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: s
         ev = ev.join(leads.select("lead_id"), "lead_id", "left_semi")
     if as_of_col is not None:
         la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
-        pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper)
+        pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper,
+                       rows_per_task=rows_per_task)
         base = la
     else:
         if as_of is None:

@@ -33,7 +33,7 @@ def _finite(cols) -> F.Column:
 
 def score_leads(requested: DataFrame, leads: DataFrame, events: DataFrame, model: PipelineModel,
                 model_version: str, importances: list[float], now, feature_names=MODEL_FEATURES,
-                thresholds=(BUCKET_A, BUCKET_B, BUCKET_C), salt_buckets: int = 8) -> ScoreBatch:
+                thresholds=(BUCKET_A, BUCKET_B, BUCKET_C), salt_buckets: int | None = None) -> ScoreBatch:
     """Score the requested lead ids (``requested``: lead_id [, position]).
 
     Unknown ids become 'Lead not found' errors; rows whose model inputs are not
@@ -63,7 +63,7 @@ def _with_position(requested: DataFrame) -> DataFrame:
 
 
 def batch_features(requested: DataFrame, leads: DataFrame, events: DataFrame, now,
-                   salt_buckets: int = 8) -> DataFrame:
+                   salt_buckets: int | None = None) -> DataFrame:
     """Features as of ``now`` for the requested leads that exist."""
     found = lookup_by_ids(leads.select("lead_id"), requested)
     return feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets, restrict_events=True)

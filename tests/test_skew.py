@@ -29,10 +29,21 @@ def test_salted_equals_unsalted(spark):
                                   "lead_id long, as_of timestamp_ntz")
     a = {r["lead_id"]: r.asDict() for r in feature_matrix(leads, ev, as_of_col="as_of", salt_buckets=1).collect()}
     b = {r["lead_id"]: r.asDict() for r in feature_matrix(leads, ev, as_of_col="as_of", salt_buckets=8).collect()}
-    assert a == b and len(a) == 205
+    c = {r["lead_id"]: r.asDict() for r in
+         feature_matrix(leads, ev, as_of_col="as_of", rows_per_task=100).collect()}  # lead 0 gets 10 buckets
+    assert a == b == c and len(a) == 205
     assert a[0]["total_pageviews_30d"] > 100
 
 
+def test_hot_keys_bounded(spark):
+    from propensity.operators.features import hot_keys
+    ev = skewed_events(spark)
+    hot = {r[0]: r[1] for r in hot_keys(ev, rows_per_task=100).collect()}
+    assert hot == {0: 10}
+    # the threshold rises so that at most max_hot keys are listed
+    assert hot_keys(ev, rows_per_task=1, max_hot=3).count() <= 3
+
+
 def test_salted_plan_without_broadcast(spark):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -40,9 +51,10 @@ def test_salted_plan_without_broadcast(spark):
         ev = skewed_events(spark, 300)
         leads = spark.createDataFrame([(i, datetime(2024, 1, 20)) for i in range(0, 205)],
                                       "lead_id long, as_of timestamp_ntz")
-        df = feature_matrix(leads, ev, as_of_col="as_of", salt_buckets=8)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "_pit_salt" in plan and "SortMergeJoin" in plan
-        assert df.count() == 205
+        for kwargs in ({"salt_buckets": 8}, {"rows_per_task": 10}):
+            df = feature_matrix(leads, ev, as_of_col="as_of", **kwargs)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "_pit_salt" in plan and "SortMergeJoin" in plan
+            assert df.count() == 205
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
