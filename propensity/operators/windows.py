@@ -65,9 +65,18 @@ def global_rank(df: DataFrame, order: list[str], partitions: int | None = None,
             .drop("_pid", "_lrank", "_off"))
 
 
+def _epoch_micros(df: DataFrame, ts: str):
+    """Microseconds since the epoch (wall clock for ``timestamp_ntz``)."""
+    from pyspark.sql import types as T
+    t = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at", type_col: str = "event_type",
                page_type: str = "page_view", gap_seconds: int = 1800, tie: str = "event_id",
-               bucket: str = "1 day") -> DataFrame:
+               bucket_seconds: int = 86_400, rows_per_task: int | None = None) -> DataFrame:
     """Session number for page views: per key in time order, a page view continues
     the current session iff the immediately preceding event (of any type) is a page
     view at most ``gap_seconds`` earlier; any other event breaks the chain.
@@ -75,16 +84,24 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
     Adds ``session_no`` (1, 2, ... per key; NULL for other event types).  Work runs
     per (key, time bucket); the previous bucket's last event and the number of
     sessions started before a bucket come from per-bucket summaries (bounded by
-    the number of non-empty buckets, not by event volume).
+    the number of non-empty buckets, not by event volume).  Buckets are
+    ``bucket_seconds`` wide; a key owning more than ``rows_per_task`` rows gets
+    proportionally narrower buckets (from the bounded hot-key table), so a key with
+    a third of all events is still spread over many tasks.
     """
+    from propensity.operators.features import ROWS_PER_TASK, hot_keys
+    width = int(bucket_seconds) * 1_000_000
+    hot = F.broadcast(hot_keys(events.select(key), key, rows_per_task or ROWS_PER_TASK)
+                      .withColumnRenamed("_pit_k", "_sk"))
+    ev = events.join(hot, key, "left")
+    w_us = F.greatest(F.lit(1), F.floor(F.lit(width) / F.coalesce(F.col("_sk"), F.lit(1))))
+    ev = ev.withColumn("_bucket", F.floor(_epoch_micros(events, ts) / w_us).cast("bigint")).drop("_sk")
     t = F.col(ts)
-    b = F.window(t, bucket).start.alias("_bucket")
-    ev = events.withColumn("_bucket", b)
     w_in = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
     ev = (ev.withColumn("_prev_type", F.lag(type_col).over(w_in))
           .withColumn("_prev_ts", F.lag(ts).over(w_in)))
     # last event of each bucket, and of the previous non-empty bucket of the key
-    last = (events.withColumn("_bucket", b).groupBy(key, "_bucket")
+    last = (ev.groupBy(key, "_bucket")
             .agg(F.max_by(F.struct(F.col(type_col).alias("t"), t.alias("ts")), F.struct(t, F.col(tie))).alias("_last")))
     w_b = Window.partitionBy(key).orderBy("_bucket")
     prev_last = last.select(key, "_bucket", F.lag("_last").over(w_b).alias("_pl"))

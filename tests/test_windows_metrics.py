@@ -41,6 +41,11 @@ def test_sessionize_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "event_id long, lead_id long, event_type string, occurred_at timestamp_ntz")
     got = {r["event_id"]: r["session_no"] for r in sessionize(df, gap_seconds=1800).collect()}
     assert got == brute_sessions(rows, 1800)
+    # hot keys get narrower buckets (here ~1/3 day); the answer must not change
+    for rpt in (30, 2):  # ~8 h buckets, then ~30 min buckets (narrower than the gap)
+        got = {r["event_id"]: r["session_no"] for r in
+               sessionize(df, gap_seconds=3600, rows_per_task=rpt).collect()}
+        assert got == brute_sessions(rows, 3600)
 
 
 def test_dedup_first_and_latest(spark):
