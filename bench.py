@@ -43,20 +43,27 @@ def main() -> None:
     skip = set(filter(None, os.environ.get("BENCH_SKIP", "").split(",")))
     spark = get_spark(app="propensity-bench")
     run(Q.QUERIES["latest_event"](spark, sf_dir))  # warm-up: JVM, parquet footers
-    times = {}
+    times, errors = {}, {}
     for name in HEADLINE:
         if name in skip:
             continue
         best = None
-        for _ in range(repeat):
-            t0 = time.perf_counter()
-            run(Q.QUERIES[name](spark, sf_dir))
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+        try:
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                run(Q.QUERIES[name](spark, sf_dir))
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+        except Exception as exc:  # keep measuring the others; report the failure
+            times[name] = None
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    out = {"metric": "headline_total", "value": round(sum(v for v in times.values() if v is not None), 3),
+           "unit": "sec", "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

@@ -29,7 +29,7 @@ def get_spark(master: str | None = None, app: str = "propensity", shuffle_partit
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
+        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "4g"),
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
     conf.update(extra or {})
