@@ -18,6 +18,8 @@ the whole batch is one plan:
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from propensity.functions.json import session_id as json_session_id
 from propensity.functions.time import (as_timestamp, in_window, micros_between, minus_days, seconds_between,
                                       whole_days)
 
+log = logging.getLogger(__name__)
+
 PAGE_VIEW = "page_view"
 EMAIL_OPEN = "email_open"
 EMAIL_CLICK = "email_click"
@@ -280,11 +284,21 @@ def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalog
 
 
 def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
-    builders = catalogue.custom_builders()
-    if not builders:
-        return None
+    """User-registered aggregate builders.  A builder that fails is logged and left
+    out (its feature falls back to the built-in value or the default); the others
+    are unaffected."""
     a = F.col("as_of")
-    return pit.groupBy("lead_id").agg(*[fn(a).alias(name) for name, fn in builders.items()])
+    cols = []
+    for name, fn in catalogue.custom_builders().items():
+        try:
+            expr = fn(a).alias(name)
+            pit.groupBy("lead_id").agg(expr).schema  # analysis errors surface here, per feature
+            cols.append(expr)
+        except Exception as exc:  # noqa: BLE001 - isolate one bad feature
+            log.warning("feature_computation_failed feature=%s error=%s", name, exc)
+    if not cols:
+        return None
+    return pit.groupBy("lead_id").agg(*cols)
 
 
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,

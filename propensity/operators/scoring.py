@@ -97,3 +97,15 @@ def append_predictions(results: DataFrame, path: str) -> None:
     """Append one prediction row per scored lead, partitioned by model version."""
     (results.withColumn("top_factors", F.to_json("top_factors"))
      .write.mode("append").partitionBy("model_version").parquet(path))
+
+
+def score_one(lead_id, leads: DataFrame, events: DataFrame, model: PipelineModel, model_version: str,
+              importances: list[float], now, **kwargs) -> DataFrame:
+    """Score a single lead; an unknown id raises ``LookupError`` ("Lead not found")."""
+    spark = leads.sparkSession
+    req = spark.createDataFrame([(lead_id, 0)], f"lead_id {leads.schema['lead_id'].dataType.simpleString()}, "
+                                                "position bigint")
+    batch = score_leads(req, leads, events, model, model_version, importances, now, **kwargs)
+    if not batch.errors.isEmpty():
+        raise LookupError(f"Lead not found: {lead_id}")
+    return batch.results

@@ -147,3 +147,22 @@ def test_catalogue_registry(spark):
     assert cat.default("days_since_last_visit") == 365
     assert cat.metadata("job_title_seniority")["categories"][0] == "unknown"
     assert cat.as_df(spark).count() == 20
+
+
+def test_failing_builder_is_isolated(spark):
+    from pyspark.sql import functions as F
+    cat = Catalogue()
+
+    @cat.register("company_size_bucket")
+    def _bad(as_of):
+        return F.max(F.col("no_such_column"))
+
+    @cat.register("job_title_seniority")
+    def _good(as_of):
+        return F.lit("manager")
+
+    ev = spark.createDataFrame([e("page_view", 1)], SCHEMA)
+    ld = spark.createDataFrame([(1,)], "lead_id long")
+    r = feature_matrix(ld, ev, as_of=AS_OF, catalogue=cat).first()
+    assert r["company_size_bucket"] == "unknown" and r["job_title_seniority"] == "manager"
+    assert r["days_since_last_visit"] == 1
