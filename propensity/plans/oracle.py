@@ -243,11 +243,11 @@ CRM = """crm AS (
 )"""
 
 REGISTRY = """reg AS (
-  SELECT CASE WHEN n_nationkey % 6 = 5
-              THEN 'v' || CAST(n_regionkey + 1 AS VARCHAR) || '.' || CAST(n_nationkey AS VARCHAR) || '.1'
-              ELSE 'v' || CAST(n_regionkey + 1 AS VARCHAR) || '.' || CAST(n_nationkey AS VARCHAR) END AS version,
-         n_nationkey = 7 AS is_active, n_nationkey
-  FROM nation
+  SELECT CASE WHEN s_suppkey % 6 = 5
+              THEN 'v' || CAST(s_nationkey % 5 + 1 AS VARCHAR) || '.' || CAST(s_suppkey AS VARCHAR) || '.1'
+              ELSE 'v' || CAST(s_nationkey % 5 + 1 AS VARCHAR) || '.' || CAST(s_suppkey AS VARCHAR) END AS version,
+         s_suppkey = 7 AS is_active, s_suppkey
+  FROM supplier
 )"""
 
 PREDICTIONS = HOLDOUT + """,

@@ -538,8 +538,8 @@ def q_active_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.active(tb.registry_view(spark, sf_dir)).select("version")
 
 
-@register("active_model_info", O.with_(O.REGISTRY) + """SELECT version, 0.5 + n_nationkey / 100.0 AS auc_roc,
-  TIMESTAMP '2024-01-01 00:00:00' + to_days(n_nationkey) AS trained_at FROM reg WHERE is_active""")
+@register("active_model_info", O.with_(O.REGISTRY) + """SELECT version, 0.5 + (s_suppkey % 50) / 100.0 AS auc_roc,
+  TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(s_suppkey AS INTEGER)) AS trained_at FROM reg WHERE is_active""")
 def q_active_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = rg.active_model_info(tb.registry_view(spark, sf_dir))
     return info.select("version", F.col("metrics")["auc_roc"].alias("auc_roc"), "trained_at")
@@ -628,11 +628,11 @@ def q_event_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame
     return v.select("event_id", F.explode("violations").alias("rule"))
 
 
-@register("row_defaults", O.with_(O.REGISTRY) + """SELECT version, coalesce(CASE WHEN n_nationkey % 2 = 0
+@register("row_defaults", O.with_(O.REGISTRY) + """SELECT version, coalesce(CASE WHEN s_suppkey % 2 = 0
   THEN is_active END, false) AS is_active, 'pending' AS status FROM reg""")
 def q_row_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = tb.registry_view(spark, sf_dir)
-    # odd nations arrive without an is_active value and without a status
+    # odd suppliers' versions arrive without an is_active value and without a status
     nat = F.regexp_extract("version", r"^v\d+\.(\d+)", 1).cast("int")
     raw = reg.select("version", F.when(F.pmod(nat, F.lit(2)) == 0, F.col("is_active")).alias("is_active"),
                      F.lit(None).cast("string").alias("status"))

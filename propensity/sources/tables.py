@@ -228,21 +228,20 @@ def crm_contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model registry derived from ``nation``: one version per nation (a few
-    malformed), the version of nation 7 active."""
-    nat = read_table(spark, sf_dir, "nation")
-    n, r = F.col("n_nationkey"), F.col("n_regionkey")
-    version = F.when(F.pmod(n, F.lit(6)) == 5, F.concat(F.lit("v"), (r + 1).cast("string"), F.lit("."),
-                                                         n.cast("string"), F.lit(".1"))) \
-        .otherwise(F.concat(F.lit("v"), (r + 1).cast("string"), F.lit("."), n.cast("string")))
-    return nat.select(
+    """A model registry derived from ``supplier``: one version per supplier (every
+    sixth malformed), the version of supplier 7 active."""
+    sup = read_table(spark, sf_dir, "supplier")
+    k, r = F.col("s_suppkey"), F.pmod(F.col("s_nationkey"), F.lit(5))
+    base = F.concat(F.lit("v"), (r + 1).cast("string"), F.lit("."), k.cast("string"))
+    version = F.when(F.pmod(k, F.lit(6)) == 5, F.concat(base, F.lit(".1"))).otherwise(base)
+    return sup.select(
         version.alias("version"),
         F.concat(F.lit("models/"), version).alias("artifact_path"),
-        F.create_map(F.lit("auc_roc"), (F.lit(0.5) + n / F.lit(100.0))).alias("metrics"),
+        F.create_map(F.lit("auc_roc"), (F.lit(0.5) + F.pmod(k, F.lit(50)) / F.lit(100.0))).alias("metrics"),
         F.lit('{"max_depth": 6}').alias("hyperparameters"),
         F.array(F.lit("days_since_last_visit"), F.lit("total_sessions")).alias("feature_columns"),
-        (n == 7).alias("is_active"),
-        F.timestamp_add("DAY", n, ntz(FIXTURE_EPOCH)).alias("trained_at"),
+        (k == 7).alias("is_active"),
+        F.timestamp_add("DAY", k, ntz(FIXTURE_EPOCH)).alias("trained_at"),
     )
 
 
