@@ -8,35 +8,51 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Session settings this workload wants; each is applied only where the deployment
+# (spark-submit --conf, spark-defaults) has not set it already.
+RUNTIME_DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+}
+
+
 def get_spark(master: str | None = None, app: str = "propensity", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Session tuned for this workload.
 
-    On a cluster, ``master`` and memory come from spark-submit; the values here only
-    fill in what is unset.  AQE stays on so shuffle partitions coalesce at runtime,
-    skewed join partitions split, and small join sides become broadcasts only after
-    their real shuffle size is measured.
+    On a cluster the master, memory and shuffle sizing come from spark-submit and
+    are left alone; only unset settings are filled in.  AQE stays on so shuffle
+    partitions coalesce at runtime, skewed join partitions split, and small join
+    sides become broadcasts only after their real shuffle size is measured.  A
+    local master (tests, the bench) gets a small shuffle-partition count.
+    Explicit ``shuffle_partitions`` / ``extra`` always apply.
     """
-    cpus = os.environ.get("BENCH_CPUS", "*")
+    launched = bool(os.environ.get("PYSPARK_GATEWAY_PORT"))  # JVM already started by spark-submit
+    master = master or os.environ.get("SPARK_MASTER")
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
-    conf = {
-        "spark.ui.enabled": "false",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "4g"),
-        "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    }
-    conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
+    if master:
+        builder = builder.master(master)
+    elif not launched:
+        builder = builder.master(f"local[{os.environ.get('BENCH_CPUS', '*')}]")
+    # launch-time settings: only effective when this process starts the JVM
+    builder = (builder.config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "4g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    deployed = spark.sparkContext.getConf()
+    for k, v in RUNTIME_DEFAULTS.items():
+        if not deployed.contains(k):
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif (spark.sparkContext.master or "").startswith("local") and not deployed.contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for k, v in (extra or {}).items():
+        spark.conf.set(k, v)
     checkpoint_dir(spark)
     return spark
 
@@ -51,7 +67,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="propensity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
