@@ -95,13 +95,14 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
                       .withColumnRenamed("_pit_k", "_sk"))
     ev = events.join(hot, key, "left")
     w_us = F.greatest(F.lit(1), F.floor(F.lit(width) / F.coalesce(F.col("_sk"), F.lit(1))))
-    ev = ev.withColumn("_bucket", F.floor(_epoch_micros(events, ts) / w_us).cast("bigint")).drop("_sk")
+    bucketed = ev.withColumn("_bucket", F.floor(_epoch_micros(events, ts) / w_us).cast("bigint")).drop("_sk")
     t = F.col(ts)
     w_in = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
-    ev = (ev.withColumn("_prev_type", F.lag(type_col).over(w_in))
+    ev = (bucketed.withColumn("_prev_type", F.lag(type_col).over(w_in))
           .withColumn("_prev_ts", F.lag(ts).over(w_in)))
-    # last event of each bucket, and of the previous non-empty bucket of the key
-    last = (ev.groupBy(key, "_bucket")
+    # last event of each bucket (a partial aggregate of the raw rows), and of the
+    # previous non-empty bucket of the key
+    last = (bucketed.groupBy(key, "_bucket")
             .agg(F.max_by(F.struct(F.col(type_col).alias("t"), t.alias("ts")), F.struct(t, F.col(tie))).alias("_last")))
     w_b = Window.partitionBy(key).orderBy("_bucket")
     prev_last = last.select(key, "_bucket", F.lag("_last").over(w_b).alias("_pl"))
