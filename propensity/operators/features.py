@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from propensity.catalogue import Catalogue, default_catalogue, spark_type
 from propensity.functions.json import session_id as json_session_id
-from propensity.functions.time import (as_timestamp, in_window, micros_between, minus_days, seconds_between,
-                                      whole_days)
+from propensity.functions.time import as_timestamp, seconds_between
 
 log = logging.getLogger(__name__)
 
