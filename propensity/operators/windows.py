@@ -121,14 +121,18 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
     return out.drop("_bucket", "_prev_type", "_prev_ts", "_pl", "_start", "_local", "_off")
 
 
-def prefix_sums(df: DataFrame, order: list[str], cols: list[str], partitions: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list, cols: list[str], partitions: int | None = None) -> DataFrame:
     """Adds ``_before_<c>`` = sum of ``c`` over all rows strictly before each row in
-    ``order`` (a total order).  Range partitioning keeps neighbours together; each
-    partition computes local prefixes and a per-partition total table (one row per
-    partition) supplies the offsets, so no single task sees all rows."""
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    ``order`` (a total order; names or sort columns).
+
+    Range partitioning keeps neighbours together; each partition computes local
+    prefixes and a per-partition total table (one row per partition) supplies the
+    offsets, so no single task sees all rows.  The ranged frame is checkpointed
+    once and both parts read that copy: two range exchanges would draw their own
+    samples and number their partitions differently.  ``partitions`` fixes the
+    number of ranges; without it the optimizer chooses."""
+    ranges = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order))
+    ranged = checkpoint(ranged_ids(ranges))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_lp_{c}") for c in cols])
     totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
@@ -137,3 +141,8 @@ def prefix_sums(df: DataFrame, order: list[str], cols: list[str], partitions: in
                                       for c in cols])
     out = local.join(F.broadcast(offsets), "_pid")
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_lp_{c}")).alias(f"_before_{c}") for c in cols])
+
+
+def ranged_ids(ranged: DataFrame) -> DataFrame:
+    """``_pid``: the number of the range a row lies in (ranges are numbered in order)."""
+    return ranged.withColumn("_pid", F.spark_partition_id())
