@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import fresh
+from propensity.llm.common import fresh, written
 from propensity.operators.windows import prefix_sums
 
 WEIGHTS = (5, 2, 1)
@@ -79,13 +79,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     over thousands of groups.
     """
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"), h.alias("h"),
-                       *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []))
-    rows = rows.withColumn("cls", size_class(F.col("size"))).withColumn(
-        "hb", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % HASH_BUCKETS)
-    targets = source_targets(rows.select("source", "size"), weights, max_repeat)
-    groups = rows.groupBy("source", "cls", "hb").agg(F.count("*").alias("n"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                        word_count(F.col(text_col)).alias("size"), h.alias("h"),
+                        *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []))
+    narrow = written(sized.drop("row"), "sizes")  # texts are counted once, then only numbers are read
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cls", size_class(F.col("size"))).withColumn(
+            "hb", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % HASH_BUCKETS)
+
+    rows, groups = classed(sized if keep else narrow), classed(narrow)
+    targets = source_targets(narrow.select("source", "size"), weights, max_repeat)
+    groups = groups.groupBy("source", "cls", "hb").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("cls", "hb").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
