@@ -20,8 +20,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,24 +40,37 @@ GROUP = 50_000  # pieces that one task packs
 ROUNDS = 8
 
 _BLOCK = 1 << 20  # characters tokenised together
-_MEMORY = 300_000  # pre-tokens a task remembers
-#: Characters for which Python's classes equal the pattern's: everything else is encoded whole.
-_UNCOMMON = re.compile("[^\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]|<\\|")
-#: The byte-level pre-tokeniser's pattern, in Python's classes.
-_PRETOKEN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_MEMORY = 600_000  # pre-tokens a Python worker remembers
+#: Characters that the pattern below splits as the tokenizer does; texts with others are encoded whole.
+_COMMON = "\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€"
+_UNCOMMON = re.compile(f"[^{_COMMON}]|<\\|")
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # the letters among them
+#: The byte-level pre-tokeniser's pattern over those characters.
+_PRETOKEN = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+
+
+def _little(ids: list[int]) -> bytes:
+    data = array("I", ids)
+    if sys.byteorder != "little":
+        data.byteswap()
+    return data.tobytes()
 
 
 class IdBytes:
-    """Token ids of texts as little-endian unsigned 32-bit integers."""
+    """Token ids of texts as little-endian unsigned 32-bit integers.
+
+    Pre-tokens met are remembered with their ids, a bounded number of them: beyond it,
+    those that were met only once are forgotten first."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [_little(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def blocks(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         block, size = [], 0
@@ -68,16 +85,25 @@ class IdBytes:
 
     def joined(self, block: list[str]) -> list[bytes]:
         split = [None if _UNCOMMON.search(t) else _PRETOKEN.findall(t) for t in block]
-        new = list({w for ws in split if ws for w in ws}.difference(self.known))
+        met = set(chain.from_iterable(ws for ws in split if ws))
+        new = list(met.difference(self.known))
         if len(self.known) + len(new) > _MEMORY:
-            self.known.clear()
-            new = list({w for ws in split if ws for w in ws})
+            keep = self.again if len(self.again) + len(met) <= _MEMORY // 2 else set()
+            self.known = {w: self.known[w] for w in keep | (met & self.known.keys())}
+            self.again = set()
+        self.again |= met & self.known.keys()
         self.known.update(zip(new, self.encode(new)))
         whole = iter(self.encode([t for t, ws in zip(block, split) if ws is None]))
         get = self.known.__getitem__
         return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
+@lru_cache(maxsize=2)
+def id_bytes(path: str) -> IdBytes:
+    """One per Python worker, so that tasks of a worker share what it remembers."""
+    return IdBytes(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            length: int = SEQUENCE, closing: int = CLOSING_ID) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: every document cut to sequence length."""
@@ -85,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = np.array([closing], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = IdBytes(tokenizer)
+        enc = id_bytes(tokenizer)
         for pdf in batches:
             ids, at = pdf["id"].tolist(), 0
             texts = [t if isinstance(t, str) else None for t in pdf["text"].tolist()]
@@ -167,7 +193,6 @@ def pack(items: DataFrame, capacity: int = SEQUENCE, group: int = GROUP, rounds:
     for k in range(1, rounds + 1):
         parts = -(-left // group)
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("_uid", F.lit(k)), F.lit(max(parts, 1))))
-        schema = dealt.drop("bin", "offset").schema.simpleString()[7:-1].replace(":", " ")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.drop("bin", "offset", "done").schema)
         packed = dealt.drop("bin", "offset", "done").groupBy("part").applyInPandas(
             lambda pdf: _pack_group(pdf, capacity), f"{schema}, bin long, offset long, done boolean")
