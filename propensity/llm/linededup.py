@@ -13,7 +13,9 @@ once the match is extended to both sides over the windows that selected them, co
 by 128 bits over all their lines; every occurrence of a window but the first is covered,
 and covered lines of overlapping windows merge into whole runs.  Matching with the first
 occurrence through a decomposable ``min`` keeps a passage with any number of copies
-linear: no pairs are listed, and hot keys are pre-aggregated before the shuffle.
+linear: no pairs are listed, and hot keys are pre-aggregated before the shuffle.  Texts
+are read twice: for the windows, which are written once as hashes and positions, and for
+the deletion.
 
 Defined results: null text stays null (0 lines); a text without a repeated run is
 returned unchanged, blank lines and spaces included; deleted lines go with their line
@@ -26,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import fresh
+from propensity.llm.common import fresh, written
 
 MIN_LINES = 3
 MIN_WORDS = 50
-SPACE = r"[ \t\x0B\f\r]"
+SPACES = " \t\x0b\f\r"
 WORD = r"[^ \t\x0B\f\r]+"
 
 
@@ -43,7 +45,7 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, mi
     ``last`` position, the fingerprint ``fp`` with its position ``at``, and the ``key`` of
     all lines of the window."""
     trimmed = F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(
-        i.alias("pos"), F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "").alias("t")))
+        i.alias("pos"), F.trim(x, F.lit(SPACES)).alias("t")))
     hashed = F.transform(F.filter(trimmed, lambda x: x["t"] != ""), lambda x: F.struct(
         F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit("second"), x["t"]).alias("g"), x["pos"].alias("pos"),
         F.least(F.regexp_count(x["t"], F.lit(WORD)), F.lit(min_words)).alias("w")))
@@ -67,7 +69,7 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, mi
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, th, first, last)``: the maximal stretches of lines to delete."""
-    win = line_windows(docs, id_col, text_col, min_lines, min_words)
+    win = written(line_windows(docs, id_col, text_col, min_lines, min_words), "windows")
     place = F.xxhash64("id", "th", "at")
     fps = (win.groupBy("fa", "fb").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
            .select("fa", "fb"))
@@ -115,7 +117,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 c AS (
-  SELECT * FROM (SELECT doc_id, pos, regexp_replace(raw, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM l) WHERE t <> ''),
+  SELECT * FROM (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM l) WHERE t <> ''),
 w AS (
   SELECT *, least({MIN_WORDS}, len(regexp_extract_all(t, '{WORD}'))) AS n FROM c),
 z AS (
