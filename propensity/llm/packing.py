@@ -8,9 +8,8 @@ meets the bound, the partition is certified and closed.  Partitions with a gap k
 full bins and exchange the pieces of the others: these are dealt to fewer partitions and
 packed again, until every partition is certified or an exchange saves no bin.
 
-Tokenising counts on the tokenizer's own pre-tokenisation: a text of common characters is
-split by the same pattern, each distinct pre-token of a block is encoded once, and its ids
-are joined as bytes; any other text is encoded whole.  Texts are never cut before.
+Texts are tokenised whole, one at a time, in a pass over the input without a shuffle; only
+numbers go on from there.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed
 once each; an empty table gives an empty result; extra columns are ignored.
@@ -18,14 +17,12 @@ once each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,92 +36,62 @@ CLOSING_ID = 0
 GROUP = 50_000  # pieces that one task packs
 ROUNDS = 8
 
-_BLOCK = 1 << 20  # characters tokenised together
-_MEMORY = 600_000  # pre-tokens a Python worker remembers
-#: Characters that the pattern below splits as the tokenizer does; texts with others are encoded whole.
-_COMMON = "\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€"
-_UNCOMMON = re.compile(f"[^{_COMMON}]|<\\|")
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # the letters among them
-#: The byte-level pre-tokeniser's pattern over those characters.
-_PRETOKEN = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: Texts with other characters, or with the opening of a special string, go through the
+#: tokenizer itself, as do those with an unbroken run over ``_LONG`` characters.
+_UNCOMMON = re.compile(r"[^\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]|<\||\s{1000}")
+_LONG = 1000
 
 
-def _little(ids: list[int]) -> bytes:
-    data = array("I", ids)
-    if sys.byteorder != "little":
-        data.byteswap()
-    return data.tobytes()
-
-
-class IdBytes:
+class TokenIds:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    Pre-tokens met are remembered with their ids, a bounded number of them: beyond it,
-    those that were met only once are forgotten first."""
+    ``tokenizer`` is the file of the tokenizers library that defines them.  ``ranks`` is
+    the same vocabulary as merge ranks: over common characters its encoder gives the same
+    ids several times faster, so texts of these take it."""
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [_little(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def blocks(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        block, size = [], 0
-        for t in texts:
-            block.append(t or "")
-            size += len(block[-1])
-            if size >= _BLOCK:
-                yield self.joined(block)
-                block, size = [], 0
-        if block:
-            yield self.joined(block)
-
-    def joined(self, block: list[str]) -> list[bytes]:
-        split = [None if _UNCOMMON.search(t) else _PRETOKEN.findall(t) for t in block]
-        met = set(chain.from_iterable(ws for ws in split if ws))
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > _MEMORY:
-            keep = self.again if len(self.again) + len(met) <= _MEMORY // 2 else set()
-            self.known = {w: self.known[w] for w in keep | (met & self.known.keys())}
-            self.again = set()
-        self.again |= met & self.known.keys()
-        self.known.update(zip(new, self.encode(new)))
-        whole = iter(self.encode([t for t, ws in zip(block, split) if ws is None]))
-        get = self.known.__getitem__
-        return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
+        self.slow, self.fast = Tokenizer.from_file(tokenizer), None
+        if ranks:
+            import tiktoken
+            with open(ranks, "rb") as lines:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.fast is None or _UNCOMMON.search(text) or max(map(len, text.split()), default=0) > _LONG:
+            ids = np.array(self.slow.encode(text, add_special_tokens=False).ids)
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
-def id_bytes(path: str) -> IdBytes:
-    """One per Python worker, so that tasks of a worker share what it remembers."""
-    return IdBytes(path)
+def token_ids(*files: str | None) -> TokenIds:
+    """One per Python worker: tasks of a worker share it."""
+    return TokenIds(*files)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           length: int = SEQUENCE, closing: int = CLOSING_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None,
+           id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, closing: int = CLOSING_ID) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: every document cut to sequence length."""
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([closing], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = id_bytes(tokenizer)
+        encode = token_ids(tokenizer, ranks, pattern)
         for pdf in batches:
-            ids, at = pdf["id"].tolist(), 0
-            texts = [t if isinstance(t, str) else None for t in pdf["text"].tolist()]
             rows = []
-            for block in enc.blocks(texts):
-                for data in block:
-                    data += end
-                    n, start, k = len(data) // 4, 0, 0
-                    stop = n % length or length
-                    while start < n:
-                        rows.append((ids[at], k, start, stop - start, zlib.crc32(data[4 * start:4 * stop])))
-                        start, stop, k = stop, stop + length, k + 1
-                    at += 1
+            for doc, text in zip(pdf["id"].tolist(), pdf["text"].tolist()):
+                data = encode(text if isinstance(text, str) else None) + end
+                n, start, k = len(data) // 4, 0, 0
+                stop = n % length or length
+                while start < n:
+                    rows.append((doc, k, start, stop - start, zlib.crc32(data[4 * start:4 * stop])))
+                    start, stop, k = stop, stop + length, k + 1
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long"

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from propensity.llm import langid, linededup, mixing, packing
 from propensity.llm.common import table
 
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            public_tokenizers.PATTERN)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -39,7 +42,7 @@ ORACLE["op6_line_dedup"] = linededup.ORACLE
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    packed = packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    packed = packing.pack(packing.pieces(docs, *BYTE_BPE))
     return packed.withColumnRenamed("id", "doc_id")
 
 
