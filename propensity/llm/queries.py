@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.llm import ann, html, langid, linededup, mixing, neardup, packing, tokens
+from propensity.llm import ann, html, jaccard, langid, linededup, mixing, neardup, packing, tokens
 from propensity.llm.common import table
 
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -82,3 +82,9 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
