@@ -29,7 +29,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,9 +192,9 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
 def extract(html: Column) -> Column:
     """The main text of ``html``, a string that is never null."""
 
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pd.Series([main_text(x) for x in pages.tolist()], dtype=object)
+            yield pa.array([main_text(x.as_py()) for x in pages], pa.string())
 
-    texts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(texts, "string")(html)
+    texts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(texts, "string")(html)

@@ -21,10 +21,10 @@ the score is the cosine, 0 where it is negative.  A null id counts as the empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +97,7 @@ class Encoder:
             out += counts.reshape(len(texts), len(part)).astype(np.float32) @ vec.astype(np.float32)
         return out
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Rows of texts with a letter, and their vectors, a bounded number of characters at a time."""
         rows, own, size = [], [], 0
         for i, t in enumerate(texts):
@@ -131,16 +131,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rate = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(grid, -(-grid * max_docs // c)))])
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(grid)) < rate[F.col("lang")])
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, total = Encoder(dim, n), {}
-        for pdf in batches:
-            for own, vec in enc.blocks(pdf["text"].tolist()):
-                for lang, part in pd.DataFrame(vec).groupby(pdf["lang"].to_numpy()[own]):
-                    total[lang] = total.get(lang, 0) + part.to_numpy().sum(axis=0)
+        for b in batches:
+            langs = np.array(b.column("lang").to_pylist(), dtype=object)
+            for own, vec in enc.blocks(t.as_py() for t in b.column("text")):
+                for lang in set(langs[own]):
+                    total[lang] = total.get(lang, 0) + vec[langs[own] == lang].sum(axis=0)
         for lang, vec in total.items():
-            yield pd.DataFrame({"lang": lang, "i": np.arange(dim), "v": np.rint(vec).astype(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)),
+                                              pa.array(np.rint(vec).astype(np.int64))], ["lang", "i", "v"])
 
-    got = drawn.mapInPandas(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    got = drawn.select("text", "lang").mapInArrow(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     prototypes: dict[str, np.ndarray] = {}
     for r in got:
         prototypes.setdefault(r["lang"], np.zeros(dim))[r["i"]] = r["v"]
@@ -152,20 +154,20 @@ def predict(prototypes: dict[str, np.ndarray], dim: int = DIM, n: int = NGRAM):
     langs = list(prototypes)
     proto = np.stack([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-12) for x in langs]) if langs else None
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(dim, n)
         for texts in batches:
             lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
             if proto is not None:
-                for own, vec in enc.blocks(texts.tolist()):
+                for own, vec in enc.blocks(t.as_py() for t in texts):
                     cos = vec @ proto.T / np.maximum(np.linalg.norm(vec, axis=1), 1e-12)[:, None]
                     best = cos.argmax(axis=1)
                     lang[own] = np.array(langs, dtype=object)[best]
                     score[own] = np.clip(cos[np.arange(len(own)), best], 0.0, 1.0)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(scores, "lang_pred string, score double")
+    scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(scores, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", name: str = "language") -> DataFrame:

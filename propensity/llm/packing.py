@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,21 +82,27 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([closing], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = token_ids(tokenizer, ranks, pattern)
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["id"].tolist(), pdf["text"].tolist()):
-                data = encode(text if isinstance(text, str) else None) + end
+        for batch in batches:
+            doc, piece, starts, lengths, crc = [], [], [], [], []
+            for i, text in enumerate(batch.column("text")):  # one text at a time: a batch may be tens of MB
+                data = encode(text.as_py()) + end
                 n, start, k = len(data) // 4, 0, 0
                 stop = n % length or length
                 while start < n:
-                    rows.append((doc, k, start, stop - start, zlib.crc32(data[4 * start:4 * stop])))
+                    doc.append(i)
+                    piece.append(k)
+                    starts.append(start)
+                    lengths.append(stop - start)
+                    crc.append(zlib.crc32(data[4 * start:4 * stop]))
                     start, stop, k = stop, stop + length, k + 1
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()),
+                 pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 def lower_bound(counts: np.ndarray) -> int:

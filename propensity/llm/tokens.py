@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import mul
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,7 +66,7 @@ class PieceCounts:
         get = known.__getitem__
         return [sum(map(mul, f.values(), map(get, f))) for f in freqs]
 
-    def count_all(self, texts: list[str | None]) -> list[int]:
+    def count_all(self, texts: Iterable[str | None]) -> list[int]:
         out: list[int] = []
         block, size = [], 0
         for t in texts:
@@ -87,9 +87,9 @@ def piece_counts(model: str) -> PieceCounts:
 def token_count(text: Column, model: str) -> Column:
     """The number of pieces of ``text`` by the sentencepiece model file, as a long."""
 
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(piece_counts(model).count_all(texts.tolist()), dtype="int64")
+            yield pa.array(piece_counts(model).count_all(t.as_py() for t in texts), pa.int64())
 
-    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(count, "long")(text)
+    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(count, "long")(text)
