@@ -49,9 +49,9 @@ LENGTH = 100
 GRAM = 20
 SYMBOL = 25
 GROUP = 20_000  # contexts of one anchor that are compared together
-UNIT = 1 << 20  # bytes of contexts whose transforms are merged together
+UNIT = 1 << 18  # bytes of contexts whose transforms are merged together
 SHARDS = 4
-BLOCK = 1 << 21  # bytes of text whose anchors are found together
+BLOCK = 1 << 19  # bytes of text whose anchors are found together
 
 _PLACE = np.uint64(28)  # bits of a position in a block
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +121,7 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(first, append=len(at))
     begin, place, text = start[first], at[first], text[first]
-    up, down = _powers(1 << max(22, (len(b) + 1).bit_length()))
+    up, down = _powers(1 << max(20, (len(b) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:len(b)])])
     stop = begin + n - 1 + length
     whole = _mix((total[stop] - total[begin]) * down[begin] + (n * 512 + place - begin).astype(np.uint64))
@@ -137,21 +137,17 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 17, (at >> 9) & 255, (at >> 1) & 255
 
 
-def _later(h, ch, doc, uid, at) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (h, ch, doc, uid, at), and in it the rows whose (h, ch) came before."""
-    order = np.lexsort((at, uid, doc, ch, h))
-    same = (h[order][1:] == h[order][:-1]) & (ch[order][1:] == ch[order][:-1])
-    return order, np.concatenate([[False], same])
-
-
 def find_contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """``(h, ch, doc, uid, at)`` of all contexts; of equal ones in a block all but the first are marked."""
 
     def rows(block: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        block.sort(key=lambda row: row[:2])
         text, start, n, off, h, ch = contexts([t for _, _, t in block], length, gram)
         doc, uid = np.array([d for d, _, _ in block])[text], np.array([u for _, u, _ in block])[text]
         h, ch, at = h.view(np.int64), ch.view(np.int64), _pack(start, n, off, 0)
-        order, later = _later(h, ch, doc, uid, at)
+        order = np.argsort(h ^ (ch * 3), kind="stable")  # equal contexts in the order of their documents
+        same = (h[order][1:] == h[order][:-1]) & (ch[order][1:] == ch[order][:-1])
+        later = np.concatenate([[False], same])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (
             h[order], ch[order], doc[order], uid[order], at[order] | later)], ["h", "ch", "doc", "uid", "at"])
 
@@ -236,15 +232,24 @@ def context_bytes(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            for i in range(b.num_rows):
-                text = z.decompress(b.column("z")[i].as_py())
-                start, n, off = _unpack(np.array(b.column("ats")[i].as_py()))
-                data = [text[s:s + k + length - 1] for s, k in zip(start.tolist(), n.tolist())]
-                same = lambda c: pa.array(np.full(len(data), b.column(c)[i].as_py()))
+            edges = b.column("ats").offsets.to_numpy()
+            start, n, off = _unpack(b.column("ats").values.to_numpy()[edges[0]:edges[-1]])
+            h, edges = b.column("hs").values.slice(edges[0], edges[-1] - edges[0]), edges - edges[0]
+            row = np.repeat(np.arange(b.num_rows), np.diff(edges))
+            lo = 0
+            while lo < b.num_rows:  # some MB of contexts at a time
+                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 20_000, "right")) - 1)
+                data = []
+                for i in range(lo, hi):
+                    text = z.decompress(b.column("z")[i].as_py())
+                    at = slice(edges[i], edges[i + 1])
+                    data += [text[s:s + k + length - 1] for s, k in zip(start[at].tolist(), n[at].tolist())]
+                at, own = slice(edges[lo], edges[hi]), pa.array(row[edges[lo]:edges[hi]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column("hs")[i].as_py(), pa.int64()), same("doc"), same("uid"), pa.array(start),
-                     pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(data, pa.binary())],
+                    [h.slice(edges[lo], edges[hi] - edges[lo]), b.column("doc").take(own), b.column("uid").take(own), pa.array(start[at]),
+                     pa.array(n[at].astype(np.int32)), pa.array(off[at].astype(np.int32)), pa.array(data, pa.binary())],
                     ["h", "doc", "uid", "start", "n", "off", "bytes"])
+                lo = hi
 
     return joined.mapInArrow(run, "h long, doc long, uid long, start long, n int, off int, bytes binary")
 
@@ -267,6 +272,16 @@ def split_large(rows: DataFrame, group: int, length: int, gram: int) -> DataFram
     return cut
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of ``key`` (not negative) and the keys in it."""
+    bits = max(1, len(key) - 1).bit_length()
+    if int(key.max(initial=0)) >> (63 - bits):  # too large to carry the place along
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << bits) | np.arange(len(key)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
 class Shard:
     """The Burrows-Wheeler transform of some contexts, with symbols of ``step`` bytes.
 
@@ -282,11 +297,10 @@ class Shard:
         hop = index[after[places]]  # after is len(symbol) at the end of a context
         while True:
             follow = np.where(hop >= 0, rank[hop] + low, c)
-            order = np.lexsort((follow, rank))
-            step_up = (rank[order][1:] != rank[order][:-1]) | (follow[order][1:] != follow[order][:-1])
-            new = np.empty(len(order), dtype=np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(step_up)])
-            rank = new
+            order, key = _sorted(rank * (int(follow.max()) + 1) + follow)
+            step_up = key[1:] != key[:-1]
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(step_up)])
             if step_up.all():
                 break
             hop = np.where(hop >= 0, hop[hop], -1)
@@ -313,8 +327,8 @@ def merge(shards: list[Shard], rounds: int, step: int) -> tuple[np.ndarray, np.n
         symbols = np.concatenate([end_symbols, symbols[front]])
         z = np.concatenate([end_z, z[front]])
         block = np.concatenate([np.zeros(len(end_z), dtype=np.int64), block[front] + (t > 1)])
-        order = np.argsort(symbols, kind="stable")
-        z, symbols, block = z[order], symbols[order], block[order]
+        order, symbols = _sorted(symbols)
+        z, block = z[order], block[order]
         parts = np.concatenate([[True], (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])])
         common[parts & (common == rounds * step)] = (t - 1) * step
         block = np.cumsum(parts)
@@ -346,10 +360,11 @@ def repeated_starts(data: list[bytes], n: np.ndarray, key: list[np.ndarray], len
     interval = np.cumsum(common < length)
     start = inside[order] < n[ctx[order]]
     order, interval = order[start], interval[start]
-    c = ctx[order]
     doc, uid, first = key
-    by = np.lexsort((first[c] + inside[order], uid[c], doc[c], interval))
-    again = np.concatenate([[False], interval[by][1:] == interval[by][:-1]])
+    rank = np.empty(len(data), dtype=np.int64)  # stretches of starts don't overlap, so contexts order them
+    rank[np.lexsort((first, uid, doc))] = np.arange(len(data))
+    by, key = _sorted(interval * (len(data) << 8) + (rank[ctx[order]] << 8) + inside[order])
+    again = np.concatenate([[False], np.diff(key // (len(data) << 8)) == 0])
     hit = order[by][again]
     return np.stack([ctx[hit], inside[hit]], axis=1)
 
