@@ -255,8 +255,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each class: of rows with the same id and text, one."""
-    th, i, h = fresh(docs, "th"), fresh(docs, "kept_id"), fresh(docs, "kept_th")
-    kept = near_classes(docs, id_col, text_col, **how).where("kept").select(F.col("id").alias(i), F.col("th").alias(h)).distinct()
-    rows = docs.withColumn(th, F.xxhash64(text_col))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)))
-    return rows.dropDuplicates([id_col, th]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    th, key = fresh(docs, "th"), fresh(docs, "key")
+    own = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    kept = near_classes(docs, id_col, text_col, **how).where("kept").select(own("id").alias(key), F.col("th").alias(th)).distinct()
+    rows = docs.withColumn(th, F.xxhash64(text_col)).withColumn(key, own(id_col))
+    return rows.join(kept, [key, th]).dropDuplicates([key, th]).select(*[F.col(f"`{c}`") for c in docs.columns])
