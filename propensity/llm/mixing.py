@@ -81,7 +81,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                         word_count(F.col(text_col)).alias("size"), h.alias("h"),
-                        *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []))
+                        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
     narrow = written(sized.drop("row"), "sizes")  # texts are counted once, then only numbers are read
 
     def classed(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ are cut: pieces of exactly the sequence length, the first one taking the remaind
 pieces are packed by best-fit decreasing inside partitions of a bounded number of pieces.
 Dual feasible functions give a lower bound on the bins of each partition: where best fit
 meets the bound, the partition is certified and closed.  Partitions with a gap keep their
-full bins and exchange the pieces of the others: these are dealt to fewer partitions and
-packed again, until every partition is certified or an exchange saves no bin.
+full and nearly full bins and exchange the pieces of the others: these are dealt to fewer
+partitions and packed again, until every partition is certified, one partition holds all
+that is left, or an exchange saves no bin.
 
 Texts are tokenised whole, one at a time, in a pass over the input without a shuffle; only
 numbers go on from there.
@@ -36,6 +37,7 @@ SEQUENCE = 2048
 CLOSING_ID = 0
 GROUP = 50_000  # pieces that one task packs
 ROUNDS = 8
+TIGHT = 256  # a bin with less than a 256th of its room left isn't opened again
 
 #: Texts with other characters, or with the opening of a special string, go through the
 #: tokenizer itself, as do those with an unbroken run over ``_LONG`` characters.
@@ -144,11 +146,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offset, np.array(fill, dtype=np.int64)
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    lengths = pdf["length"].to_numpy()
-    bins, offset, fill = best_fit(lengths, capacity)
-    certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
-    return pdf.assign(bin=bins, offset=offset, done=certified | (fill[bins] == capacity))
+def _packer(capacity: int, base: int):
+    def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = pdf["length"].to_numpy()
+        bins, offset, fill = best_fit(lengths, capacity)
+        certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
+        tight = fill[bins] >= capacity - capacity // TIGHT
+        return pdf.assign(sequence_id=base + (pdf["part"].to_numpy() << 28) + bins, offset=offset, done=certified | tight)
+    return pack_group
 
 
 def pack(items: DataFrame, capacity: int = SEQUENCE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
@@ -156,29 +161,34 @@ def pack(items: DataFrame, capacity: int = SEQUENCE, group: int = GROUP, rounds:
 
     Partitions are dealt by a row number that is written with the items, so that equal
     rows spread evenly; their count follows from the number of items.  Each round is
-    written to the shared folder; the driver sees counts only.
+    written to the shared folder; the driver sees counts only.  A round that needs as many
+    bins as before for what was exchanged is dropped, and the packing before it stays.
     """
     names = items.columns
     table = written(items.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     full = table.where(F.col("length") == capacity)
     out = [full.select(*names, F.col("_uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = table.where(F.col("length") < capacity)
-    left, saved = rest.count(), None
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    left, before, bins = rest.count(), None, None
     for k in range(1, rounds + 1):
-        parts = -(-left // group)
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("_uid", F.lit(k)), F.lit(max(parts, 1))))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.drop("bin", "offset", "done").schema)
-        packed = dealt.drop("bin", "offset", "done").groupBy("part").applyInPandas(
-            lambda pdf: _pack_group(pdf, capacity), f"{schema}, bin long, offset long, done boolean")
-        packed = written(packed, f"packed-{k}")
-        bins = packed.where(~F.col("done")).agg(
-            F.count("*").alias("rows"), F.count_distinct("part", "bin").alias("bins")).first()
-        sequence = F.lit(k << 56) + F.col("part") * (1 << 28) + F.col("bin")
-        last = k == rounds or parts <= 1 or not bins["rows"] or (saved is not None and bins["bins"] >= saved)
-        out.append((packed if last else packed.where("done")).select(*names, sequence.alias("sequence_id"), "offset"))
-        if last:
+        parts = max(1, -(-left // group))
+        dealt = rest.select(*names, "_uid").withColumn("part", F.pmod(F.xxhash64("_uid", F.lit(k)), F.lit(parts)))
+        packed = written(dealt.groupBy("part").applyInPandas(
+            _packer(capacity, k << 56),
+            f"{schema}, part long, sequence_id long, offset long, done boolean"), f"packed-{k}")
+        need = packed.agg(F.count_distinct("sequence_id").alias("all"),
+                          F.count_distinct(F.when(~F.col("done"), F.col("sequence_id"))).alias("open"),
+                          F.count_if(~F.col("done")).alias("rows")).first()
+        if before is not None and need["all"] >= bins:
+            out.append(before.select(*names, "sequence_id", "offset"))
             break
-        rest, left, saved = packed.where(~F.col("done")).drop("part"), bins["rows"], bins["bins"]
+        if parts == 1 or not need["rows"] or k == rounds:
+            out.append(packed.select(*names, "sequence_id", "offset"))
+            break
+        out.append(packed.where("done").select(*names, "sequence_id", "offset"))
+        rest = before = packed.where(~F.col("done"))
+        left, bins = need["rows"], need["open"]
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
