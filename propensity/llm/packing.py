@@ -159,13 +159,13 @@ def _packer(capacity: int, base: int):
 def pack(items: DataFrame, capacity: int = SEQUENCE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """``items`` (a column ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    Partitions are dealt by a row number that is written with the items, so that equal
-    rows spread evenly; their count follows from the number of items.  Each round is
+    Partitions are dealt by a row number that is written with the items, in order of length
+    within each file, so that equal rows spread evenly; their count follows from the number of items.  Each round is
     written to the shared folder; the driver sees counts only.  A round that needs as many
     bins as before for what was exchanged is dropped, and the packing before it stays.
     """
     names = items.columns
-    table = written(items.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    table = written(items.sortWithinPartitions("length").withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     full = table.where(F.col("length") == capacity)
     out = [full.select(*names, F.col("_uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = table.where(F.col("length") < capacity)
@@ -173,7 +173,10 @@ def pack(items: DataFrame, capacity: int = SEQUENCE, group: int = GROUP, rounds:
     left, before, bins = rest.count(), None, None
     for k in range(1, rounds + 1):
         parts = max(1, -(-left // group))
-        dealt = rest.select(*names, "_uid").withColumn("part", F.pmod(F.xxhash64("_uid", F.lit(k)), F.lit(parts)))
+        # first in turn, in order of length, so that each partition gets the same mix; then at random
+        turn = F.xxhash64(F.shiftright("_uid", 33)) % parts + F.col("_uid").bitwiseAND(F.lit((1 << 33) - 1))
+        dealt = rest.select(*names, "_uid").withColumn(
+            "part", F.pmod(turn if k == 1 else F.xxhash64("_uid", F.lit(k)), F.lit(parts)))
         packed = written(dealt.groupBy("part").applyInPandas(
             _packer(capacity, k << 56),
             f"{schema}, part long, sequence_id long, offset long, done boolean"), f"packed-{k}")
