@@ -3,14 +3,16 @@
 The catalogue is metadata: name, category, type, default and the closed category
 list for categorical features.  Computation lives in ``operators.features``; a
 user can bind an extra aggregate expression to a catalogued name with
-``Catalogue.register``.  A builder is ``(as_of: Column) -> Column`` and must be an
+``with_builder``.  A builder is ``(as_of: Column) -> Column`` and must be an
 aggregate over the point-in-time event rows of one lead (columns ``event_type``,
 ``event_name``, ``occurred_at``, ``session_id``, ``properties``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
+from types import MappingProxyType
 from typing import Any, Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,68 +71,42 @@ def spark_type(feature: Feature) -> T.DataType:
     return T.DoubleType() if feature.name in _NUMERIC_DOUBLE else T.LongType()
 
 
+@dataclass(frozen=True)
 class Catalogue:
-    """Ordered feature metadata plus user-registered aggregate builders."""
-
-    def __init__(self, features: tuple[Feature, ...] = FEATURES):
-        self._features = tuple(features)
-        self._by_name = {f.name: f for f in self._features}
-        self._builders: dict[str, FeatureBuilder] = {}
-
-    def all_features(self) -> list[Feature]:
-        return list(self._features)
-
-    def names(self) -> list[str]:
-        return [f.name for f in self._features]
-
-    def register(self, name: str):
-        """Decorator binding an aggregate builder to a catalogued feature.
-
-        Unknown names raise ``KeyError``; registering a name again replaces the
-        earlier builder (also for built-in features).
-        """
-        if name not in self._by_name:
-            raise KeyError(f"Feature '{name}' is not in the catalogue: {name}")
-
-        def decorator(fn: FeatureBuilder) -> FeatureBuilder:
-            self._builders[name] = fn
-            return fn
-
-        return decorator
-
-    def custom_builders(self) -> dict[str, FeatureBuilder]:
-        return dict(self._builders)
-
-    def computed_features(self) -> set[str]:
-        return set(BUILTIN_COMPUTED) | set(self._builders)
-
-    def defaulted_features(self) -> set[str]:
-        return set(self._by_name) - self.computed_features()
-
-    def get(self, name: str) -> Feature:
-        return self._by_name[name]
-
-    def default(self, name: str) -> Any:
-        return self._by_name[name].default
-
-    def metadata(self, name: str) -> dict[str, Any]:
-        f = self._by_name[name]
-        out = {"name": f.name, "category": f.category, "type": f.type, "default": f.default}
-        if f.categories:
-            out["categories"] = list(f.categories)
-        return out
-
-    def as_df(self, spark: SparkSession) -> DataFrame:
-        """The catalogue as a small DataFrame (ordinal, name, category, type, default, categories, computed)."""
-        computed = self.computed_features()
-        rows = [
-            (i, f.name, f.category, f.type, str(f.default).lower() if isinstance(f.default, bool) else str(f.default),
-             list(f.categories) if f.categories else None, f.name in computed)
-            for i, f in enumerate(self._features, start=1)
-        ]
-        schema = ("ordinal int, name string, category string, type string, default_value string, "
-                  "categories array<string>, computed boolean")
-        return spark.createDataFrame(rows, schema)
+    """Features in order, and the user's aggregate builders by feature name."""
+
+    features: tuple[Feature, ...] = FEATURES
+    builders: Mapping[str, FeatureBuilder] = MappingProxyType({})
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(f.name for f in self.features)
+
+    def __getitem__(self, name: str) -> Feature:
+        return {f.name: f for f in self.features}[name]
+
+
+def with_builder(catalogue: Catalogue, name: str, builder: FeatureBuilder) -> Catalogue:
+    """The same catalogue with ``name`` computed by ``builder``, also where it is built in.
+    A name that the catalogue lacks raises ``KeyError``."""
+    return replace(catalogue, builders=MappingProxyType({**catalogue.builders, catalogue[name].name: builder}))
+
+
+def by_origin(catalogue: Catalogue) -> tuple[frozenset[str], frozenset[str]]:
+    """The names that are computed, and those that only have a default."""
+    computed = frozenset(catalogue.names) & (BUILTIN_COMPUTED | catalogue.builders.keys())
+    return computed, frozenset(catalogue.names) - computed
+
+
+def catalogue_table(spark: SparkSession, catalogue: Catalogue) -> DataFrame:
+    """One row per feature: ordinal, name, category, type, default_value, categories, computed."""
+    computed, _ = by_origin(catalogue)
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    return spark.createDataFrame(
+        [(i, f.name, f.category, f.type, text(f.default), list(f.categories) or None, f.name in computed)
+         for i, f in enumerate(catalogue.features, start=1)],
+        "ordinal int, name string, category string, type string, default_value string, "
+        "categories array<string>, computed boolean")
 
 
 default_catalogue = Catalogue()

@@ -22,6 +22,7 @@ import logging
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensity.catalogue import Catalogue, default_catalogue, spark_type
 from propensity.functions.json import session_id as json_session_id
@@ -45,27 +46,21 @@ def _events_for_features(events: DataFrame) -> DataFrame:
     return events.select("lead_id", "event_type", "event_name", "occurred_at", sess.alias("session_id"))
 
 
-# Target events per join task for a hot lead, and the cap on how many hot leads
-# may be listed (the broadcast size bound).
+# Target events per join task for a hot lead.
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_LEADS = 200_000
 
 
-def hot_keys(events: DataFrame, key: str = "lead_id", rows_per_task: int = ROWS_PER_TASK,
-             max_hot: int = MAX_HOT_LEADS) -> DataFrame:
+def hot_keys(events: DataFrame, key: str = "lead_id", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(key, _pit_k): keys owning more than ``rows_per_task`` rows and the number of
     salt buckets each needs (ceil(rows / rows_per_task)).
 
-    Per-key counts are a partial aggregate over one column.  The threshold is raised
-    to total_rows / max_hot when needed, so the result never has more than
-    ``max_hot`` rows (each listed key owns more than threshold rows): a proven bound
-    that makes broadcasting it safe.  Only the total row count reaches the driver.
+    Per-key counts are a partial aggregate over one column, part of the plan: nothing
+    runs while the plan is built.  Fewer than rows / rows_per_task keys are listed, so
+    adaptive execution broadcasts the list wherever its measured size allows.
     """
     counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    threshold = max(int(rows_per_task), -(-int(total) // int(max_hot)))
-    return (counts.where(F.col("_n") > threshold)
-            .select(F.col(key), F.ceil(F.col("_n") / F.lit(float(threshold))).cast("int").alias("_pit_k")))
+    return (counts.where(F.col("_n") > int(rows_per_task))
+            .select(F.col(key), F.ceil(F.col("_n") / F.lit(float(rows_per_task))).cast("int").alias("_pit_k")))
 
 
 def pit_join(leads_asof: DataFrame, events: DataFrame, as_of_col: str = "as_of",
@@ -76,7 +71,7 @@ def pit_join(leads_asof: DataFrame, events: DataFrame, as_of_col: str = "as_of",
 
     * default (``salt_buckets=None``): adaptive salting.  Leads owning more than
       ``rows_per_task`` events get ceil(n / rows_per_task) salt buckets (from
-      ``hot_keys``, a bounded broadcast); each of their events picks a bucket by a
+      ``hot_keys``); each of their events picks a bucket by a
       hash of its own columns and only their (lead_id, as_of) row is replicated per
       bucket, so a lead with a third of all events spreads over many join tasks
       while ordinary leads are joined unchanged.
@@ -95,7 +90,7 @@ def pit_join(leads_asof: DataFrame, events: DataFrame, as_of_col: str = "as_of",
         return ev.join(la, cond, "inner").drop("_pit_lead")
     h = F.xxhash64(*ev.columns)
     if salt_buckets is None:
-        hot = F.broadcast(hot_keys(ev, rows_per_task=rows_per_task))
+        hot = hot_keys(ev, rows_per_task=rows_per_task)
         ev = ev.join(hot, "lead_id", "left").withColumn("_pit_k", F.coalesce(F.col("_pit_k"), F.lit(1)))
         la = (la.join(hot.withColumnRenamed("lead_id", "_pit_lead"), "_pit_lead", "left")
               .withColumn("_pit_k", F.coalesce(F.col("_pit_k"), F.lit(1))))
@@ -223,9 +218,19 @@ def _sql_type(feature) -> str:
     return _SQL_TYPES[repr(spark_type(feature))]
 
 
-def validity_sql(feature, col: str) -> str:
-    """SQL: true when a present value is valid for the feature's type, NULL when absent."""
+def _right_type(feature, dtype: T.DataType) -> bool:
+    """Whether a column of this type can hold valid values of the feature at all: numbers
+    (not booleans, not text) for numeric, booleans for boolean, text for categorical."""
+    wanted = {"numeric": T.NumericType, "boolean": T.BooleanType, "categorical": T.StringType}
+    return isinstance(dtype, wanted[feature.type])
+
+
+def validity_sql(feature, col: str, dtype: T.DataType) -> str:
+    """SQL: true when a present value is valid for the feature's type, NULL when absent.
+    A column of another type is never cast: all its values are invalid."""
     c = _q(col)
+    if not _right_type(feature, dtype):
+        return f"CASE WHEN {c} IS NULL THEN NULL ELSE false END"
     if feature.type == "numeric":
         d = f"CAST({c} AS DOUBLE)"
         return f"CASE WHEN {c} IS NULL THEN NULL ELSE NOT (isnan({d}) OR abs({d}) = double('inf')) END"
@@ -235,43 +240,36 @@ def validity_sql(feature, col: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN NULL ELSE true END"
 
 
-def validity(feature, c: Column | str) -> Column:
-    """True when a present value is valid for the feature's type (NULL when absent)."""
-    if isinstance(c, str):
-        return F.expr(validity_sql(feature, c))
-    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(
-        ~(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
-        if feature.type == "numeric" else (c.isin(*feature.categories) if feature.type == "categorical"
-                                           else F.lit(True)))
-
-
 def apply_defaults(df: DataFrame, catalogue: Catalogue = default_catalogue, keep=("lead_id", "as_of")) -> DataFrame:
     """Every catalogue feature present, valid and typed; invalid or missing -> default.
 
-    Numeric: finite numbers only; boolean: booleans only (the column type enforces
-    it); categorical: one of the listed categories.
+    Numeric: finite numbers only; boolean: booleans only; categorical: one of the
+    listed categories.  Text in a numeric or boolean column, and numbers in a boolean
+    one, are invalid whatever they say.  A numeric column with fractions stays a double.
     """
-    cols = set(df.columns)
-    out = [_q(k) for k in keep if k in cols]
-    for f in catalogue.all_features():
-        typ = _sql_type(f)
+    types = {f.name: f.dataType for f in df.schema}
+    out = [_q(k) for k in keep if k in types]
+    for f in catalogue.features:
+        dtype, typ = types.get(f.name), _sql_type(f)
+        if isinstance(dtype, (T.FractionalType, T.DecimalType)) and f.type == "numeric":
+            typ = "DOUBLE"
         default = f"CAST({_sql_literal(f.default)} AS {typ})"
-        if f.name not in cols:
+        if dtype is None or not _right_type(f, dtype):
             out.append(f"{default} AS {_q(f.name)}")
             continue
-        ok = f"coalesce({validity_sql(f, f.name)}, false)"
+        ok = f"coalesce({validity_sql(f, f.name, dtype)}, false)"
         out.append(f"CASE WHEN {ok} THEN CAST({_q(f.name)} AS {typ}) ELSE {default} END AS {_q(f.name)}")
     return df.selectExpr(*out)
 
 
 def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalogue, key: str = "lead_id") -> DataFrame:
     """Present-but-invalid values: (lead_id, feature, value, default), one row each."""
-    cols = set(df.columns)
+    types = {f.name: f.dataType for f in df.schema}
     rows = []
-    for f in catalogue.all_features():
-        if f.name not in cols:
+    for f in catalogue.features:
+        if f.name not in types:
             continue
-        bad = f"coalesce(NOT ({validity_sql(f, f.name)}), false)"
+        bad = f"coalesce(NOT ({validity_sql(f, f.name, types[f.name])}), false)"
         dv = str(f.default).lower() if isinstance(f.default, bool) else str(f.default)
         rows.append(f"CASE WHEN {bad} THEN named_struct('feature', {_sql_literal(f.name)}, "
                     f"'value', CAST({_q(f.name)} AS STRING), 'default_value', {_sql_literal(dv)}) END")
@@ -283,12 +281,13 @@ def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalog
 
 
 def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
-    """User-registered aggregate builders.  A builder that fails is logged and left
-    out (its feature falls back to the built-in value or the default); the others
-    are unaffected."""
+    """User-registered aggregate builders.  A builder whose expression can't be
+    analysed is logged and left out, and its feature gets the default; the others are
+    unaffected.  An expression that fails on data fails the job: builders should use
+    ``try_*`` functions where values may be odd."""
     a = F.col("as_of")
     cols = []
-    for name, fn in catalogue.custom_builders().items():
+    for name, fn in catalogue.builders.items():
         try:
             expr = fn(a).alias(name)
             pit.groupBy("lead_id").agg(expr).schema  # analysis errors surface here, per feature
@@ -300,6 +299,18 @@ def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
     return pit.groupBy("lead_id").agg(*cols)
 
 
+REQUEST_SALTS = 16
+
+
+def requested_events(events: DataFrame, leads: DataFrame, salts: int = REQUEST_SALTS) -> DataFrame:
+    """Events of the requested leads.  The semi join is salted: a request is repeated for
+    each of ``salts`` parts of its lead's events, so a lead with a third of all events is
+    spread over as many tasks; a small request side is broadcast by adaptive execution."""
+    salt = F.pmod(F.xxhash64("occurred_at", "event_type", "event_name", "session_id"), F.lit(salts))
+    ids = leads.select("lead_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return events.withColumn("_salt", salt.cast("bigint")).join(ids, ["lead_id", "_salt"], "left_semi").drop("_salt")
+
+
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,
                    catalogue: Catalogue = default_catalogue, salt_buckets: int | None = None,
                    as_of_upper=None, carry: tuple = (), restrict_events: bool = False,
@@ -315,7 +326,7 @@ def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: s
     """
     ev = _events_for_features(events)
     if restrict_events:
-        ev = ev.join(leads.select("lead_id"), "lead_id", "left_semi")
+        ev = requested_events(ev, leads)
     if as_of_col is not None:
         la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
         pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper,
@@ -328,9 +339,10 @@ def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: s
         base = leads.select("lead_id", *carry).withColumn("as_of", as_of_timestamp(as_of))
     feats = feature_aggregates(pit).drop("as_of")
     out = base.join(feats, "lead_id", "left")
+    out = out.drop(*catalogue.builders)  # a registered name is never filled by the built-in value
     custom = _custom_features(pit, catalogue)
     if custom is not None:
-        out = out.drop(*[c for c in custom.columns if c != "lead_id"]).join(custom, "lead_id", "left")
+        out = out.join(custom, "lead_id", "left")
     return apply_defaults(out, catalogue, keep=("lead_id", "as_of", *carry))
 
 

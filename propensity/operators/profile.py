@@ -33,18 +33,12 @@ def null_percentages_long(df: DataFrame, cols: list[str], decimals: int = 2) ->
     return wide.unpivot([], cols, "column_name", "null_pct").orderBy(F.desc("null_pct"), "column_name")
 
 
-def top_k_per_group(df: DataFrame, group: str, order: list, k: int, spread: int = 16,
-                    spread_key: str | None = None) -> DataFrame:
-    """At most ``k`` rows per ``group`` by ``order``: first within (group, bucket)
-    sub-groups (``spread`` hash buckets of ``spread_key``), then among the <= k x
-    spread survivors of each group.  Adds ``rank``."""
-    sk = spread_key or group
-    b = F.pmod(F.xxhash64(F.col(sk).cast("string")), F.lit(spread))
-    first = Window.partitionBy(group, "_b").orderBy(*order)
-    pre = df.withColumn("_b", b).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
-    final = Window.partitionBy(group).orderBy(*order)
-    return (pre.withColumn("rank", F.row_number().over(final).cast("bigint")).where(F.col("rank") <= k)
-            .drop("_b", "_r"))
+def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
+    """At most ``k`` rows per ``group`` by ``order``, with their ``rank``.  The optimizer
+    limits each task to ``k`` rows of a group before the exchange (window group limit)."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return (df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
@@ -54,7 +48,7 @@ def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("s"))
     counts = (stacked.select("s.column_name", "s.value").where(F.col("value").isNotNull())
               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
-    return top_k_per_group(counts, "column_name", [F.desc("count"), F.asc("value")], k, spread_key="value")
+    return top_k_per_group(counts, "column_name", [F.desc("count"), F.asc("value")], k)
 
 
 def conversion_overall(df: DataFrame, label: str = "converted") -> DataFrame:

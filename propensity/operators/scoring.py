@@ -62,22 +62,11 @@ def _with_position(requested: DataFrame) -> DataFrame:
     return requested
 
 
-MAX_INLINE_IDS = 10_000
-
-
 def batch_features(requested: DataFrame, leads: DataFrame, events: DataFrame, now,
-                   salt_buckets: int | None = None, max_inline_ids: int = MAX_INLINE_IDS) -> DataFrame:
-    """Features as of ``now`` for the requested leads that exist.
-
-    A small request (at most ``max_inline_ids`` distinct ids, checked with a bounded
-    ``limit``) becomes an ``IN`` filter on the event scan, so Parquet skips row
-    groups and files whose lead_id range misses the request (the event log clustered
-    by lead_id makes this nearly all of it).  Larger requests semi-join instead.
-    """
+                   salt_buckets: int | None = None) -> DataFrame:
+    """Features as of ``now`` for the requested leads that exist: events are semi-joined
+    to the request, whatever its size, and nothing is collected."""
     found = lookup_by_ids(leads.select("lead_id"), requested)
-    ids = [r[0] for r in requested.select("lead_id").distinct().limit(max_inline_ids + 1).collect()]
-    if len(ids) <= max_inline_ids:
-        events = events.where(F.col("lead_id").isin(ids))
     return feature_matrix(found, events, as_of=now, salt_buckets=salt_buckets, restrict_events=True)
 
 

@@ -91,8 +91,7 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
     """
     from propensity.operators.features import ROWS_PER_TASK, hot_keys
     width = int(bucket_seconds) * 1_000_000
-    hot = F.broadcast(hot_keys(events.select(key), key, rows_per_task or ROWS_PER_TASK)
-                      .withColumnRenamed("_pit_k", "_sk"))
+    hot = hot_keys(events.select(key), key, rows_per_task or ROWS_PER_TASK).withColumnRenamed("_pit_k", "_sk")
     ev = events.join(hot, key, "left")
     w_us = F.greatest(F.lit(1), F.floor(F.lit(width) / F.coalesce(F.col("_sk"), F.lit(1))))
     bucketed = ev.withColumn("_bucket", F.floor(_epoch_micros(events, ts) / w_us).cast("bigint")).drop("_sk")

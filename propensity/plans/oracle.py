@@ -154,7 +154,7 @@ FEATURE_COLUMNS = """
 REQUESTS = """req AS (
   SELECT doc_id * 2 AS lead_id, doc_id AS position FROM labels
   UNION ALL
-  SELECT doc_id * 2 AS lead_id, doc_id + 1000000 AS position FROM labels WHERE toxic = 1
+  SELECT doc_id * 2 AS lead_id, -doc_id - 1 AS position FROM labels WHERE toxic = 1
 )"""
 
 LABELLED = f"""lat AS (SELECT lead_id, max(occurred_at) AS latest_event_at FROM ev GROUP BY lead_id),

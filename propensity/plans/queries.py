@@ -40,6 +40,8 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"a query named {name} is there already")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
@@ -78,7 +80,7 @@ def _feature_query(name: str) -> Query:
     return q
 
 
-for _f in default_catalogue.names():
+for _f in default_catalogue.names:
     register(_f, _fm_now_sql(f"lead_id, {_f}"))(_feature_query(_f))
 
 
@@ -359,6 +361,17 @@ def q_metric_auc_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.auc_roc(_holdout(spark, sf_dir))
 
 
+@register("metric_auc_roc_continuous", """WITH ho AS (
+  SELECT l_extendedprice * (1 - l_discount) AS p, (l_returnflag = 'R')::INT AS y FROM lineitem), g AS (
+  SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM ho GROUP BY p),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+SELECT sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc_roc FROM c""")
+def q_metric_auc_roc_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tb.read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("p"), (F.col("l_returnflag") == "R").alias("y"))
+    return mt.auc_roc(items)
+
+
 @register("metric_precision_recall_f1", O.with_(O.HOLDOUT, """c AS (SELECT
   count(*) FILTER (WHERE p > 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p > 0.5 AND y = 0) AS fp,
   count(*) FILTER (WHERE p <= 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p <= 0.5 AND y = 0) AS tn FROM ho)""") + """
@@ -580,9 +593,10 @@ FIXTURE_IMPORTANCES = [((i * 7) % 17 + 1) / 153.0 for i in range(len(MODEL_FEATU
 
 
 def _factors_sql() -> str:
-    top = fs.ordered_factors(list(MODEL_FEATURES), FIXTURE_IMPORTANCES)
+    # importances are (i * 7 % 17 + 1) / 153: 17, 16, ... at i with i * 7 % 17 = 16, 15, ...
     rows = []
-    for i, (nm, imp) in enumerate(top, start=1):
+    for i, k in enumerate((12, 7, 2, 14, 9), start=1):
+        nm, imp = MODEL_FEATURES[k], (18 - i) / 153.0
         val = (f"CASE WHEN {nm} THEN 'true' ELSE 'false' END" if nm in BOOLEAN_FEATURES
                else f"CAST({nm} AS VARCHAR)")
         rows.append(f"SELECT lead_id, {i} AS rank, '{nm}' AS feature, CAST({imp!r} AS DOUBLE) AS impact, "
@@ -619,12 +633,19 @@ def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("input_order", F.explode("violations").alias("rule"))
 
 
-@register("event_constraint_violations", O.with_(O.EV) + """SELECT event_id, 'fk:lead_id' AS rule FROM ev
+@register("event_constraint_violations", O.with_(O.EV) + """, bad AS (SELECT event_id,
+  CASE WHEN event_id % 97 = 0 THEN -lead_id - 1 ELSE lead_id END AS lead_id,
+  CASE WHEN event_id % 89 = 0 THEN 'phone_call' ELSE event_type END AS event_type FROM ev)
+SELECT event_id, 'fk:lead_id' AS rule FROM bad
 WHERE lead_id NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT event_id, 'check:event_type' FROM ev
+UNION ALL SELECT event_id, 'check:event_type' FROM bad
 WHERE event_type NOT IN ('page_view', 'email_open', 'email_click', 'form_submission', 'email_unsubscribe')""")
 def q_event_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cs.event_violations(tb.events_view(spark, sf_dir), tb.leads_view(spark, sf_dir).select("lead_id"))
+    # some events name a lead that isn't there, some a type that isn't allowed
+    ev = (tb.events_view(spark, sf_dir)
+          .withColumn("lead_id", F.when(F.col("event_id") % 97 == 0, -F.col("lead_id") - 1).otherwise(F.col("lead_id")))
+          .withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "phone_call").otherwise(F.col("event_type"))))
+    v = cs.event_violations(ev, tb.leads_view(spark, sf_dir).select("lead_id"))
     return v.select("event_id", F.explode("violations").alias("rule"))
 
 
@@ -648,6 +669,9 @@ def _raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{fcl.number_sql(fcl.strip_sql(q('TotalVisits')))} AS days_since_last_visit",
         f"{fcl.number_sql(fcl.strip_sql(q('Page Views Per Visit')))} AS avg_pages_per_session",
         f"{fcl.flag_sql(fcl.strip_sql(q('Converted')))} AS viewed_pricing",
+        f"{fcl.strip_sql(q('TotalVisits'))} AS total_sessions",  # text where a number is due
+        f"{fcl.strip_sql(q('Converted'))} AS requested_demo",  # text where a boolean is due
+        f"CAST({fcl.flag_sql(fcl.strip_sql(q('Converted')))} AS INT) AS downloaded_content",  # so is a number
         f"{fcl.strip_sql(q('Lead Origin'))} AS company_size_bucket",
         f"lower({fcl.strip_sql(q('What is your current occupation'))}) AS job_title_seniority")
 
@@ -656,23 +680,25 @@ _RAWF_SQL = _C + """, rf AS (SELECT input_order AS lead_id, """ + O.sql_number('
   """ + O.sql_number('"Page Views Per Visit"') + """ AS apps,
   CASE WHEN (""" + O.sql_number('"Converted"') + """) = 1 THEN true WHEN (""" + O.sql_number('"Converted"') + """) = 0
        THEN false END AS vp,
+  "TotalVisits" AS ts, "Converted" AS rd,
   "Lead Origin" AS csb, lower("What is your current occupation") AS jts FROM st)
 """
 
 
 @register("validate_features", _RAWF_SQL + """SELECT lead_id,
-  CASE WHEN dslv IS NOT NULL AND NOT isnan(dslv) AND NOT isinf(dslv) THEN CAST(dslv AS BIGINT) ELSE 365 END
+  CASE WHEN dslv IS NOT NULL AND NOT isnan(dslv) AND NOT isinf(dslv) THEN dslv ELSE 365.0 END
     AS days_since_last_visit,
   CASE WHEN apps IS NOT NULL AND NOT isnan(apps) AND NOT isinf(apps) THEN apps ELSE 0.0 END AS avg_pages_per_session,
-  coalesce(vp, false) AS viewed_pricing,
+  coalesce(vp, false) AS viewed_pricing, CAST(0 AS BIGINT) AS total_sessions, false AS requested_demo,
+  false AS downloaded_content,
   CASE WHEN csb IN ('unknown', '1-10', '11-50', '51-200', '201-1000', '1000+') THEN csb ELSE 'unknown' END
     AS company_size_bucket,
   CASE WHEN jts IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level') THEN jts
        ELSE 'unknown' END AS job_title_seniority
 FROM rf""")
 def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ["days_since_last_visit", "avg_pages_per_session", "viewed_pricing", "company_size_bucket",
-            "job_title_seniority"]
+    keep = ["days_since_last_visit", "avg_pages_per_session", "viewed_pricing", "total_sessions", "requested_demo",
+            "downloaded_content", "company_size_bucket", "job_title_seniority"]
     return feat.apply_defaults(_raw_features(spark, sf_dir)).select("lead_id", *keep)
 
 
@@ -680,7 +706,10 @@ def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
   'unknown' AS default_value FROM rf
 WHERE csb IS NOT NULL AND csb NOT IN ('unknown', '1-10', '11-50', '51-200', '201-1000', '1000+')
 UNION ALL SELECT lead_id, 'job_title_seniority', jts, 'unknown' FROM rf
-WHERE jts IS NOT NULL AND jts NOT IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level')""")
+WHERE jts IS NOT NULL AND jts NOT IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level')
+UNION ALL SELECT lead_id, 'total_sessions', ts, '0' FROM rf WHERE ts IS NOT NULL
+UNION ALL SELECT lead_id, 'requested_demo', rd, 'false' FROM rf WHERE rd IS NOT NULL
+UNION ALL SELECT lead_id, 'downloaded_content', CAST(CAST(vp AS INTEGER) AS VARCHAR), 'false' FROM rf WHERE vp IS NOT NULL""")
 def q_invalid_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.invalid_feature_report(_raw_features(spark, sf_dir))
 
@@ -698,12 +727,12 @@ def q_normalize_company_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.select("lead_id", ru.normalize_company_size("company_size").alias("company_size_bucket"))
 
 
-@register("industry_match_icp", O.with_(O.CRM) + f"""SELECT lead_id,
+@register("crm_industry_match", O.with_(O.CRM) + f"""SELECT lead_id,
   industry IN ('Technology', 'Software', 'SaaS', 'Information Technology', 'Computer Software', 'Internet',
                'Financial Services', 'Marketing and Advertising')
   AND list_position(['unknown', '1-10', '11-50', '51-200', '201-1000', '1000+'], {_SIZE_CASE}) >= 3
   AS industry_match_icp FROM crm""")
-def q_industry_match_icp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_crm_industry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     crm = tb.crm_contacts_view(spark, sf_dir)
     size = ru.normalize_company_size("company_size")
     return crm.select("lead_id", ru.icp_match(F.col("industry"), size).alias("industry_match_icp"))
@@ -733,7 +762,7 @@ _TRAINED: dict[str, object] = {}
 
 def _trained(spark: SparkSession, sf_dir: str):
     """Train once per session and table directory (fit = GBT on the time-split train rows)."""
-    key = f"{id(spark)}:{sf_dir}"
+    key = f"{spark.sparkContext.applicationId}:{sf_dir}"
     if key not in _TRAINED:
         ts = checkpoint(q_training_dataset(spark, sf_dir))
         train = ts.where(F.col("split") == "train")
@@ -812,7 +841,8 @@ def q_partial_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sliding_window_throttle")
 def q_sliding_window_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tb.events_view(spark, sf_dir).select("event_id", "lead_id", "occurred_at")
-    return th.throttle(ev, "lead_id", "occurred_at", tie="event_id")
+    # two requests in 36 hours: a limit that binds on these events
+    return th.throttle(ev, "lead_id", "occurred_at", tie="event_id", max_requests=2, window_seconds=36 * 3600)
 
 
 @register("score_stream")
@@ -903,3 +933,77 @@ def q_json_nested_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, _ = cl.prepare_load(tb.raw_leads_view(spark, sf_dir))
     return wn.dedup_first(valid.select("lead_source", "input_order"), "lead_source", ["input_order"])
+
+
+# ---------------------------------------------------------------------------
+# Append-only sinks S5, S6; contracts of the model path that hold whatever the trees
+# ---------------------------------------------------------------------------
+
+def _appended(spark: SparkSession, name: str, parts: list[DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+    import uuid
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    for part in parts:
+        tb.append_rows(part, path, partition_by)
+    return spark.read.parquet(path)
+
+
+@register("append_events", O.with_(O.EV) + "SELECT event_id, lead_id, event_type, event_name, occurred_at FROM ev")
+def q_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir).select("event_id", "lead_id", "event_type", "event_name", "occurred_at")
+    early = F.col("occurred_at") < tb.ntz("2024-01-15 00:00:00")
+    return _appended(spark, "append_events", [ev.where(early), ev.where(~early)])
+
+
+@register("append_predictions", O.with_(O.PREDICTIONS) + """SELECT lead_id, score, bucket, model_version FROM pred
+UNION ALL SELECT lead_id, score, bucket, model_version FROM pred""")
+def q_append_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred = tb.predictions_view(spark, sf_dir).select("lead_id", "score", "bucket", "model_version")
+    return _appended(spark, "append_predictions", [pred, pred], ("model_version",)).select(
+        "lead_id", "score", "bucket", F.col("model_version").cast("string").alias("model_version"))
+
+
+@register("train_contract", """SELECT count(*) FILTER (WHERE split = 'train') AS n_train,
+  count(*) FILTER (WHERE split = 'test') AS n_test, CAST(17 AS BIGINT) AS n_features, true AS importances_sum_to_one,
+  true AS metrics_in_range FROM (""" + ORACLE["training_dataset"] + ") t")
+def q_train_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _trained(spark, sf_dir)
+    imps, m = res.feature_importance, res.metrics
+    ok = all(m[k] is None or 0.0 <= m[k] <= 1.0  # AUC is null where the holdout lacks a class
+             for k in ("auc_roc", "precision", "recall", "f1", "calibration_error")) and m["log_loss"] >= 0
+    n = q_training_dataset(spark, sf_dir).agg(F.count_if(F.col("split") == "train").alias("n_train"),
+                                              F.count_if(F.col("split") == "test").alias("n_test"))
+    return n.select("n_train", "n_test", F.lit(len(set(imps) & set(MODEL_FEATURES))).cast("bigint").alias("n_features"),
+                    F.lit(abs(sum(imps.values()) - 1) < 1e-9).alias("importances_sum_to_one"), F.lit(ok).alias("metrics_in_range"))
+
+
+_SCORED_SQL = """SELECT c_custkey AS lead_id, true AS bucket_agrees, true AS score_in_range, {more}
+FROM customer WHERE c_custkey IN (SELECT lead_id FROM req)"""
+
+
+@register("score_contract", O.with_(O.REQUESTS) + _SCORED_SQL.format(
+    more="5 AS n_factors, 17 AS n_snapshot, 'v1.0' AS model_version"))
+def q_score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _score(spark, sf_dir).results
+    return r.select("lead_id", (F.col("bucket") == fs.score_bucket("score")).alias("bucket_agrees"),
+                    F.col("score").between(0, 1).alias("score_in_range"), F.size("top_factors").alias("n_factors"),
+                    F.size(F.json_object_keys("feature_snapshot")).alias("n_snapshot"), "model_version")
+
+
+@register("score_stream_contract", O.with_(O.REQUESTS) + _SCORED_SQL.format(more="'v1.0' AS model_version"))
+def q_score_stream_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = q_score_stream(spark, sf_dir).distinct()
+    return r.select("lead_id", (F.col("bucket") == fs.score_bucket("score")).alias("bucket_agrees"),
+                    F.col("score").between(0, 1).alias("score_in_range"), "model_version")
+
+
+@register("model_round_trip", "SELECT lead_id, true AS same_score FROM (" + ORACLE["training_dataset"]
+          + ") t WHERE split = 'test'")
+def q_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved and loaded again, the model gives every holdout row the same probability (S10, M13)."""
+    import uuid
+    res = _trained(spark, sf_dir)
+    path = md.save_model(spark, res, "v1.0", scratch_path(spark, f"models/{uuid.uuid4().hex}"))
+    test = checkpoint(q_training_dataset(spark, sf_dir).where(F.col("split") == "test"))
+    loaded = md.probability(md.load_model(path).transform(test)).select("lead_id", F.col("p").alias("again"))
+    return (md.probability(res.model.transform(test)).select("lead_id", "p").join(loaded, "lead_id")
+            .select("lead_id", (F.col("p") == F.col("again")).alias("same_score")))

@@ -40,8 +40,9 @@ def get_spark(master: str | None = None, app: str = "propensity", shuffle_partit
     elif not launched:
         builder = builder.master(f"local[{os.environ.get('BENCH_CPUS', '*')}]")
     # launch-time settings: only effective when this process starts the JVM
-    builder = (builder.config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "4g")))
+    if not launched:
+        builder = (builder.config("spark.ui.enabled", "false")
+                   .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "4g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     deployed = spark.sparkContext.getConf()

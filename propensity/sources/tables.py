@@ -32,7 +32,7 @@ def ntz(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     inference happen on first use, like registering a table in the catalog).
     Call ``refresh_tables`` after the files change."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     df = _TABLES.get(key)
     if df is None:
         df = spark.read.parquet(path)
@@ -189,23 +189,27 @@ def score_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read_table(spark, sf_dir, "labels")
     first = lab.select((F.col("doc_id") * 2).alias("lead_id"), F.col("doc_id").alias("position"))
     again = lab.where(F.col("toxic") == 1).select((F.col("doc_id") * 2).alias("lead_id"),
-                                                  (F.col("doc_id") + 1_000_000).alias("position"))
+                                                  (-F.col("doc_id") - 1).alias("position"))
     return first.unionByName(again)
 
 
-def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_leads_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Raw lead CSV with a header: every column read as a string (no inference),
-    padding kept, then the reader's missing-value tokens turned into NULL."""
+    padding kept, then the reader's missing-value tokens turned into NULL.  A quote
+    inside a quoted field is doubled, and a backslash is an ordinary character.
+
+    ``multi_line`` reads fields that hold line breaks; a file is then one task, so it
+    is off unless asked for."""
     from propensity.operators.cleaning import na_tokens_to_null
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("mode", "PERMISSIVE").option("multiLine", True).csv(path))
+           .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line).csv(path))
     return na_tokens_to_null(raw)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, padding preserved (the writer trims by default)."""
-    (df.write.mode("overwrite").option("header", True)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
@@ -255,6 +259,11 @@ def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.lit("v1.1")).otherwise(F.lit("v1.0")).alias("model_version"))
 
 
+def append_rows(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Append-only sink: events or predictions join what the folder holds."""
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def adhoc_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     """Run a SQL string over the given frames registered as temporary views."""
     for name, df in views.items():

@@ -37,10 +37,9 @@ def _make_scan():
         key and its remembered admission times across calls."""
         out = _np.zeros(len(keys), dtype=bool)
         cur, kept = state.get("key"), state.get("kept")
-        if kept is None:
-            kept = _deque()
         for i in range(len(keys)):
-            if cur is None or keys[i] != cur:
+            # NULL keys (NaN != NaN) are one key of their own
+            if kept is None or (keys[i] != cur and not (keys[i] != keys[i] and cur != cur)):
                 cur, kept = keys[i], _deque()
             t = int(micros[i])
             while kept and kept[0] <= t - window_us:
@@ -76,7 +75,7 @@ def throttle(df: DataFrame, key: str, ts: str, max_requests: int = THROTTLE_MAX_
     def run(batches):
         state: dict = {}
         for pdf in batches:
-            flags = scan(pdf[key].to_numpy(), pdf["_us"].to_numpy(), state, max_requests, window_us)
+            flags = scan(pdf[key].astype(object).where(pdf[key].notna(), float("nan")).to_numpy(), pdf["_us"].to_numpy(), state, max_requests, window_us)
             yield pdf.assign(limited=flags)
 
     return prepared.mapInPandas(run, schema).drop("_us")

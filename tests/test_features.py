@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from propensity.catalogue import Catalogue, default_catalogue
+from pyspark.sql import functions as F
+
+from propensity.catalogue import Catalogue, by_origin, catalogue_table, default_catalogue, with_builder
 from propensity.operators.features import feature_matrix, apply_defaults, invalid_feature_report
 
 AS_OF = datetime(2024, 3, 10, 12, 0, 0)
@@ -112,7 +114,7 @@ def test_point_in_time_per_lead(spark):
 def test_firmographics_default_and_all_20(spark):
     r = fm(spark, [e("page_view", 1)])[1]
     assert r["company_size_bucket"] == "unknown" and r["industry_match_icp"] is False
-    assert set(default_catalogue.names()) <= set(r)
+    assert set(default_catalogue.names) <= set(r)
 
 
 def test_validation_defaults(spark):
@@ -127,42 +129,43 @@ def test_validation_defaults(spark):
     assert {x["feature"] for x in rep} == {"days_since_last_visit", "avg_pages_per_session", "company_size_bucket"}
 
 
-def test_catalogue_registry(spark):
-    cat = Catalogue()
-    assert cat.computed_features() & cat.defaulted_features() == set()
-    assert cat.computed_features() | cat.defaulted_features() == set(cat.names())
-    assert cat.defaulted_features() == {"company_size_bucket", "industry_match_icp", "job_title_seniority"}
-    with pytest.raises(KeyError):
-        cat.register("no_such_feature")
-    from pyspark.sql import functions as F
+def test_validation_of_wrong_types(spark):
+    df = spark.createDataFrame([(1, "5", "abc", 2.5, "yes", 1, True, 7)],
+                               "lead_id long, days_since_last_visit string, total_sessions string, total_pageviews_7d double, "
+                               "viewed_pricing string, requested_demo int, emails_opened_30d boolean, company_size_bucket int")
+    r = apply_defaults(df).first()
+    assert r["days_since_last_visit"] == 365 and r["total_sessions"] == 0 and r["total_pageviews_7d"] == 2.5
+    assert r["viewed_pricing"] is False and r["requested_demo"] is False and r["emails_opened_30d"] == 0
+    assert r["company_size_bucket"] == "unknown"
+    rep = {x["feature"]: (x["value"], x["default_value"]) for x in invalid_feature_report(df).collect()}
+    assert rep == {"days_since_last_visit": ("5", "365"), "total_sessions": ("abc", "0"), "viewed_pricing": ("yes", "false"),
+                   "requested_demo": ("1", "false"), "emails_opened_30d": ("true", "0"), "company_size_bucket": ("7", "unknown")}
 
-    @cat.register("company_size_bucket")
-    def _size(as_of):
-        return F.lit("1-10")
 
-    assert "company_size_bucket" in cat.computed_features()
+def test_catalogue_registry(spark):
+    computed, defaulted = by_origin(Catalogue())
+    assert not computed & defaulted and computed | defaulted == set(Catalogue().names)
+    assert defaulted == {"company_size_bucket", "industry_match_icp", "job_title_seniority"}
+    with pytest.raises(KeyError):
+        with_builder(Catalogue(), "no_such_feature", lambda as_of: F.lit(1))
+    cat = with_builder(Catalogue(), "company_size_bucket", lambda as_of: F.lit("1-10"))
+    assert "company_size_bucket" in by_origin(cat)[0] and not Catalogue().builders
     ev = spark.createDataFrame([e("page_view", 1)], SCHEMA)
     ld = spark.createDataFrame([(1,)], "lead_id long")
     assert feature_matrix(ld, ev, as_of=AS_OF, catalogue=cat).first()["company_size_bucket"] == "1-10"
-    assert cat.default("days_since_last_visit") == 365
-    assert cat.metadata("job_title_seniority")["categories"][0] == "unknown"
-    assert cat.as_df(spark).count() == 20
+    assert cat["days_since_last_visit"].default == 365
+    assert cat["job_title_seniority"].categories[0] == "unknown"
+    assert catalogue_table(spark, cat).count() == 20
 
 
 def test_failing_builder_is_isolated(spark):
-    from pyspark.sql import functions as F
-    cat = Catalogue()
-
-    @cat.register("company_size_bucket")
-    def _bad(as_of):
-        return F.max(F.col("no_such_column"))
-
-    @cat.register("job_title_seniority")
-    def _good(as_of):
-        return F.lit("manager")
-
+    bad = lambda as_of: F.max(F.col("no_such_column"))
+    cat = with_builder(Catalogue(), "company_size_bucket", bad)
+    cat = with_builder(cat, "total_pageviews_7d", bad)  # not filled by the built-in value either
+    cat = with_builder(cat, "job_title_seniority", lambda as_of: F.lit("manager"))
     ev = spark.createDataFrame([e("page_view", 1)], SCHEMA)
     ld = spark.createDataFrame([(1,)], "lead_id long")
     r = feature_matrix(ld, ev, as_of=AS_OF, catalogue=cat).first()
     assert r["company_size_bucket"] == "unknown" and r["job_title_seniority"] == "manager"
+    assert r["total_pageviews_7d"] == 0
     assert r["days_since_last_visit"] == 1

@@ -37,7 +37,6 @@ def test_top_factors_by_row(spark):
                                                (["v1.0", "v2.0"], "v2.1"), (["v1.9", "v1.10"], "v1.11"),
                                                (["v3"], "v1.0")])
 def test_next_version(spark, versions, expected):
-    assert rg.next_version_str(versions) == expected
     df = spark.createDataFrame([(v,) for v in versions], "version string")
     assert rg.next_version(df).first()[0] == expected
 

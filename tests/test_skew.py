@@ -35,13 +35,25 @@ def test_salted_equals_unsalted(spark):
     assert a[0]["total_pageviews_30d"] > 100
 
 
-def test_hot_keys_bounded(spark):
+def test_hot_keys(spark):
     from propensity.operators.features import hot_keys
     ev = skewed_events(spark)
     hot = {r[0]: r[1] for r in hot_keys(ev, rows_per_task=100).collect()}
     assert hot == {0: 10}
-    # the threshold rises so that at most max_hot keys are listed
-    assert hot_keys(ev, rows_per_task=1, max_hot=3).count() <= 3
+
+
+def test_requested_events_spread_a_hot_lead(spark):
+    from propensity.operators.features import _events_for_features, requested_events
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ev = _events_for_features(skewed_events(spark))
+        got = requested_events(ev, spark.createDataFrame([(0,), (3,), (999,)], "lead_id long"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "_salt" in plan
+        assert got.count() == ev.where("lead_id in (0, 3)").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
 def test_salted_plan_without_broadcast(spark):

@@ -120,3 +120,32 @@ def test_throttle_matches_brute_force(spark):
                                "k string, t timestamp_ntz, i long")
     got = {r["i"]: r["limited"] for r in throttle(df, "k", "t", max_requests=20, window_seconds=60, tie="i").collect()}
     assert got == brute_throttle(rows, 20, 60)
+
+
+def test_auc_is_exact_and_repeatable_on_many_scores(spark):
+    import numpy as np
+    from propensity.operators import metrics as mt
+    rng = np.random.default_rng(8)
+    p, y = rng.random(150_000), rng.integers(0, 2, 150_000)
+    order = np.argsort(p)
+    below = np.cumsum(1 - y[order]) - (1 - y[order])
+    want = (below * y[order]).sum() / (y.sum() * (1 - y).sum())
+    df = spark.range(0, 150_000, 1, 16).join(spark.createDataFrame(
+        list(zip(range(150_000), p.tolist(), y.tolist())), "id long, p double, y int"), "id")
+    got = [mt.auc_roc(df).first()[0] for _ in range(2)]
+    assert got[0] == got[1] and abs(got[0] - want) < 1e-12
+
+
+def test_throttle_counts_null_keys_together(spark):
+    from propensity.streaming.throttle import throttle
+    df = spark.createDataFrame([(None, f"2024-01-01 00:00:0{i}") for i in range(5)] + [(1, "2024-01-01 00:00:00")],
+                               "k long, t string").selectExpr("k", "cast(t as timestamp_ntz) as t")
+    got = throttle(df, "k", "t", max_requests=2, window_seconds=60).collect()
+    assert sum(r["limited"] for r in got) == 3
+
+
+def test_registering_a_name_twice_fails():
+    import pytest
+    from propensity.plans.queries import register
+    with pytest.raises(ValueError):
+        register("feature_matrix")(lambda spark, sf_dir: None)
