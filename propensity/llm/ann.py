@@ -17,7 +17,8 @@ more surely.  A query meets about half of the rows then.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part; only vectors of one length are compared; equal scores go by the smaller id;
-an empty table gives an empty result.
+rows with a null id are rows of one id, last in that order and returned as null; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ NEAREST = 5
 BLOCK = 2048
 SEED = 11
 ROUNDS = 3
+_NO_ID = (1 << 63) - 1  # stands for a null id inside the search
 
 
 class Rotation:
@@ -116,8 +118,11 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
             tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for each row that
     ``is_query`` holds for, among all rows with another id."""
-    index = hashed(packed(df, id_col, vec_col), tables, 1, seed)
-    queries = hashed(packed(df.where(is_query), id_col, vec_col), tables, probes, seed)
+    def rows_of(side: DataFrame, count: int) -> DataFrame:
+        vectors = packed(side, id_col, vec_col)
+        return hashed(vectors.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID))), tables, count, seed)
+
+    index, queries = rows_of(df, 1), rows_of(df.where(is_query), probes)
     keys = ["dim", "t", "axis"]
     sides = []
     for side, name in ((index, "x"), (queries, "q")):
@@ -133,4 +138,6 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     met = per_group(out[0].unionByName(out[1]), [*keys, "bq", "bx"], _nearest(k), "query_id long, id long, score double")
     found = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = [F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) for c in ("query_id", "id")]
+    return ranked.select(named[0], "rank", named[1], "score")

@@ -14,7 +14,8 @@ missed with a probability below ``MISS`` (closer pairs far less often).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of different length link with nothing; rows with the same id
-are one vector each, and links count rows; an empty table gives an empty result.
+are one vector each, and links count rows; a component's id is the smallest that isn't null,
+and null where all are; an empty table gives an empty result.
 """
 
 from __future__ import annotations

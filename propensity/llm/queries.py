@@ -81,7 +81,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.withColumnRenamed("id", "vec_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 @query

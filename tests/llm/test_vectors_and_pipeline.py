@@ -86,6 +86,16 @@ def test_nearest_with_all_probes_equals_brute_force(spark, block):
     assert ann.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_vectors_with_null_ids(spark):
+    rows = [(50, [1.0, 0.0]), (51, [1.0, 0.1]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (7, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, probes=4).collect()
+    assert [(r["query_id"], r["id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(50, None), (50, 51), (50, 7)]
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((str(r["id"]), r["n_links"], r["component_id"]) for r in got) == [
+        ("50", 2, 50), ("51", 2, 50), ("7", 0, 7), ("None", 0, None), ("None", 0, None), ("None", 2, 50)]
+
+
 def test_recall_over_the_table(spark):
     path = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").toPandas()
