@@ -27,8 +27,8 @@ of a common passage are reduced to one in each block of texts before anything is
 
 Defined results: a null text is empty, texts shorter than ``LENGTH`` stay whole; null ids come
 last; of rows with the same id the one further up in the table is the earlier document; an
-empty table gives an empty result.  Rows are numbered in each scan of ``docs``, so ``docs`` must be
-a table or a plain selection of one, which every scan reads in the same order.
+empty table gives an empty result.  Rows are numbered once, and written with their texts
+compressed; every later pass reads that table, so a lost executor can't renumber them.
 """
 
 from __future__ import annotations
@@ -152,14 +152,14 @@ def find_contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
             h[order], ch[order], doc[order], uid[order], at[order] | later)], ["h", "ch", "doc", "uid", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = [], 0
+        z, block, size = zstandard.ZstdDecompressor(), [], 0
         for b in batches:
-            for doc, uid, text in zip(b.column("doc").to_pylist(), b.column("uid").to_pylist(), b.column("text")):
-                raw = text.as_buffer()
-                if raw is None or raw.size < length:
+            for doc, uid, data in zip(b.column("doc").to_pylist(), b.column("uid").to_pylist(), b.column("z")):
+                text = z.decompress(data.as_buffer())
+                if len(text) < length:
                     continue
-                block.append((doc, uid, raw.to_pybytes()))
-                size += raw.size
+                block.append((doc, uid, text))
+                size += len(text)
                 if size >= BLOCK:
                     yield rows(block)
                     block, size = [], 0
@@ -215,7 +215,7 @@ def settle(found: DataFrame) -> DataFrame:
 
 
 def compressed(texts: DataFrame) -> DataFrame:
-    """``(uid, doc, z)``: texts as compressed bytes, for joins by row."""
+    """``(uid, doc, z)``: texts as compressed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -416,15 +416,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), order.alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-             group: int = GROUP) -> DataFrame:
-    """``(uid, starts, counts)``: for each row with repeated strings the stretches of their starts."""
-    texts = numbered(docs, id_col, text_col)
+def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``(uid, starts, counts)``: for each of the ``compressed`` texts with repeated strings the
+    stretches of their starts."""
     settled = written(settle(find_contexts(texts, length, gram)), "settled")
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
     opened = settled.where(~known).groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("l")).select(
         F.col("uid").alias("u"), F.col("l.h").alias("hs"), F.col("l.at").alias("ats"))
-    joined = compressed(texts).join(opened, F.col("uid") == F.col("u")).select("uid", "doc", "z", "hs", "ats")
+    joined = texts.join(opened, F.col("uid") == F.col("u")).select("uid", "doc", "z", "hs", "ats")
     merged = compare(split_large(written(context_bytes(joined, length), "contexts"), group, length, gram), length)
     certain = settled.where(known).select("uid", F.expr("at >> 17").alias("start"), F.expr("(at >> 9) & 255").alias("n"))
     return (certain.unionByName(merged).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("l"))
@@ -435,9 +434,9 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             group: int = GROUP, with_text: bool = False) -> DataFrame:
     """``(uid, id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with
     ``with_text`` the bytes that are left as ``kept``."""
-    texts = numbered(docs, id_col, text_col)
-    found = repeated(docs, id_col, text_col, length, gram, group).withColumnRenamed("uid", "u")
-    rows = compressed(texts).join(found, F.col("uid") == F.col("u"), "left").select("uid", "doc", "z", "starts", "counts")
+    texts = written(compressed(numbered(docs, id_col, text_col)), "texts")
+    found = repeated(texts, length, gram, group).withColumnRenamed("uid", "u")
+    rows = texts.join(found, F.col("uid") == F.col("u"), "left").select("uid", "doc", "z", "starts", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
