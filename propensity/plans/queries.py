@@ -835,10 +835,19 @@ def q_partial_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Streaming T1 (micro-batch scoring), T2 (sliding-window throttle): rows-only
+# Streaming T1 (micro-batch scoring, rows-only), T2 (sliding-window throttle)
 # ---------------------------------------------------------------------------
 
-@register("sliding_window_throttle")
+@register("sliding_window_throttle", "WITH RECURSIVE " + O.EV + """,
+r AS (SELECT event_id, lead_id, occurred_at, row_number() OVER (PARTITION BY lead_id ORDER BY occurred_at, event_id) AS i FROM ev),
+s AS (
+  SELECT event_id, lead_id, occurred_at, i, false AS limited, occurred_at AS newer, NULL::TIMESTAMP AS older FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.event_id, r.lead_id, r.occurred_at, r.i, z.full, CASE WHEN z.full THEN s.newer ELSE r.occurred_at END,
+         CASE WHEN z.full THEN s.older ELSE s.newer END
+  FROM s JOIN r ON r.lead_id IS NOT DISTINCT FROM s.lead_id AND r.i = s.i + 1,
+       LATERAL (SELECT coalesce(s.older > r.occurred_at - INTERVAL 36 HOUR, false) AS full) z)
+SELECT event_id, lead_id, occurred_at, limited FROM s""")
 def q_sliding_window_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tb.events_view(spark, sf_dir).select("event_id", "lead_id", "occurred_at")
     # two requests in 36 hours: a limit that binds on these events

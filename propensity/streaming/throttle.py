@@ -4,20 +4,22 @@ Rule, per key in time order: forget remembered admission times <= t - window; if
 ``max_requests`` are still remembered the request is limited (and not
 remembered), otherwise it is admitted and remembered.
 
-Admission depends on earlier admissions, so it is a sequential scan per key that
-no window aggregate expresses.  The batch form hash-partitions by key, sorts
-inside partitions and scans the sorted rows with ``mapInPandas`` while carrying
-at most ``max_requests`` timestamps of the current key; a key is never collected
-into one in-memory group.  The streaming form keeps the same bounded list in
-``applyInPandasWithState`` state between micro-batches.
+Admission depends on earlier admissions, so a saturated stretch of a key is a
+sequential scan that no window aggregate expresses.  The batch form cuts keys at
+their calm stretches: time is divided into cells of one window, and a cell that
+holds at most ``max_requests`` rows together with the cell before admits them all,
+whatever came earlier.  Calm cells are settled by counts alone.  Runs of the other
+cells, with the calm cell in front of each, are scanned as segments of their own:
+dealt by (key, segment), sorted inside partitions and read by ``mapInPandas`` while
+carrying at most ``max_requests`` timestamps; neither a key nor a segment is
+collected into one in-memory group.  The streaming form keeps the same bounded list
+in ``applyInPandasWithState`` state between micro-batches.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -38,8 +40,7 @@ def _make_scan():
         out = _np.zeros(len(keys), dtype=bool)
         cur, kept = state.get("key"), state.get("kept")
         for i in range(len(keys)):
-            # NULL keys (NaN != NaN) are one key of their own
-            if kept is None or (keys[i] != cur and not (keys[i] != keys[i] and cur != cur)):
+            if kept is None or keys[i] != cur:
                 cur, kept = keys[i], _deque()
             t = int(micros[i])
             while kept and kept[0] <= t - window_us:
@@ -54,20 +55,45 @@ def _make_scan():
     return scan
 
 
+def saturated_cells(timed: DataFrame, key: str, max_requests: int) -> DataFrame:
+    """``(_key, _at, _segment)``: the cells to scan, from rows with ``_cell``.
+
+    Every cell learns the counts of its two neighbours from one more aggregate; the
+    segments are then numbered by a window over the cells that are left, a few for
+    every ``max_requests`` rows of a key."""
+    n = F.col("_n")
+    counts = timed.where("_cell is not null").groupBy(F.col(key).alias("_key"), "_cell").agg(F.count("*").alias("_n"))
+    near = counts.select("_key", F.inline(F.array(*[
+        F.struct((F.col("_cell") - shift).alias("_at"), *[(n if k == shift else F.lit(0).cast("long")).alias(c)
+                                                          for k, c in ((-1, "_before"), (0, "_own"), (1, "_after"))])
+        for shift in (-1, 0, 1)])))
+    cells = near.groupBy("_key", "_at").agg(*[F.sum(c).alias(c) for c in ("_before", "_own", "_after")]).where("_own > 0")
+    full = F.col("_own") + F.col("_before") > max_requests
+    leads = (F.col("_after") > 0) & (F.col("_own") + F.col("_after") > max_requests)  # the calm cell in front
+    opens = ~full | (F.col("_before") == 0)
+    run = Window.partitionBy("_key").orderBy("_at")
+    return cells.where(full | leads).select(
+        "_key", "_at", F.last(F.when(opens, F.col("_at")), ignorenulls=True).over(run).alias("_segment"))
+
+
 def throttle(df: DataFrame, key: str, ts: str, max_requests: int = THROTTLE_MAX_REQUESTS,
-             window_seconds: float = THROTTLE_WINDOW_SECONDS, tie: str | None = None,
-             partitions: int | None = None) -> DataFrame:
-    """Adds ``limited`` (boolean) to every request row."""
+             window_seconds: float = THROTTLE_WINDOW_SECONDS, tie: str | None = None) -> DataFrame:
+    """Adds ``limited`` (boolean) to every request row.  NULL keys are one key; rows
+    without a time are not limited and count for nothing."""
     window_us = int(round(window_seconds * 1_000_000))
-    order = [key, ts] + ([tie] if tie else [])
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = F.col(ts)
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
         # wall-clock arithmetic: independent of the session time zone (no DST shifts)
         micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
     else:
         micros = F.unix_micros(t.cast("timestamp"))
-    prepared = df.withColumn("_us", micros).repartition(n, key).sortWithinPartitions(*order)
+    timed = df.withColumn("_us", micros).withColumn("_cell", F.expr(f"(_us - pmod(_us, {window_us}L)) div {window_us}L"))
+    cells = saturated_cells(timed, key, max_requests)
+    same = timed[key].eqNullSafe(cells["_key"]) & (timed["_cell"] == cells["_at"])
+    calm = timed.join(cells, same, "left_anti").select(*df.columns, F.lit(False).alias("limited"))
+    order = [key, "_segment", "_us"] + ([tie] if tie else [])
+    rows = timed.join(cells, same).select(*df.columns, "_us", "_segment")
+    prepared = rows.repartition(key, "_segment").sortWithinPartitions(*order)
     schema = T.StructType(prepared.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
 
     scan = _make_scan()
@@ -75,16 +101,22 @@ def throttle(df: DataFrame, key: str, ts: str, max_requests: int = THROTTLE_MAX_
     def run(batches):
         state: dict = {}
         for pdf in batches:
-            flags = scan(pdf[key].astype(object).where(pdf[key].notna(), float("nan")).to_numpy(), pdf["_us"].to_numpy(), state, max_requests, window_us)
+            keys = pdf[key].astype(object).where(pdf[key].notna(), None)
+            flags = scan(list(zip(keys, pdf["_segment"])), pdf["_us"].to_numpy(), state, max_requests, window_us)
             yield pdf.assign(limited=flags)
 
-    return prepared.mapInPandas(run, schema).drop("_us")
+    return calm.unionByName(prepared.mapInPandas(run, schema).drop("_us", "_segment"))
 
 
 def throttle_stream(stream: DataFrame, key: str, ts: str, max_requests: int = THROTTLE_MAX_REQUESTS,
-                    window_seconds: float = THROTTLE_WINDOW_SECONDS) -> DataFrame:
+                    window_seconds: float = THROTTLE_WINDOW_SECONDS, max_delay: str | None = None) -> DataFrame:
     """Streaming form: per key, the remembered admission times (at most
-    ``max_requests``) live in the group state between micro-batches."""
+    ``max_requests``) live in the group state between micro-batches.
+
+    With ``max_delay`` (such as "10 minutes") the stream gets a watermark of that delay: a
+    key's state goes once the watermark is a window past its last admission, when it would be
+    empty anyway, and rows that come later than the delay are dropped by the watermark.  Without
+    it no row is dropped, and every key ever seen keeps its list."""
     window_us = int(round(window_seconds * 1_000_000))
     key_type = stream.schema[key].dataType.simpleString()
     out_schema = f"{key} {key_type}, {ts} timestamp, limited boolean"
@@ -95,6 +127,9 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, max_requests: int = TH
     def fn(k, pdfs, state):
         import pandas as pd
         from collections import deque
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = deque(state.get[0]) if state.exists else deque()
         parts = []
         for pdf in pdfs:
@@ -106,7 +141,11 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, max_requests: int = TH
         st = {"key": k[0], "kept": kept}
         flags = scan(np.full(len(pdf), k[0], dtype=object), micros, st, max_requests, window_us)
         state.update((list(st["kept"]),))
+        if max_delay and st["kept"]:
+            state.setTimeoutTimestamp(max((st["kept"][-1] + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(), "limited": flags})
 
-    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                       GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if max_delay else GroupStateTimeout.NoTimeout
+    if max_delay:
+        stream = stream.withWatermark(ts, max_delay)
+    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)

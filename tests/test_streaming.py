@@ -31,6 +31,24 @@ def test_throttle_stream_across_batches(spark, tmp_path):
     assert limited == sum(expected.values()) and limited > 0
 
 
+def test_throttle_stream_forgets_idle_keys(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    src = tmp_path / "src"
+    for part in range(4):  # a key of its own in every hour
+        chunk = [(f"k{part}", base + timedelta(hours=part, seconds=s)) for s in range(5)]
+        spark.createDataFrame(chunk, "k string, t timestamp").coalesce(1).write.parquet(str(src / f"p{part}"))
+    stream = spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", True).parquet(str(src))
+    name = "thr_" + uuid.uuid4().hex[:8]
+    q = (throttle_stream(stream, "k", "t", max_requests=2, window_seconds=60, max_delay="1 minute")
+         .writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table(name).collect()
+    assert len(got) == 20 and sum(r["limited"] for r in got) == 12
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 4
+
+
 def test_append_predictions_and_errors(spark, tmp_path):
     from propensity.operators.scoring import append_predictions
     df = spark.createDataFrame([(1, 0.9, "A", "v1.0")], "lead_id long, score double, bucket string, "

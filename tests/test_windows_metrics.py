@@ -122,6 +122,32 @@ def test_throttle_matches_brute_force(spark):
     assert got == brute_throttle(rows, 20, 60)
 
 
+def test_throttle_cuts_keys_at_calm_stretches(spark):
+    from propensity.streaming.throttle import saturated_cells
+    rnd = random.Random(8)
+    base = datetime(1969, 12, 31, 23, 50)
+    # bursts between calm stretches of all lengths, on both sides of the epoch, one very busy key
+    rows = []
+    for k in ("hot", "a", "b"):
+        t = 0.0
+        while t < 3000:
+            gap = rnd.choice([0.5, 0.5, 3, 12, 40, 130]) if k != "hot" else rnd.choice([0.5, 1, 1, 60])
+            for _ in range(rnd.randint(1, 12)):
+                t += rnd.random() * gap
+                rows.append((k, int(t), len(rows)))
+    df = spark.createDataFrame([(k, base + timedelta(seconds=t), i) for k, t, i in rows],
+                               "k string, t timestamp_ntz, i long")
+    for most, window in ((1, 7), (3, 10), (20, 60)):
+        out = throttle(df, "k", "t", max_requests=most, window_seconds=window, tie="i").collect()
+        assert len(out) == len(rows)
+        assert {r["i"]: r["limited"] for r in out} == brute_throttle(rows, most, window)
+    timed = df.selectExpr("k", "cast(unix_seconds(cast(t as timestamp)) div 10 as long) as _cell")
+    cells = saturated_cells(timed, "k", 20)
+    assert cells.where("_key = 'hot'").select("_segment").distinct().count() > 3
+    odd = spark.createDataFrame([("a", None), ("a", base), (None, None)], "k string, t timestamp_ntz")
+    assert [r["limited"] for r in throttle(odd, "k", "t", 1, 60).collect()] == [False] * 3
+
+
 def test_auc_is_exact_and_repeatable_on_many_scores(spark):
     import numpy as np
     from propensity.operators import metrics as mt
