@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -69,11 +69,12 @@ _KEEP_TAGS = {"html", "body", "article", "main", "h1"}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "drop", "holds", "depth")
+    __slots__ = ("tag", "parent", "drop", "holds", "above", "block")
 
     def __init__(self, tag: str, parent: "_Node | None", drop: bool):
-        self.tag, self.parent, self.drop, self.holds = tag, parent, drop, False
-        self.depth = parent.depth + 1 if parent else 0
+        self.tag, self.parent, self.drop = tag, parent, drop
+        self.holds = self.above = False  # above: holds an article or main element
+        self.block = parent.block if parent and tag in _INLINE else self  # innermost block element
 
 
 def _dropped(tag: str, attrs: str) -> bool:
@@ -101,15 +102,13 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
     """The page's text blocks in order, each with the innermost block element around it."""
     node = _Node("html", None, False)
     stack, out, text = [node], [], []
-
-    def block_node() -> _Node:
-        return next(x for x in reversed(stack) if x.tag not in _INLINE)
+    count = Counter()  # open elements by tag: no token walks a deep stack in vain
 
     def flush() -> None:
         words = " ".join(unescape("".join(text)).split())
         text.clear()
         if words:
-            out.append((block_node(), words))
+            out.append((stack[-1].block, words))
 
     for m in _TOKEN.finditer(html):
         if m["text"] is not None:
@@ -123,17 +122,21 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
         elif tag == "br":
             text.append(" ")
         if m["end"]:
-            if any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if count[tag]:
+                while True:
+                    top = stack.pop().tag
+                    count[top] -= 1
+                    if top == tag:
+                        break
             continue
         if tag == "html":
             continue
         closes, within = _ENDS.get(tag, (set(), set()))
-        if tag not in _INLINE and tag not in _VOID and any(x.tag == "p" for x in stack):
+        if tag not in _INLINE and tag not in _VOID and count["p"]:
             closes, within = closes | {"p"}, within | _SECTION
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if any(count[x] for x in closes) else 0, 0, -1):
             if stack[i].tag in closes:
+                count.subtract(x.tag for x in stack[i:])
                 del stack[i:]
                 break
             if stack[i].tag in within:
@@ -141,12 +144,13 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
         if tag in _VOID or m["attrs"].endswith("/") and tag in _INLINE:
             continue
         new = _Node(tag, stack[-1], _dropped(tag, m["attrs"]))
-        if tag in ("article", "main") and not new.drop or tag == "h1" and any(x.tag in ("article", "main") for x in stack):
+        if tag in ("article", "main") and not new.drop or tag == "h1" and (count["article"] or count["main"]):
             for x in reversed(stack):  # what holds an article isn't dropped, nor is the header that holds its title
-                if x.tag in ("article", "main") and tag == "h1":
+                if x.above or tag == "h1" and (x.holds or x.tag in ("article", "main")):
                     break
-                x.holds = True
+                x.holds, x.above = True, tag != "h1"
         stack.append(new)
+        count[tag] += 1
     flush()
     return out
 
@@ -155,18 +159,27 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     if not html:
         return ""
     kept = []
-    for node, words in blocks(html):
+    paths: dict[tuple[int, str], int] = {}  # a path's number, by that of the path above and the tag
+    known: dict[int, tuple[bool, int, _Node | None, _Node | None]] = {}  # dropped, path, outermost article, innermost section
+    found = blocks(html)
+    for node, words in found:
         chain, x = [], node
-        while x is not None:
+        while x is not None and id(x) not in known:
             chain.append(x)
             x = x.parent
-        if any(x.drop and not x.holds for x in chain):
-            continue
-        chain.reverse()
-        path = "/".join(x.tag for x in chain if x.tag not in _INLINE)
-        own = next((x for x in chain if x.tag in ("article", "main")), None) or next(
-            x for x in reversed(chain) if x.tag in _SECTION)
-        kept.append((path, id(own), words))
+        dropped, path, article, section = known[id(x)] if x is not None else (False, -1, None, None)
+        for x in reversed(chain):
+            dropped = dropped or x.drop and not x.holds
+            if x.tag not in _INLINE:
+                path = paths.setdefault((path, x.tag), len(paths))
+            if article is None and x.tag in ("article", "main"):
+                article = x
+            if x.tag in _SECTION:
+                section = x
+            known[id(x)] = dropped, path, article, section
+        dropped, path, article, section = known[id(node)]
+        if not dropped:
+            kept.append((path, id(article or section), words))
     if not kept:
         return ""
     length, punct, nodes = defaultdict(int), defaultdict(int), defaultdict(int)

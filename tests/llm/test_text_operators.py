@@ -3,6 +3,7 @@ import hashlib
 import html as stdhtml
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -323,6 +324,14 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<div>word " * 20_000, "<li>a<ul>" * 20_000 + "x", "<article><h1>x</h1>" * 20_000,
+                                  "<b>" * 50_000 + "<p>word</p>" * 500])
+def test_deep_pages_take_linear_time(page):
+    start = time.monotonic()
+    assert html.main_text(page)
+    assert time.monotonic() - start < 20
+
+
 # --- 10 n-gram Jaccard join
 
 def brute_pairs(rows):
