@@ -753,6 +753,14 @@ def q_crm_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.crm_rename(tb.predictions_view(spark, sf_dir), "hubspot", "out")
 
 
+@register("crm_rename_inbound", O.with_(O.EV, O.LEADS) +
+          "SELECT lead_id, lead_source AS industry, external_id AS company_name, created_at FROM leads")
+def q_crm_rename_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contacts = tb.leads_view(spark, sf_dir).select("lead_id", F.col("lead_source").alias("Industry"),
+                                                   F.col("external_id").alias("Company"), F.col("created_at").alias("CreatedDate"))
+    return ru.crm_rename(contacts, "salesforce", "in")
+
+
 # ---------------------------------------------------------------------------
 # ML M1-M3, M8, M10, K1-K3 (model-dependent: rows-only checks, no SQL oracle)
 # ---------------------------------------------------------------------------
@@ -895,6 +903,15 @@ def q_relationship_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.nest_children(leads, ev)
 
 
+@register("prediction_traversal", O.with_(O.EV, O.LEADS, O.PREDICTIONS) + """
+SELECT l.lead_id, l.external_id, pred.score AS prediction_score, pred.bucket AS prediction_bucket
+FROM leads l JOIN pred ON pred.lead_id = l.lead_id""")
+def q_prediction_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = tb.leads_view(spark, sf_dir).select("lead_id", "external_id")
+    predictions = tb.predictions_view(spark, sf_dir).select("lead_id", "score", "bucket")
+    return jn.nest_children(leads, predictions, prefix="prediction_")
+
+
 @register("update_by_key", O.with_(O.EV, O.LEADS) + "SELECT lead_id, converted_at FROM leads")
 def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (tb.read_table(spark, sf_dir, "customer")
