@@ -5,15 +5,16 @@ out).  Elements that say what they are, by tag, role, class or id (menus, header
 sidebars, notices, adverts, forms, reader comments, hidden parts), go with all they hold,
 unless they hold an article.  Over the rest:
 
-* ratio: for each path, text length and punctuation are aggregated over its nodes, and
-  ``length / nodes * (1 + ln(1 + punctuation / nodes))`` scores the path;
-* smooth: the paths of one container (the nearest sectioning element) share the mean of
-  their ratios, weighted by length, so a heading stands with the paragraphs it heads;
-* fuse: a path's score is the larger of its own ratio and its container's, and an
+* ratio: for each path, text length and punctuation are aggregated over its nodes in the
+  whole page, and ``length / nodes * (1 + ln(1 + punctuation / nodes))`` scores the path;
+* smooth: the blocks of one container (the nearest sectioning element that holds more than
+  one block, so that a wrapper of a single block isn't one) share the mean of their paths'
+  ratios, weighted by length, so a heading stands with the paragraphs it heads;
+* fuse: a block's score is the larger of its path's ratio and its container's, and an
   ``article`` or ``main`` element counts as one container;
-* threshold: paths that reach ``THRESHOLD`` of the best container are content.
+* threshold: blocks that reach ``THRESHOLD`` of the best container are content.
 
-All blocks of content paths are returned in page order: character references decoded,
+All content blocks are returned in page order: character references decoded,
 white space turned into one space, blocks joined by an empty line.  One pass over the
 pages, without a shuffle.
 
@@ -161,6 +162,8 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     kept = []
     paths: dict[tuple[int, str], int] = {}  # a path's number, by that of the path above and the tag
     known: dict[int, tuple[bool, int, _Node | None, _Node | None]] = {}  # dropped, path, outermost article, innermost section
+    outer: dict[int, _Node | None] = {}  # the section around a section
+    holds = Counter()  # blocks that a section holds, as far as two
     found = blocks(html)
     for node, words in found:
         chain, x = [], node
@@ -175,31 +178,36 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
             if article is None and x.tag in ("article", "main"):
                 article = x
             if x.tag in _SECTION:
-                section = x
+                outer[id(x)], section = section, x
             known[id(x)] = dropped, path, article, section
         dropped, path, article, section = known[id(node)]
-        if not dropped:
-            kept.append((path, id(article or section), words))
+        if dropped:
+            continue
+        kept.append((path, article, section, words))
+        while article is None and section is not None and holds[id(section)] < 2:
+            holds[id(section)] += 1
+            section = outer[id(section)]
     if not kept:
         return ""
-    length, punct, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, own, words in kept:
-        key = (own, path)
-        length[key] += len(words)
-        punct[key] += len(_PUNCT.findall(words))
-        nodes[key] += 1
+    length, punct, nodes, placed = Counter(), Counter(), Counter(), []
+    for path, article, section, words in kept:
+        while article is None and holds[id(section)] < 2 and outer[id(section)] is not None:
+            section = outer[id(section)]
+        placed.append((path, id(article or section), words))
+        length[path] += len(words)
+        punct[path] += len(_PUNCT.findall(words))
+        nodes[path] += 1
     ratio = {k: length[k] / nodes[k] * (1 + math.log1p(punct[k] / nodes[k])) for k in nodes}
     total, weighted = defaultdict(float), defaultdict(float)
-    for (own, path), r in ratio.items():
-        total[own] += length[own, path]
-        weighted[own] += r * length[own, path]
+    for path, own, words in placed:
+        total[own] += len(words)
+        weighted[own] += ratio[path] * len(words)
     smooth = {own: weighted[own] / total[own] for own in total}
     # a container's weight also follows how much of the page's text it holds
     most = sum(total.values())
     best = max(smooth, key=lambda own: smooth[own] * total[own] / most)
     least = threshold * smooth[best]
-    content = {k for k, r in ratio.items() if max(r, smooth[k[0]]) >= least}
-    return "\n\n".join(words for path, own, words in kept if (own, path) in content)
+    return "\n\n".join(words for path, own, words in placed if max(ratio[path], smooth[own]) >= least)
 
 
 def extract(html: Column) -> Column:

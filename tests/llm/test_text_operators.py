@@ -324,6 +324,17 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div id=content><div>{LONG}</div><div>Yes.</div></div></body>", f"{LONG}\n\nYes."),
+    (f"<div id=content><h2>Head</h2><div>{LONG}</div><div>Yes.</div><div>{LONG}</div></div>", f"Head\n\n{LONG}\n\nYes.\n\n{LONG}"),
+    (f"<div id=content><div><h2>Head</h2></div><div><p>{LONG}</p></div><div><p>No.</p></div></div>", f"Head\n\n{LONG}\n\nNo."),
+    (f"<table><tr><td>{LONG}</td></tr><tr><td>Yes.</td></tr><tr><td>{LONG}</td></tr></table>", f"{LONG}\n\nYes.\n\n{LONG}"),
+    (f"<div><ul><li>Home</li><li>About</li></ul></div><div id=content><div>{LONG}</div><div>Yes.</div></div>", f"{LONG}\n\nYes."),
+])
+def test_paths_are_aggregated_over_the_page(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("page", ["<div>word " * 20_000, "<li>a<ul>" * 20_000 + "x", "<article><h1>x</h1>" * 20_000,
                                   "<b>" * 50_000 + "<p>word</p>" * 500])
 def test_deep_pages_take_linear_time(page):
