@@ -22,8 +22,10 @@ Suffixes are only compared where a repetition is possible:
    intervals, and of the starts in each all but the first are repeated.
 
 An anchor with more than ``GROUP`` different contexts is split exactly: its starts by their
-distance to the anchor, eight at a time, and these by the bytes that all eight share.  Copies
-of a common passage are reduced to one in each block of texts before anything is shuffled.
+distance to the anchor, eight at a time, and these by the bytes that all eight share.  Of the
+pieces that are equal all but the first are repeated; where more than ``GROUP`` different ones
+still share those bytes, each start is told apart by its own ``LENGTH`` bytes.  Copies of a
+common passage are reduced to one in each block of texts before anything is shuffled.
 
 Defined results: a null text is empty, texts shorter than ``LENGTH`` stay whole; null ids come
 last; of rows with the same id the one further up in the table is the earlier document; an
@@ -254,22 +256,45 @@ def context_bytes(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "h long, doc long, uid long, start long, n int, off int, bytes binary")
 
 
-def split_large(rows: DataFrame, group: int, length: int, gram: int) -> DataFrame:
-    """Adds ``part`` and ``core``: 0 but for anchors with more than ``group`` contexts.  Of those
-    the starts at distances 8k to 8k + 7 from the anchor are part k + 1, told apart by the bytes
-    that all eight share; every two equal strings stay together."""
-    large = rows.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > group).select("h", F.lit(True).alias("large"))
-    rows = rows.join(large, "h", "left")
-    k = F.when(F.col("large"), F.sequence(F.expr("(off - n + 1) div 8"), F.expr("off div 8"))).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = rows.withColumn("k", F.explode(k))
+def split_large(rows: DataFrame, group: int, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with ``part`` and ``core``, at most ``group`` of each ``(h, part, core)``, and the
+    ``(uid, start, n)`` found to repeat on the way.  Both are 0 but for anchors with more than
+    ``group`` contexts.  Of those the starts at distances 8k to 8k + 7 from the anchor are part
+    k + 1, told apart by the bytes that all eight share; every two equal strings stay together.
+    Of pieces with equal bytes all but the first repeat.  Where more than ``group`` different
+    pieces are left, each of their starts is decided by its own ``length`` bytes.  First ones
+    are found by partial minima, so no task holds a group."""
+    large = written(rows.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > group).select("h"), "large")
+    none = [F.lit(0).cast("long").alias(c) for c in ("part", "core")]
+    if large.isEmpty():
+        return rows.select("h", *none, "doc", "uid", "start", "n", "bytes"), None
+    small = rows.join(large, "h", "left_anti").select("h", *none, "doc", "uid", "start", "n", "bytes")
+    cut = rows.join(large, "h").withColumn("k", F.explode(F.sequence(F.expr("(off - n + 1) div 8"), F.expr("off div 8"))))
     lo, hi = F.expr("greatest(0, off - 8 * k - 7)"), F.expr("least(n - 1, off - 8 * k)")
-    cut = rows.select("h", (F.col("k") + 1).alias("part"),
-                      F.when(F.col("k") < 0, 0).otherwise(F.xxhash64(F.expr(f"substring(bytes, int(off - 8 * k + 1), {length - 7})"))).alias("core"),
-                      "doc", "uid", (F.col("start") + F.when(F.col("k") < 0, 0).otherwise(lo)).alias("start"),
-                      F.when(F.col("k") < 0, F.col("n")).otherwise(hi - lo + 1).cast("int").alias("n"),
-                      F.when(F.col("k") < 0, F.col("bytes")).otherwise(
-                          F.col("bytes").substr((lo + 1).cast("int"), (hi - lo + length).cast("int"))).alias("bytes"))
-    return cut
+    cut = cut.select("h", (F.col("k") + 1).alias("part"),
+                     F.xxhash64(F.expr(f"substring(bytes, int(off - 8 * k + 1), {length - 7})")).alias("core"),
+                     "doc", "uid", (F.col("start") + lo).alias("start"), (hi - lo + 1).cast("int").alias("n"),
+                     F.col("bytes").substr((lo + 1).cast("int"), (hi - lo + length).cast("int")).alias("bytes"))
+    spot, keys, same = F.struct("doc", "uid", "start"), ["h", "part", "core"], ["h", "part", "core", "ba", "bb"]
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"ba": F.xxhash64("bytes"), "bb": F.xxhash64(F.lit("second"), "bytes")})
+
+    cut = written(hashed(cut), "pieces")
+    firsts = written(cut.groupBy(*same).agg(F.min(spot).alias("lo")), "firsts")
+    met = cut.join(firsts, same)
+    found = met.where(spot != F.col("lo")).select("uid", "start", F.col("n").cast("long").alias("n"))
+    left = met.where(spot == F.col("lo")).select(*keys, "doc", "uid", "start", "n", "bytes")
+    many = written(firsts.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > group).select(*keys), "many")
+    if many.isEmpty():
+        return small.unionByName(left), found
+    single = left.join(many, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    single = hashed(single.select(*keys, "doc", "uid", (F.col("start") + F.col("i")).alias("start"),
+                                  F.col("bytes").substr(F.col("i") + 1, F.lit(length)).alias("bytes"))).drop("bytes")
+    single = written(single, "starts")
+    again = single.join(single.groupBy(*same).agg(F.min(spot).alias("lo")), same).where(spot != F.col("lo"))
+    return (small.unionByName(left.join(many, keys, "left_anti")),
+            found.unionByName(again.select("uid", "start", F.lit(1).cast("long").alias("n"))))
 
 
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,7 +449,10 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: in
     opened = settled.where(~known).groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("l")).select(
         F.col("uid").alias("u"), F.col("l.h").alias("hs"), F.col("l.at").alias("ats"))
     joined = texts.join(opened, F.col("uid") == F.col("u")).select("uid", "doc", "z", "hs", "ats")
-    merged = compare(split_large(written(context_bytes(joined, length), "contexts"), group, length, gram), length)
+    rows, cut = split_large(written(context_bytes(joined, length), "contexts"), group, length, gram)
+    merged = compare(rows, length)
+    if cut is not None:
+        merged = merged.unionByName(cut)
     certain = settled.where(known).select("uid", F.expr("at >> 17").alias("start"), F.expr("(at >> 9) & 255").alias("n"))
     return (certain.unionByName(merged).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("l"))
             .select("uid", F.col("l.start").alias("starts"), F.col("l.n").alias("counts")))

@@ -118,6 +118,21 @@ def test_suffix_removal_equals_brute_force(spark, texts, group):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [104, 130])
+def test_suffix_groups_of_a_common_passage_are_bounded(spark, monkeypatch, size):
+    # a passage between surroundings that differ: no two contexts are equal as a whole
+    rng, group, seen = random.Random(6), 8, []
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(size)
+    rows = [(i, word(150) + passage + word(150)) for i in range(60)]
+    compare = suffix.compare
+    monkeypatch.setattr(suffix, "compare", lambda found, length: seen.append(found) or compare(found, length))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.removal(df, group=group).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_removal([t for _, t in rows])))
+    assert (seen[0].groupBy("h", "part", "core").count().agg(F.max("count")).first()[0] or 0) <= group
+
+
 def test_suffix_odd_rows(spark):
     rows = odd_rows()
     got = suffix.removal(odd_docs(spark)).collect()
