@@ -27,9 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated runs of lines (``n_chars`` follows); a document of which nothing is left goes."""
+    """Deletes repeated runs of lines and repeated lines of ``linededup.LINE_WORDS`` words or
+    more (``n_chars`` follows); a document of which nothing is left goes."""
     gone = fresh(docs, "removed")
-    left = linededup.dedup_lines(docs, n_removed=gone)
+    left = linededup.dedup_lines(docs, n_removed=gone, line_words=linededup.LINE_WORDS)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")))
     return left.where((F.col(gone) == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).drop(gone)

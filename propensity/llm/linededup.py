@@ -5,6 +5,9 @@ around a line is ignored) with at least ``MIN_LINES`` lines or ``MIN_WORDS`` wor
 line is deleted if it lies in a run that also occurs earlier: in a document with a
 smaller id, or further up in the same document.
 
+With ``line_words`` a single line of at least so many words counts as a run as well, so
+boilerplate between lines that differ goes too.
+
 From every line on, the shortest run that starts there is a window of one to
 ``MIN_LINES`` lines, and every run contains such a window.  Winnowing selects the line
 with the smallest hash of each window, so two equal runs are sure to share a
@@ -32,6 +35,7 @@ from propensity.llm.common import fresh, written
 
 MIN_LINES = 3
 MIN_WORDS = 50
+LINE_WORDS = 4  # a single line of as many words, where single lines count
 SPACES = " \t\x0b\f\r"
 WORD = r"[^ \t\x0B\f\r]+"
 
@@ -40,8 +44,9 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
-    """One row per line that starts a run: ``id, th`` (hash of the text), ``first`` and
+def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int,
+                 line_words: int | None = None) -> DataFrame:
+    """One row per line that starts a run, and one per single line that counts as a run: ``id, th`` (hash of the text), ``first`` and
     ``last`` position, the fingerprint ``fp`` with its position ``at``, and the ``key`` of
     all lines of the window."""
     trimmed = F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(
@@ -59,7 +64,12 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, mi
         full = F.col(f"l{k}").isNotNull() & ((words >= min_words) | F.lit(k + 1 == min_lines))
         n = F.when(full, k + 1) if n is None else n.when(full, k + 1)
     window = F.slice(F.array(*[F.col(f"l{k}") for k in range(min_lines)]), 1, F.col("n"))
-    rows = rows.withColumn("n", n).where("n is not null").select("id", "th", "n", window.alias("win"))
+    if line_words is None:
+        rows = rows.withColumn("n", n).where("n is not null")
+    else:
+        single = F.when(F.col("l0.w") >= min(line_words, min_words), 1)
+        rows = rows.withColumn("n", F.explode(F.array_distinct(F.array_compact(F.array(n, single)))))
+    rows = rows.select("id", "th", "n", window.alias("win"))
     fp = F.array_min(F.transform("win", lambda x: F.struct(x["h"], x["g"], (-x["pos"]).alias("at"))))
     return rows.select("id", "th", F.col("win")[0]["pos"].alias("first"), F.element_at("win", -1)["pos"].alias("last"),
                        fp.alias("f"), F.xxhash64("win.h").alias("ka"), F.xxhash64("win.g").alias("kb")).select(
@@ -67,9 +77,9 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, mi
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+                  min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """``(id, th, first, last)``: the maximal stretches of lines to delete."""
-    win = written(line_windows(docs, id_col, text_col, min_lines, min_words), "windows")
+    win = written(line_windows(docs, id_col, text_col, min_lines, min_words, line_words), "windows")
     place = F.xxhash64("id", "th", "at")
     fps = (win.groupBy("fa", "fb").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
            .select("fa", "fb"))
@@ -86,10 +96,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
-                min_words: int = MIN_WORDS, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+                min_words: int = MIN_WORDS, n_lines: str | None = None, n_removed: str | None = None,
+                line_words: int | None = None) -> DataFrame:
     """``docs`` with the repeated runs deleted from ``text_col``; the counts of lines
     before and of deleted lines are added under the names given."""
-    runs = repeated_runs(docs, id_col, text_col, min_lines, min_words)
+    runs = repeated_runs(docs, id_col, text_col, min_lines, min_words, line_words)
     # one byte for every line up to the last deleted one: 1 deletes it
     before = F.lag("last", 1, -1).over(Window.partitionBy("id", "th").orderBy("first"))
     part = F.concat(F.repeat(F.lit("0"), F.col("first") - before - 1), F.repeat(F.lit("1"), F.col("last") - F.col("first") + 1))

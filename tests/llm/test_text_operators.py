@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fixtures import no_docs, odd_docs, odd_rows
 from propensity.llm import html, jaccard, langid, linededup, mixing, packing, suffix, tokens
 from propensity.llm.queries import BYTE_BPE, PIECES, QUERIES
@@ -213,6 +214,25 @@ def test_lines_repeat_inside_a_document(spark):
     assert linededup.dedup_lines(df).first()["text"] == "a b\nc d\ne f\nx\ny"
 
 
+def test_pipeline_deletes_planted_single_lines(spark):
+    # boilerplate of four to twelve words alone between lines that differ, and a run of short lines
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    planted = [" ".join(word() for _ in range(n)) for n in (4, 9, 12)]
+    own = lambda: " ".join(word() for _ in range(7))
+    rows = [(i, "\n".join([own(), planted[i % 3], own(), " " + planted[(i + 1) % 3], own(), "a b c", own()])) for i in range(30)]
+    rows += [(100, "x y\nz z\nq r\n" + own()), (101, own() + "\nx y\nz z\nq r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, SF).collect()}
+    seen, want = set(), {}
+    for i, t in rows:
+        lines = [x for x in t.split("\n") if len(x.split()) < 4 or x.strip() not in seen]
+        seen |= {x.strip() for x in t.split("\n")}
+        want[i] = "\n".join(lines)
+    want[101] = want[101].split("\n")[0]  # three short lines are a run
+    assert got == want
+
+
 # --- 7 packing
 
 def test_packing_equals_the_tokenizer_and_is_gapless(docs):
