@@ -19,9 +19,12 @@ from propensity.llm.common import fresh, table, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that resemble no language learned:
-    ``und``, or a score below ``langid.MIN_SCORE``.  All other rows stay as they are."""
-    name = fresh(docs, "language")
-    found = langid.identify(docs, langid.learn(docs), name=name)
+    ``und``, or a score below ``langid.MIN_SCORE``.  All other rows stay as they are, and all
+    with a letter where no row could be learned from."""
+    name, learned = fresh(docs, "language"), langid.learn(docs)
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, learned, name=name)
     return found.where((F.col(f"{name}.lang_pred") != langid.UNDETERMINED)
                        & (F.col(f"{name}.score") >= langid.MIN_SCORE)).drop(name)
 

@@ -155,6 +155,13 @@ def test_language_stage_keeps_clean_documents(spark):
     assert all(not any(c.isalpha() for c in r["text"] or "") for r in gone)
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "some words", None), (2, "日本語", None), (3, "12 !", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_run_packs_what_the_stages_kept(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "mix_sources", "pack_sequences"]
     got = corpus_pipeline.run(spark, SF).collect()
