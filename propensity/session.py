@@ -74,8 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master or ""):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="propensity-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
+    sc.setCheckpointDir(configured)  # the context keeps it: the setting itself can't be changed in a session
     return sc.getCheckpointDir() or configured
 
 
