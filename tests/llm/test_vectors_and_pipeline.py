@@ -86,6 +86,61 @@ def test_nearest_with_all_probes_equals_brute_force(spark, block):
     assert ann.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 17, 30])
+def test_every_query_gets_its_rows(spark, n):
+    """With the defaults, in tables far smaller than the axes, and with several vector lengths in one."""
+    rng = np.random.default_rng(n)
+    sides = {64: rng.normal(size=(n, 64)), 7: rng.normal(size=(3, 7)), 1: np.ones((1, 1))}
+    rows = [(1000 * d + i, [float(v) for v in r]) for d, x in sides.items() for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, F.lit(True)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    want = {}
+    for d, x in sides.items():
+        want |= brute_nearest(np.arange(len(x)) + 1000 * d, x, range(len(x)))
+    if n > 6:  # enough to be met by hashing alone: complete, and nearly always right
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+    else:
+        assert got == {q: v for q, v in want.items() if v}
+
+
+def clustered(spark, n=3000, dim=32, centres=300):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(centres, dim))[rng.integers(centres, size=n)] + 0.1 * rng.normal(size=(n, dim))
+    x[:5] = rng.normal(size=(5, dim))  # far from all others: no near neighbours
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), x
+
+
+def test_joined_axes_settle_near_queries_and_pass_on_the_others(spark, monkeypatch):
+    df, x = clustered(spark)
+    passes = []
+    was = ann.hashed
+    monkeypatch.setattr(ann, "hashed", lambda rows, t, joined, p, s: passes.append((p, joined, rows.count())) or was(rows, t, joined, p, s))
+    got = {}
+    for r in sorted(ann.nearest(df, F.col("vec_id") < 200, bucket=8).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    want = brute_nearest(np.arange(len(x)), x, range(200))
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 200
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 5 * 200
+    asked = [(joined, n) for p, joined, n in passes if p > 1]
+    assert asked[0] == ({32: 2}, 200) and 5 <= asked[1][1] < 60  # the rest was settled by joined axes
+
+
+def test_buckets_do_not_grow_with_rows():
+    for n in (10, 10 ** 6, 10 ** 9, 10 ** 12):
+        j = ann.joined_axes(n, 64, ann.BUCKET)
+        assert n <= ann.BUCKET * 128 ** j and (j == 1 or n > ann.BUCKET * 128 ** (j - 1))
+    assert ann.sure_cosine(64, 2, 8, 12) <= 0.9
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        ann.nearest(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
+    with pytest.raises(TypeError):
+        ann.nearest(spark.createDataFrame([(1, 1.0)], "vec_id long, embedding double"), F.lit(True))
+
+
 def test_vectors_with_null_ids(spark):
     rows = [(50, [1.0, 0.0]), (51, [1.0, 0.1]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (7, [-1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
