@@ -84,3 +84,18 @@ def crm_rename(df: DataFrame, system: str, direction: str = "out") -> DataFrame:
     if direction == "in":
         m = {v: k for k, v in m.items()}
     return df.select(*[F.col(f"`{c}`").alias(m.get(c, c)) for c in df.columns])
+
+
+# Internal event type of each CRM event key whose name differs from it; meeting_booked has none.
+_INTERNAL_EVENT = {"pageview": "page_view", "email_open": "email_open", "email_click": "email_click",
+                   "form_submit": "form_submission"}
+
+
+def crm_event_type(col: Column | str, direction: str = "out") -> Column:
+    """Internal event type -> HubSpot event type (``out``), or back (``in``); NULL where the other
+    side has no such event (an unsubscription, a booked meeting, anything unknown)."""
+    c = F.col(col) if isinstance(col, str) else col
+    pairs = {_INTERNAL_EVENT[k]: v for k, v in HUBSPOT_EVENT_TYPES.items() if k in _INTERNAL_EVENT}
+    if direction == "in":
+        pairs = {v: k for k, v in pairs.items()}
+    return F.try_element_at(_map(pairs), c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from propensity.constants import AS_OF_HORIZON_DAYS, FIRMOGRAPHIC_FEATURES, MODE
 from propensity.functions.time import as_of_date
 from propensity.operators.features import feature_matrix
 from propensity.operators.joins import with_latest_event
-from propensity.operators.windows import global_rank
+from propensity.operators.windows import global_rank, prefix_sums
 from propensity.session import checkpoint
 
 
@@ -21,7 +23,7 @@ def labelled(leads: DataFrame) -> DataFrame:
     return leads.where(known & ~undated)
 
 
-def require_rows(df: DataFrame, message: str = "No labeled leads found") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "no lead has a known outcome") -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
@@ -35,20 +37,25 @@ def with_as_of(leads: DataFrame, events: DataFrame, now, horizon_days: int = AS_
 
 
 def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catalogue = default_catalogue,
-                      salt_buckets: int | None = None, materialize: bool = True) -> DataFrame:
-    """lead_id, as_of, the 17 model features and ``converted`` for every usable labelled lead.
+                      salt_buckets: int | None = None, materialize: bool = True, test_fraction: float | None = None) -> DataFrame:
+    """lead_id, as_of, the 17 model features and ``converted`` for every usable labelled lead,
+    with ``test_fraction`` also the ``split`` in time.
 
     The narrow (lead_id, converted, as_of) table feeds both the point-in-time join
     and the final left join; it is checkpointed once (shared checkpoint folder) so
-    the event aggregation behind ``as_of`` runs a single time.
+    the event aggregation behind ``as_of`` runs a single time.  The split is decided on
+    it and carried along, so feature rows are neither sorted nor written for it.
     """
     lab = with_as_of(labelled(leads.select("lead_id", "converted", "converted_at", "created_at")), events, now)
     lab = lab.select("lead_id", "converted", "as_of")
     if materialize:
         lab = checkpoint(lab)
+    carry = ("converted",)
+    if test_fraction is not None:
+        lab, carry = time_split(lab, test_fraction=test_fraction), ("converted", "split")
     # No scan bound: a converted lead's cut-off (conversion - 1 day) may lie after ``now``.
     fm = feature_matrix(lab, events, as_of_col="as_of", catalogue=catalogue, salt_buckets=salt_buckets,
-                        carry=("converted",))
+                        carry=carry)
     keep = [c for c in fm.columns if c not in FIRMOGRAPHIC_FEATURES]
     return fm.select(*keep)
 
@@ -56,23 +63,44 @@ def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catal
 def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_fraction: float = TEST_FRACTION,
                partitions: int | None = None) -> DataFrame:
     """Adds ``split``: the first floor(n * (1 - test_fraction)) rows in (ts, key)
-    order are 'train', the rest 'test' (ties in ts broken by key)."""
-    ranked = global_rank(df, [ts, key], partitions=partitions)
-    cut = F.floor(F.col("_total") * F.lit(1.0 - test_fraction))
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= cut, F.lit("train")).otherwise(F.lit("test")))
-            .drop("_rank", "_total"))
+    order are 'train', the rest 'test' (ties in ts broken by key, which must be unique among them;
+    a null comes first, as in a sort).
+
+    The cut is selected by counting: rows per ts (partial aggregates), prefix sums over these
+    counts up to the ts where the cut falls, and, among the rows of that one ts only, the key
+    of the last training row.  Only (ts, count) rows and the keys of one ts are ordered; two values reach
+    the driver and the split is a comparison on each row."""
+    counts = df.groupBy(F.col(ts).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    sums = prefix_sums(counts, ["ts"], ["n"], partitions)
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    cut = math.floor(total * (1.0 - test_fraction))
+    if cut <= 0 or cut >= total:
+        return df.withColumn("split", F.lit("train" if cut > 0 else "test"))
+    at = sums.where((F.col("_before_n") < cut) & (F.col("_before_n") + F.col("n") >= cut)).first()
+    t, last = F.col(ts), F.lit(at["ts"]).cast(df.schema[ts].dataType)
+    train = F.coalesce(t < last, t.isNull() & F.lit(at["ts"] is not None))
+    rest = cut - at["_before_n"]
+    if rest == at["n"]:
+        train = train | t.eqNullSafe(last)
+    else:
+        tied = global_rank(df.where(t.eqNullSafe(last)).select(key), [key], partitions=partitions)
+        bound = tied.where(F.col("_rank") == rest).first()[key]
+        first = F.coalesce(F.col(key) <= F.lit(bound), F.col(key).isNull())
+        train = train | (t.eqNullSafe(last) & first)
+    return df.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
 def training_dataset(leads: DataFrame, events: DataFrame, now, test_fraction: float = TEST_FRACTION,
                      salt_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the 17 model features + converted, split on time."""
     lab = require_rows(labelled(leads))
-    split = time_split(labelled_features(lab, events, now, salt_buckets=salt_buckets), test_fraction=test_fraction)
+    split = labelled_features(lab, events, now, salt_buckets=salt_buckets, test_fraction=test_fraction)
     cols = list(MODEL_FEATURES) + ["converted"]
     train = split.where(F.col("split") == "train").select(*cols)
     test = split.where(F.col("split") == "test").select(*cols)
     return train, test
 
 
-def label_rate(df: DataFrame, label: str = "converted") -> DataFrame:
-    return df.agg(F.avg(F.col(label).cast("double")).alias("label_rate"))
+def label_rate(df: DataFrame, label: str = "converted", by: str | None = None) -> DataFrame:
+    """Share of positive labels: one row, or one for each value of ``by`` (the split)."""
+    return df.groupBy(*[by] if by else []).agg(F.avg(F.col(label).cast("double")).alias("label_rate"))

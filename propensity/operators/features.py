@@ -20,11 +20,14 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propensity.catalogue import Catalogue, default_catalogue, spark_type
+from propensity.functions.checked import Checked
 from propensity.functions.json import session_id as json_session_id
 from propensity.functions.time import as_timestamp, seconds_between
 
@@ -39,11 +42,13 @@ UNSUBSCRIBE = "email_unsubscribe"
 EVENT_COLUMNS = ("lead_id", "event_type", "event_name", "occurred_at", "session_id")
 
 
-def _events_for_features(events: DataFrame) -> DataFrame:
-    """Project the columns the features read (column pruning reaches the scan)."""
+def _events_for_features(events: DataFrame, whole: bool = False) -> DataFrame:
+    """Project the columns the features read (column pruning reaches the scan), and with
+    ``whole`` the others too, which builders may read."""
     sess = F.col("session_id") if "session_id" in events.columns else json_session_id("properties")
     sess = F.nullif(sess, F.lit(""))
-    return events.select("lead_id", "event_type", "event_name", "occurred_at", sess.alias("session_id"))
+    more = [c for c in events.columns if c not in EVENT_COLUMNS and c != "as_of"] if whole else []
+    return events.select("lead_id", "event_type", "event_name", "occurred_at", sess.alias("session_id"), *more)
 
 
 # Target events per join task for a hot lead.
@@ -220,8 +225,9 @@ def _sql_type(feature) -> str:
 
 def _right_type(feature, dtype: T.DataType) -> bool:
     """Whether a column of this type can hold valid values of the feature at all: numbers
-    (not booleans, not text) for numeric, booleans for boolean, text for categorical."""
-    wanted = {"numeric": T.NumericType, "boolean": T.BooleanType, "categorical": T.StringType}
+    and booleans (true is 1, false is 0; not text) for numeric, booleans for boolean, text
+    for categorical."""
+    wanted = {"numeric": (T.NumericType, T.BooleanType), "boolean": T.BooleanType, "categorical": T.StringType}
     return isinstance(dtype, wanted[feature.type])
 
 
@@ -231,7 +237,7 @@ def validity_sql(feature, col: str, dtype: T.DataType) -> str:
     c = _q(col)
     if not _right_type(feature, dtype):
         return f"CASE WHEN {c} IS NULL THEN NULL ELSE false END"
-    if feature.type == "numeric":
+    if feature.type == "numeric" and not isinstance(dtype, T.BooleanType):
         d = f"CAST({c} AS DOUBLE)"
         return f"CASE WHEN {c} IS NULL THEN NULL ELSE NOT (isnan({d}) OR abs({d}) = double('inf')) END"
     if feature.type == "categorical":
@@ -243,8 +249,8 @@ def validity_sql(feature, col: str, dtype: T.DataType) -> str:
 def apply_defaults(df: DataFrame, catalogue: Catalogue = default_catalogue, keep=("lead_id", "as_of")) -> DataFrame:
     """Every catalogue feature present, valid and typed; invalid or missing -> default.
 
-    Numeric: finite numbers only; boolean: booleans only; categorical: one of the
-    listed categories.  Text in a numeric or boolean column, and numbers in a boolean
+    Numeric: finite numbers, and booleans as 1 and 0; boolean: booleans only; categorical:
+    one of the listed categories.  Text in a numeric or boolean column, and numbers in a boolean
     one, are invalid whatever they say.  A numeric column with fractions stays a double.
     """
     types = {f.name: f.dataType for f in df.schema}
@@ -262,6 +268,21 @@ def apply_defaults(df: DataFrame, catalogue: Catalogue = default_catalogue, keep
     return df.selectExpr(*out)
 
 
+def apply_defaults_counted(df: DataFrame, catalogue: Catalogue = default_catalogue, keep=("lead_id", "as_of"),
+                           name: str = "invalid_features") -> tuple[DataFrame, Observation]:
+    """``apply_defaults`` and, from the same pass over the rows, how many present values of
+    each feature were invalid: ``observation.get`` has them by feature name, and the number
+    of rows as ``rows``, once the frame was written or counted.
+
+    The counters ride on the rows as metrics of the tasks, so they cost no second scan and no
+    shuffle.  A task that runs again replaces its own metrics."""
+    types = {f.name: f.dataType for f in df.schema}
+    seen = Observation(name)
+    counts = [F.expr(f"count_if(coalesce(NOT ({validity_sql(f, f.name, types[f.name])}), false))").alias(f.name)
+              for f in catalogue.features if f.name in types]
+    return apply_defaults(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), catalogue, keep), seen
+
+
 def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalogue, key: str = "lead_id") -> DataFrame:
     """Present-but-invalid values: (lead_id, feature, value, default), one row each."""
     types = {f.name: f.dataType for f in df.schema}
@@ -280,23 +301,60 @@ def invalid_feature_report(df: DataFrame, catalogue: Catalogue = default_catalog
             .select(key, "r.feature", "r.value", "r.default_value"))
 
 
+@contextmanager
+def _errors_as_null(spark: SparkSession):
+    """Expressions analysed inside give NULL instead of failing the job where a cast, a division
+    or an array access goes wrong.  The setting is fixed in a plan when it is analysed, so it is
+    put back at once and holds for nothing else."""
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+
+
 def _custom_features(pit: DataFrame, catalogue: Catalogue) -> DataFrame | None:
-    """User-registered aggregate builders.  A builder whose expression can't be
-    analysed is logged and left out, and its feature gets the default; the others are
-    unaffected.  An expression that fails on data fails the job: builders should use
-    ``try_*`` functions where values may be odd."""
+    """User-registered aggregate builders, each isolated from the others: one row per lead with
+    ``<name>`` and ``_error_<name>``.
+
+    * A builder that raises, or whose expression can't be analysed, is logged and left out, and
+      its feature gets the default for all leads.
+    * A builder of checked expressions (``functions.checked``) carries the first error of a
+      lead's rows along: the feature is NULL there, so it gets the default, and the error is
+      reported (``feature_failures``).
+    * Any other expression is analysed so that a failing cast, division or array access gives
+      NULL for its row; nothing is reported then.  ``raise_error`` and Python UDFs still fail the job.
+    """
     a = F.col("as_of")
     cols = []
-    for name, fn in catalogue.builders.items():
-        try:
-            expr = fn(a).alias(name)
-            pit.groupBy("lead_id").agg(expr).schema  # analysis errors surface here, per feature
-            cols.append(expr)
-        except Exception as exc:  # noqa: BLE001 - isolate one bad feature
-            log.warning("feature_computation_failed feature=%s error=%s", name, exc)
-    if not cols:
-        return None
-    return pit.groupBy("lead_id").agg(*cols)
+    with _errors_as_null(pit.sparkSession):
+        for name, fn in catalogue.builders.items():
+            try:
+                built = fn(a)
+                checked = built if isinstance(built, Checked) else Checked(built, F.lit(None).cast("string"))
+                error = F.max(checked.error) if not isinstance(built, Checked) else checked.error
+                mine = [F.when(error.isNull(), checked.value).alias(name), error.alias(f"_error_{name}")]
+                pit.groupBy("lead_id").agg(*mine).schema  # analysis errors surface here, per feature
+                cols += mine
+            except Exception as exc:  # noqa: BLE001 - isolate one bad feature
+                log.warning("feature_computation_failed feature=%s error=%s", name, exc)
+        return pit.groupBy("lead_id").agg(*cols) if cols else None
+
+
+def feature_failures(leads: DataFrame, events: DataFrame, catalogue: Catalogue, as_of=None, as_of_col: str | None = None,
+                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``(lead_id, feature, error)``: one row for each feature that failed for a lead, in which
+    ``feature_matrix`` with the same arguments has the default."""
+    pit, ids = _point_in_time(leads, events, as_of, as_of_col, rows_per_task=rows_per_task)
+    custom = _custom_features(pit, catalogue)
+    names = [c.removeprefix("_error_") for c in (custom.columns if custom is not None else []) if c.startswith("_error_")]
+    if not names:
+        return ids.select("lead_id", F.lit("").alias("feature"), F.lit("").alias("error")).limit(0)
+    found = F.filter(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_error_{n}").alias("error")) for n in names]),
+                     lambda e: e["error"].isNotNull())
+    failed = custom.select("lead_id", F.explode(found).alias("f")).select("lead_id", "f.feature", "f.error")
+    return failed.join(ids.select("lead_id"), "lead_id", "left_semi")
 
 
 REQUEST_SALTS = 16
@@ -311,6 +369,22 @@ def requested_events(events: DataFrame, leads: DataFrame, salts: int = REQUEST_S
     return events.withColumn("_salt", salt.cast("bigint")).join(ids, ["lead_id", "_salt"], "left_semi").drop("_salt")
 
 
+def _point_in_time(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None, salt_buckets: int | None = None,
+                   as_of_upper=None, carry: tuple = (), restrict_events: bool = False, rows_per_task: int = ROWS_PER_TASK,
+                   whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The event rows before each lead's cut-off (``whole``: with the events' other columns, for
+    builders), and the leads with their cut-off."""
+    ev = _events_for_features(events, whole)
+    if restrict_events:
+        ev = requested_events(ev, leads)
+    if as_of_col is not None:
+        la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
+        return pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper, rows_per_task=rows_per_task), la
+    if as_of is None:
+        raise ValueError("give either as_of (shared cut-off) or as_of_col (per-lead cut-off)")
+    return pit_filter(ev, as_of), leads.select("lead_id", *carry).withColumn("as_of", as_of_timestamp(as_of))
+
+
 def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: str | None = None,
                    catalogue: Catalogue = default_catalogue, salt_buckets: int | None = None,
                    as_of_upper=None, carry: tuple = (), restrict_events: bool = False,
@@ -324,25 +398,14 @@ def feature_matrix(leads: DataFrame, events: DataFrame, as_of=None, as_of_col: s
     ``restrict_events``: ``leads`` is a small subset (a scoring request), so events
     are semi-joined to it before aggregating instead of aggregating every lead.
     """
-    ev = _events_for_features(events)
-    if restrict_events:
-        ev = requested_events(ev, leads)
-    if as_of_col is not None:
-        la = leads.select("lead_id", F.col(as_of_col).alias("as_of"), *carry)
-        pit = pit_join(la, ev, "as_of", salt_buckets=salt_buckets, as_of_upper=as_of_upper,
-                       rows_per_task=rows_per_task)
-        base = la
-    else:
-        if as_of is None:
-            raise ValueError("give either as_of (shared cut-off) or as_of_col (per-lead cut-off)")
-        pit = pit_filter(ev, as_of)
-        base = leads.select("lead_id", *carry).withColumn("as_of", as_of_timestamp(as_of))
+    pit, base = _point_in_time(leads, events, as_of, as_of_col, salt_buckets, as_of_upper, carry, restrict_events, rows_per_task,
+                               whole=bool(catalogue.builders))
     feats = feature_aggregates(pit).drop("as_of")
     out = base.join(feats, "lead_id", "left")
     out = out.drop(*catalogue.builders)  # a registered name is never filled by the built-in value
     custom = _custom_features(pit, catalogue)
     if custom is not None:
-        out = out.join(custom, "lead_id", "left")
+        out = out.join(custom.drop(*[c for c in custom.columns if c.startswith("_error_")]), "lead_id", "left")
     return apply_defaults(out, catalogue, keep=("lead_id", "as_of", *carry))
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propensity.session import checkpoint, scratch_path
+from propensity.sources import files
+
 
 def latest_event(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at") -> DataFrame:
     """max(ts) per key (partial aggregation before the shuffle)."""
@@ -69,3 +76,36 @@ def update_by_key(table: DataFrame, updates: DataFrame, key: str, columns: list[
         else:
             out.append(F.col(c))
     return joined.select(*out)
+
+
+def update_partitions(spark: SparkSession, path: str, updates: DataFrame, key: str, columns: list[str],
+                      partition_by: tuple[str, ...]) -> list[tuple]:
+    """``update_by_key`` on a partitioned Parquet table, copy on write: only the partitions that
+    hold an updated key are rewritten; files of the others aren't read beyond the key column,
+    nor touched.  Returns the rewritten partitions.
+
+    The new rows are staged in the shared folder first and then swapped in, partition by
+    partition, by a dynamic overwrite.  A writer that dies before the swap has changed nothing; one
+    that dies within it leaves each partition either old or new, and the same call again finishes
+    the update.  ``updates`` has one row per key; a partition column can't be updated."""
+    if moved := set(columns) & set(partition_by):
+        raise ValueError(f"rows can't move between partitions: {sorted(moved)}")
+    if tuple(partition_by) != files.partition_columns(spark, path):
+        raise ValueError(f"the table is partitioned by {files.partition_columns(spark, path)}")
+    table = spark.read.parquet(path)
+    updates = checkpoint(updates.select(key, *columns))  # read twice: the same rows both times
+    touched = table.join(updates.select(key), key, "left_semi").select(*partition_by).distinct().collect()
+    if not touched:
+        return []
+    if len(partition_by) == 1:
+        values = [r[0] for r in touched]
+        mine = F.col(partition_by[0]).isin([v for v in values if v is not None])
+        mine = mine | F.col(partition_by[0]).isNull() if None in values else mine
+    else:
+        mine = reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by]) for r in touched])
+    rows = update_by_key(table.where(mine), updates, key, columns)
+    staged = scratch_path(spark, f"update-{uuid.uuid4().hex}")
+    rows.write.partitionBy(*partition_by).parquet(staged)
+    (spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
+    return sorted(tuple(r) for r in touched)

@@ -258,3 +258,45 @@ pred AS (
     CASE WHEN l.toxic = 1 THEN 'v1.1' ELSE 'v1.0' END AS model_version
   FROM ho JOIN labels l ON l.doc_id = ho.id
 )"""
+
+PREDICTION_LOG = PREDICTIONS + """,
+log AS (
+  SELECT lead_id, score, bucket, model_version,
+         TIMESTAMP '2024-01-25 00:00:00' - to_hours(CAST(lead_id % 30 AS INTEGER)) AS scored_at FROM pred
+  UNION ALL
+  SELECT lead_id, s, CASE WHEN s >= 0.7 THEN 'A' WHEN s >= 0.4 THEN 'B' WHEN s >= 0.2 THEN 'C' WHEN s IS NOT NULL THEN 'D' END,
+         'v1.2', TIMESTAMP '2024-01-25 00:00:00' - to_hours(CAST(lead_id * 7 % 30 AS INTEGER))
+  FROM (SELECT lead_id, 1 - score AS s FROM pred)
+)"""
+
+# Rows that break every rule of their table, as expressions that Spark and DuckDB both read.
+BAD_PREDICTIONS = """doc_id AS id,
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN -doc_id - 1 ELSE doc_id % 100 + 1 END AS lead_id,
+  CASE WHEN doc_id % 17 = 2 THEN NULL ELSE 0.5 END AS score,
+  CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 7 = 4 THEN 'E' WHEN doc_id % 7 = 5 THEN repeat('A', 11) ELSE 'B' END AS bucket,
+  CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'v' || repeat('1', 20) ELSE 'v1.0' END AS model_version,
+  CASE WHEN doc_id % 12 = 5 THEN NULL ELSE 1 END AS scored_at"""
+BAD_SYNC_LOGS = """doc_id AS id,
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN -doc_id - 1 ELSE doc_id % 100 + 1 END AS lead_id,
+  CASE WHEN doc_id % 17 = 2 THEN NULL WHEN doc_id % 17 = 3 THEN repeat('h', 21) ELSE 'hubspot' END AS source_system,
+  CASE WHEN doc_id % 8 = 3 THEN repeat('x', 101) WHEN doc_id % 8 = 4 THEN NULL ELSE 'c-1' END AS external_id,
+  CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN repeat('a', 51) ELSE 'score_update' END AS action,
+  CASE WHEN doc_id % 12 = 5 THEN NULL WHEN doc_id % 12 = 6 THEN 'invalid' WHEN doc_id % 12 = 7 THEN repeat('s', 21)
+       ELSE 'pending' END AS status"""
+BAD_REGISTRY = """s_suppkey AS id,
+  CASE WHEN s_suppkey % 5 = 1 THEN NULL WHEN s_suppkey % 5 = 2 THEN 'v1.7' WHEN s_suppkey % 5 = 3 THEN 'v' || repeat('9', 20)
+       ELSE 'v2.' || CAST(s_suppkey AS VARCHAR(10)) END AS version,
+  CASE WHEN s_suppkey % 4 = 1 THEN NULL WHEN s_suppkey % 4 = 2 THEN repeat('p', 501) ELSE 'models/x' END AS artifact_path,
+  CASE WHEN s_suppkey % 3 = 1 THEN NULL ELSE 1 END AS trained_at"""
+
+
+def broken_rules(rows: str, source: str, required: list[str], limits: list[tuple[str, int]], one_of: dict[str, list[str]],
+                 unique: list[str] = (), lead: str | None = None) -> str:
+    """(id, rule) of every rule that a row of ``SELECT rows FROM source`` breaks."""
+    parts = [f"SELECT id, 'not_null:{c}' AS rule FROM t WHERE {c} IS NULL" for c in required]
+    parts += [f"SELECT id, 'max_length:{c}' FROM t WHERE length({c}) > {n}" for c, n in limits]
+    parts += ["SELECT id, 'check:%s' FROM t WHERE %s NOT IN (%s)" % (c, c, ", ".join(f"'{v}'" for v in vs)) for c, vs in one_of.items()]
+    parts += [f"SELECT id, 'unique:{c}' FROM t WHERE {c} IN (SELECT {c} FROM t GROUP BY {c} HAVING count(*) > 1)" for c in unique]
+    if lead:
+        parts.append(f"SELECT id, 'fk:{lead}' FROM t WHERE {lead} NOT IN (SELECT c_custkey FROM customer)")
+    return f"WITH t AS (SELECT {rows} FROM {source})\n" + "\nUNION ALL ".join(parts)

@@ -10,8 +10,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.catalogue import default_catalogue
+from propensity.catalogue import default_catalogue, with_builder
 from propensity.constants import BOOLEAN_FEATURES, CSV_COLUMN_MAP, MODEL_FEATURES, NUMERIC_CSV_COLUMNS
+from propensity.functions import checked as ck
 from propensity.functions import json as fj
 from propensity.functions import rules as ru
 from propensity.functions import scoring as fs
@@ -26,8 +27,10 @@ from propensity.operators import joins as jn
 from propensity.operators import metrics as mt
 from propensity.operators import model as md
 from propensity.operators import scoring as sc
+from propensity.operators import tuning as tn
 from propensity.operators import windows as wn
 from propensity.plans import oracle as O
+from propensity.sources import prediction_log as pl
 from propensity.sources import tables as tb
 from propensity.streaming import score_stream as ss
 from propensity.streaming import throttle as th
@@ -119,7 +122,7 @@ FROM fm""")
 def q_training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = tb.leads_view(spark, sf_dir)
     events = tb.events_view(spark, sf_dir)
-    return ds.time_split(ds.labelled_features(leads, events, tb.FIXTURE_NOW))
+    return ds.labelled_features(leads, events, tb.FIXTURE_NOW, test_fraction=ds.TEST_FRACTION)
 
 
 @register("labelled_leads", O.with_(O.EV, O.LEADS, O.LABELLED) + "SELECT lead_id, converted FROM lab")
@@ -133,6 +136,13 @@ def q_label_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.label_rate(ds.labelled(tb.leads_view(spark, sf_dir)))
 
 
+@register("label_rate_by_split", "SELECT split, avg(CASE WHEN converted THEN 1.0 ELSE 0.0 END) AS label_rate FROM ("
+          + ORACLE["training_dataset"] + ") t GROUP BY split")
+def q_label_rate_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = _labelled_with_as_of(spark, sf_dir).select("lead_id", "converted", "as_of")
+    return ds.label_rate(ds.time_split(checkpoint(lab)), by="split")
+
+
 # ---------------------------------------------------------------------------
 # Joins J1, J3, J4, S3; aggregations A1, A2
 # ---------------------------------------------------------------------------
@@ -240,6 +250,27 @@ ORACLE["scan_csv_leads"] = _C + "SELECT input_order, " + ", ".join(
     f'{O.q(c)} AS {d}' for c, d in CSV_COLUMN_MAP) + " FROM na"
 
 
+@register("scan_csv_rejects", """SELECT count(*) FILTER (WHERE kind = 0) AS n_rows, count(*) FILTER (WHERE kind = 1) AS n_long,
+  count(*) FILTER (WHERE kind = 2) AS n_short, sum(c_custkey) FILTER (WHERE kind = 0)::BIGINT AS sum_keys
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 17 = 3 THEN 1 WHEN c_custkey % 17 = 9 THEN 2 ELSE 0 END AS kind FROM customer)""")
+def q_scan_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # customers as CSV lines, some with a field too many, some with one too few
+    import uuid
+    k = F.col("c_custkey")
+    fields = F.concat_ws(",", k.cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.col("c_acctbal").cast("string"))
+    line = F.when(k % 17 == 3, F.concat(fields, F.lit(",x"))).when(k % 17 == 9, F.concat_ws(",", k.cast("string"), "c_name")).otherwise(fields)
+    path = scratch_path(spark, f"rejects_csv/{uuid.uuid4().hex}")
+    # one column per line, unquoted, with a header in each file, as an exporter writes them
+    (tb.read_table(spark, sf_dir, "customer").select(line.alias("Lead Number,Name,Balance")).write.option("header", True)
+     .option("sep", "\t").option("quote", "").option("escape", "").csv(path))
+    rows, rejected = tb.scan_leads_csv(spark, path)
+    long_ = F.size(F.split("line", ",")) > 3
+    tagged = rows.select(F.lit(0).alias("kind"), F.col("`Lead Number`").cast("bigint").alias("key")).unionByName(
+        rejected.select(F.when(long_, 1).otherwise(2).alias("kind"), F.lit(None).cast("bigint").alias("key")))
+    return tagged.agg(*[F.count_if(F.col("kind") == i).alias(n) for i, n in enumerate(("n_rows", "n_long", "n_short"))],
+                      F.sum("key").alias("sum_keys"))
+
+
 @register("strip_strings", _C + "SELECT input_order, " + ", ".join(f"{O.q(c)} AS {_snake(c)}" for c in _SOME) +
           " FROM st")
 def q_strip_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,6 +597,23 @@ def q_register_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.select("version", "is_active")
 
 
+@register("registry_commits", O.with_(O.REGISTRY) + """SELECT version, false AS is_active, CAST(2 AS BIGINT) AS commits, true AS refused
+FROM reg UNION ALL SELECT 'v9.9', true, 2, true""")
+def q_registry_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits (the suppliers' versions, then a new active one) and one refused: a version twice."""
+    import uuid
+    store = rg.RegistryStore(spark, scratch_path(spark, f"registry/{uuid.uuid4().hex}"))
+    store.commit(lambda _: tb.registry_view(spark, sf_dir))
+    store.register("v9.9", "models/v9.9", {"auc_roc": 0.9}, {"max_depth": 6}, ["days_since_last_visit"], set_active=True)
+    try:
+        store.register("v9.9", "models/other", {}, {}, [])
+        refused = False
+    except rg.DuplicateVersion:
+        refused = True
+    return store.read().select("version", "is_active", F.lit(len(store.commits())).cast("bigint").alias("commits"),
+                               F.lit(refused).alias("refused"))
+
+
 # ---------------------------------------------------------------------------
 # Scoring helpers X4, X5, W2, K4, K5 (deterministic scores, no model needed)
 # ---------------------------------------------------------------------------
@@ -588,6 +636,29 @@ def q_prediction_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.predictions_view(spark, sf_dir).groupBy("model_version", "bucket").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log, appended to in two batches."""
+    import uuid
+    name = uuid.uuid4().hex
+    view = tb.prediction_log_view(spark, sf_dir)
+    for batch in (view.where(F.col("model_version") != "v1.2"), view.where(F.col("model_version") == "v1.2")):
+        pl.append(batch, f"prediction_log_{name}", scratch_path(spark, f"prediction_log/{name}"))
+    return pl.read(spark, f"prediction_log_{name}")
+
+
+@register("latest_prediction_per_lead", O.with_(O.PREDICTION_LOG) + """SELECT lead_id, score, bucket, scored_at, model_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY scored_at DESC, model_version DESC) AS rn FROM log) x WHERE rn = 1""")
+def q_latest_prediction_per_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.latest_per_lead(_prediction_log(spark, sf_dir)).select(
+        "lead_id", "score", "bucket", "scored_at", F.col("model_version").cast("string").alias("model_version"))
+
+
+@register("prediction_counts_of_version", O.with_(O.PREDICTION_LOG) +
+          "SELECT model_version, bucket, count(*) AS count FROM log WHERE model_version = 'v1.1' GROUP BY model_version, bucket")
+def q_prediction_counts_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.counts(_prediction_log(spark, sf_dir), "v1.1")
+
+
 # Stand-in global importances for the 17 model features (a rule, not a model).
 FIXTURE_IMPORTANCES = [((i * 7) % 17 + 1) / 153.0 for i in range(len(MODEL_FEATURES))]
 
@@ -649,6 +720,36 @@ def q_event_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame
     return v.select("event_id", F.explode("violations").alias("rule"))
 
 
+_LEAD_RULES = {"lead": "lead_id"}
+
+
+@register("prediction_constraint_violations", O.broken_rules(
+    O.BAD_PREDICTIONS, "labels", ["lead_id", "score", "bucket", "model_version", "scored_at"], [("bucket", 10), ("model_version", 20)],
+    {"bucket": ["A", "B", "C", "D"]}, **_LEAD_RULES))
+def q_prediction_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.adhoc_sql(spark, f"SELECT {O.BAD_PREDICTIONS} FROM bad_labels", bad_labels=tb.read_table(spark, sf_dir, "labels"))
+    v = cs.prediction_violations(rows, tb.leads_view(spark, sf_dir).select("lead_id"))
+    return v.select("id", F.explode("violations").alias("rule"))
+
+
+@register("sync_log_constraint_violations", O.broken_rules(
+    O.BAD_SYNC_LOGS, "labels", ["lead_id", "source_system", "action", "status"],
+    [("source_system", 20), ("external_id", 100), ("action", 50), ("status", 20)],
+    {"status": ["success", "failed", "pending"]}, **_LEAD_RULES))
+def q_sync_log_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.adhoc_sql(spark, f"SELECT {O.BAD_SYNC_LOGS} FROM bad_labels", bad_labels=tb.read_table(spark, sf_dir, "labels"))
+    v = cs.sync_log_violations(rows, tb.leads_view(spark, sf_dir).select("lead_id"))
+    return v.select("id", F.explode("violations").alias("rule"))
+
+
+@register("registry_constraint_violations", O.broken_rules(
+    O.BAD_REGISTRY, "supplier", ["version", "artifact_path", "trained_at"], [("version", 20), ("artifact_path", 500)], {},
+    unique=["version"]))
+def q_registry_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.adhoc_sql(spark, f"SELECT {O.BAD_REGISTRY} FROM bad_suppliers", bad_suppliers=tb.read_table(spark, sf_dir, "supplier"))
+    return cs.registry_violations(rows).select("id", F.explode("violations").alias("rule"))
+
+
 @register("row_defaults", O.with_(O.REGISTRY) + """SELECT version, coalesce(CASE WHEN s_suppkey % 2 = 0
   THEN is_active END, false) AS is_active, 'pending' AS status FROM reg""")
 def q_row_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -672,6 +773,7 @@ def _raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{fcl.strip_sql(q('TotalVisits'))} AS total_sessions",  # text where a number is due
         f"{fcl.strip_sql(q('Converted'))} AS requested_demo",  # text where a boolean is due
         f"CAST({fcl.flag_sql(fcl.strip_sql(q('Converted')))} AS INT) AS downloaded_content",  # so is a number
+        f"{fcl.flag_sql(fcl.strip_sql(q('Converted')))} AS pricing_page_views",  # a boolean counts as a number
         f"{fcl.strip_sql(q('Lead Origin'))} AS company_size_bucket",
         f"lower({fcl.strip_sql(q('What is your current occupation'))}) AS job_title_seniority")
 
@@ -690,7 +792,7 @@ _RAWF_SQL = _C + """, rf AS (SELECT input_order AS lead_id, """ + O.sql_number('
     AS days_since_last_visit,
   CASE WHEN apps IS NOT NULL AND NOT isnan(apps) AND NOT isinf(apps) THEN apps ELSE 0.0 END AS avg_pages_per_session,
   coalesce(vp, false) AS viewed_pricing, CAST(0 AS BIGINT) AS total_sessions, false AS requested_demo,
-  false AS downloaded_content,
+  false AS downloaded_content, coalesce(CAST(vp AS BIGINT), 0) AS pricing_page_views,
   CASE WHEN csb IN ('unknown', '1-10', '11-50', '51-200', '201-1000', '1000+') THEN csb ELSE 'unknown' END
     AS company_size_bucket,
   CASE WHEN jts IN ('unknown', 'individual_contributor', 'manager', 'director', 'vp', 'c_level') THEN jts
@@ -698,7 +800,7 @@ _RAWF_SQL = _C + """, rf AS (SELECT input_order AS lead_id, """ + O.sql_number('
 FROM rf""")
 def q_validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["days_since_last_visit", "avg_pages_per_session", "viewed_pricing", "total_sessions", "requested_demo",
-            "downloaded_content", "company_size_bucket", "job_title_seniority"]
+            "downloaded_content", "pricing_page_views", "company_size_bucket", "job_title_seniority"]
     return feat.apply_defaults(_raw_features(spark, sf_dir)).select("lead_id", *keep)
 
 
@@ -714,6 +816,61 @@ def q_invalid_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.invalid_feature_report(_raw_features(spark, sf_dir))
 
 
+@register("invalid_feature_counts", "SELECT feature, count(*) AS n_invalid FROM (" + ORACLE["invalid_feature_report"]
+          + ") r GROUP BY feature UNION ALL SELECT 'rows', count(*) FROM customer")
+def q_invalid_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid values per feature, counted while the rows with their defaults are written."""
+    import uuid
+    rows, seen = feat.apply_defaults_counted(_raw_features(spark, sf_dir))
+    rows.write.parquet(scratch_path(spark, f"features/{uuid.uuid4().hex}"))
+    return spark.createDataFrame([(k, v) for k, v in seen.get.items() if v], "feature string, n_invalid long")
+
+
+# ---------------------------------------------------------------------------
+# V3: features that fail for some leads
+# ---------------------------------------------------------------------------
+
+def _failing_catalogue():
+    """Builders that go wrong on some leads: text that is no number, no e-mail click to divide by."""
+    text = F.when(F.pmod("event_id", F.lit(11)) == 0, F.lit("n/a")).otherwise(F.get_json_object("properties", "$.k"))
+    is_ = lambda t: F.col("event_type") == t
+    cat = with_builder(default_catalogue, "total_sessions", lambda a: ck.checked_sum(ck.checked_cast(text, "bigint")))
+    cat = with_builder(cat, "avg_pages_per_session",
+                       lambda a: ck.checked_divide(ck.checked_count(is_("page_view")), ck.checked_count(is_("email_click"))))
+    cat = with_builder(cat, "days_since_first_touch", lambda a: F.sum(text.cast("bigint")))  # not checked: its rows give NULL
+    return with_builder(cat, "emails_opened_30d", lambda a: F.sum("no_such_column"))
+
+
+_FAILING = O.with_(O.EV, O.LEADS) + f""", x AS (SELECT ev.lead_id, ev.event_type, CASE WHEN ev.event_id % 11 = 0 THEN 'n/a'
+    ELSE json_extract_string(r.props, '$.k') END AS text
+  FROM ev JOIN events r ON r.event_id = ev.event_id WHERE occurred_at < {O.NOW}),
+g AS (SELECT lead_id, count(*) FILTER (WHERE text = 'n/a') AS bad, CAST(sum(TRY_CAST(text AS BIGINT)) AS BIGINT) AS total,
+  count(*) FILTER (WHERE event_type = 'page_view') AS views, count(*) FILTER (WHERE event_type = 'email_click') AS clicks
+  FROM x GROUP BY lead_id)
+"""
+
+
+@register("failed_feature_isolation", _FAILING + f""", p AS (SELECT lead_id, count(*) AS pv FROM ev WHERE event_type = 'page_view'
+  AND occurred_at < {O.NOW} AND occurred_at >= {O.NOW} - INTERVAL 7 DAY GROUP BY lead_id)
+SELECT l.lead_id, CASE WHEN g.bad = 0 THEN coalesce(g.total, 0) ELSE 0 END AS total_sessions,
+  CASE WHEN g.clicks > 0 THEN g.views / g.clicks ELSE 0.0 END AS avg_pages_per_session,
+  coalesce(g.total, 0) AS days_since_first_touch, CAST(0 AS BIGINT) AS emails_opened_30d, coalesce(p.pv, 0) AS total_pageviews_7d
+FROM leads l LEFT JOIN g ON g.lead_id = l.lead_id LEFT JOIN p ON p.lead_id = l.lead_id""")
+def q_failed_feature_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fm = feat.feature_matrix(tb.leads_view(spark, sf_dir), tb.events_view(spark, sf_dir), as_of=tb.FIXTURE_NOW,
+                             catalogue=_failing_catalogue())
+    return fm.select("lead_id", "total_sessions", "avg_pages_per_session", "days_since_first_touch", "emails_opened_30d",
+                     "total_pageviews_7d")
+
+
+@register("failed_feature_report", _FAILING + """SELECT g.lead_id, 'total_sessions' AS feature, 'cannot cast ''n/a'' to bigint' AS error
+FROM g JOIN leads l ON l.lead_id = g.lead_id WHERE bad > 0
+UNION ALL SELECT g.lead_id, 'avg_pages_per_session', 'division by zero' FROM g JOIN leads l ON l.lead_id = g.lead_id WHERE clicks = 0""")
+def q_failed_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.feature_failures(tb.leads_view(spark, sf_dir), tb.events_view(spark, sf_dir), _failing_catalogue(),
+                                 as_of=tb.FIXTURE_NOW)
+
+
 _SIZE_CASE = """CASE trim(company_size) WHEN '1' THEN '1-10' WHEN '2' THEN '1-10' WHEN '3' THEN '1-10'
   WHEN '4' THEN '1-10' WHEN '5' THEN '1-10' WHEN '6' THEN '1-10' WHEN '7' THEN '1-10' WHEN '8' THEN '1-10'
   WHEN '9' THEN '1-10' WHEN '10' THEN '1-10' WHEN '11-50' THEN '11-50' WHEN '51-200' THEN '51-200'
@@ -761,6 +918,17 @@ def q_crm_rename_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.crm_rename(contacts, "salesforce", "in")
 
 
+@register("crm_event_types", O.with_(O.EV) + """SELECT event_type, crm_type, count(*) AS n,
+  CASE crm_type WHEN 'PAGE_VIEW' THEN 'page_view' WHEN 'EMAIL_OPEN' THEN 'email_open' WHEN 'EMAIL_CLICK' THEN 'email_click'
+    WHEN 'FORM_SUBMISSION' THEN 'form_submission' END AS back
+FROM (SELECT event_type, CASE WHEN event_type <> 'email_unsubscribe' THEN upper(event_type) END AS crm_type FROM ev) x
+GROUP BY event_type, crm_type""")
+def q_crm_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tb.events_view(spark, sf_dir).select("event_type", ru.crm_event_type("event_type").alias("crm_type"))
+    return ev.groupBy("event_type", "crm_type").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "back", ru.crm_event_type("crm_type", "in"))
+
+
 # ---------------------------------------------------------------------------
 # ML M1-M3, M8, M10, K1-K3 (model-dependent: rows-only checks, no SQL oracle)
 # ---------------------------------------------------------------------------
@@ -819,6 +987,46 @@ def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.stratified_folds(ts, 5).select("lead_id", "fold")
 
 
+TUNING_GRID = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1]}
+
+
+@register("tune_hyperparameters", """WITH f AS (""" + ORACLE["stratified_folds"] + """),
+c AS (SELECT f.fold, count(*) AS n_rows, count(*) FILTER (WHERE t.converted) AS n_positive
+      FROM f JOIN (""" + ORACLE["training_dataset"] + """) t ON t.lead_id = f.lead_id GROUP BY f.fold)
+SELECT CAST(p.point AS INTEGER) AS point, CAST(p.n AS INTEGER) AS n_estimators, CAST(p.d AS INTEGER) AS max_depth, fold, n_rows,
+  n_positive, true AS auc_in_range, true AS best_has_largest_mean
+FROM c, (VALUES (0, 2, 2), (1, 4, 2), (2, 2, 3), (3, 4, 3)) p(point, n, d)""")
+def q_tune_hyperparameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over a small grid with few rounds: one row per point and fold.  A fold whose rows
+    have one class has no AUC."""
+    train = checkpoint(q_training_dataset(spark, sf_dir).where(F.col("split") == "train"))
+    trials = tn.search_hyperparameters(train, TUNING_GRID, cv_folds=5, parallelism=8).trials
+    top = F.lit(trials.agg(F.max("mean_auc")).first()[0])
+    one_class = F.col("n_positive").isin(0) | (F.col("n_positive") == F.col("n_rows"))
+    return trials.select(
+        "point", "n_estimators", "max_depth", "fold", "n_rows", "n_positive",
+        F.coalesce(F.col("auc").between(0, 1), one_class).alias("auc_in_range"),
+        (~F.col("best") | F.col("mean_auc").eqNullSafe(top)).alias("best_has_largest_mean"))
+
+
+@register("score_one", """SELECT max(c_custkey) AS lead_id, 'scored' AS outcome, true AS bucket_agrees FROM customer
+UNION ALL SELECT max(c_custkey) + 1, 'Lead not found', NULL FROM customer""")
+def q_score_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One known lead, and one that isn't there."""
+    res = _trained(spark, sf_dir)
+    imps = [res.feature_importance[c] for c in MODEL_FEATURES]
+    leads, events = tb.leads_view(spark, sf_dir), tb.events_view(spark, sf_dir)
+    known = leads.agg(F.max("lead_id")).first()[0]
+    one = sc.score_one(known, leads, events, res.model, "v1.0", imps, tb.FIXTURE_NOW).select(
+        "lead_id", F.lit("scored").alias("outcome"), (F.col("bucket") == fs.score_bucket("score")).alias("bucket_agrees"))
+    try:
+        sc.score_one(known + 1, leads, events, res.model, "v1.0", imps, tb.FIXTURE_NOW)
+        outcome = "scored"
+    except LookupError as exc:
+        outcome = str(exc).split(":")[0]
+    return one.unionByName(spark.createDataFrame([(known + 1, outcome, None)], "lead_id long, outcome string, bucket_agrees boolean"))
+
+
 def _score(spark: SparkSession, sf_dir: str):
     res = _trained(spark, sf_dir)
     imps = [res.feature_importance[c] for c in MODEL_FEATURES]
@@ -919,6 +1127,23 @@ def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.update_by_key(base, tb.conversions(spark, sf_dir), "lead_id", ["converted_at"])
 
 
+@register("update_partitions", O.with_(O.EV, O.LEADS) + """, touched AS (
+  SELECT DISTINCT lead_id % 20 AS part FROM leads WHERE converted_at >= TIMESTAMP '2024-01-20 00:00:00')
+SELECT lead_id, CASE WHEN converted_at >= TIMESTAMP '2024-01-20 00:00:00' THEN converted_at END AS converted_at,
+  (SELECT count(*) FROM touched) AS n_rewritten FROM leads""")
+def q_update_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late conversions written into a stored, partitioned table of leads."""
+    import uuid
+    path = scratch_path(spark, f"leads_table/{uuid.uuid4().hex}")
+    base = tb.read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("lead_id"), F.lit(None).cast("timestamp_ntz").alias("converted_at"),
+        F.pmod("c_custkey", F.lit(20)).cast("int").alias("part"))
+    base.repartition("part").write.partitionBy("part").parquet(path)
+    late = tb.conversions(spark, sf_dir).where(F.col("converted_at") >= tb.ntz("2024-01-20 00:00:00"))
+    rewritten = jn.update_partitions(spark, path, late, "lead_id", ["converted_at"], ("part",))
+    return spark.read.parquet(path).select("lead_id", "converted_at", F.lit(len(rewritten)).cast("bigint").alias("n_rewritten"))
+
+
 @register("delete_cascade", O.with_(O.EV, O.REQUESTS) +
           "SELECT event_id, lead_id FROM ev WHERE lead_id NOT IN (SELECT lead_id FROM req)")
 def q_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -953,6 +1178,37 @@ def q_json_nested_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", fj.json_nested("properties", "$.k", "int").alias("k"))
 
 
+def _documents_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON built from several columns; some events have broken text instead, or no document."""
+    ev = tb.read_table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(
+        F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("kind")).alias("seen")).alias("user"),
+        F.array(F.struct(F.col("value").alias("amount"), F.lit("EUR").alias("unit")),
+                F.struct((F.col("value") * 2).alias("amount"), F.lit("USD").alias("unit"))).alias("items"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("text")).alias("note")))
+    text = F.when(F.col("event_id") % 7 == 3, F.lit('{"user": {"id": 1')).when(F.col("event_id") % 7 != 4, body)
+    return ev.select("event_id", fj.variant(text).alias("doc"))
+
+
+@register("json_nested_paths", """SELECT event_id, CASE WHEN ok THEN user_id END AS user_id, CASE WHEN ok THEN event_type END AS kind,
+  CASE WHEN ok THEN value * 2 END AS second_amount, CASE WHEN ok AND event_id % 3 = 0 THEN 'text' END AS note,
+  CAST(NULL AS BIGINT) AS note_as_number, CAST(NULL AS VARCHAR) AS missing, CAST(NULL AS DOUBLE) AS beyond
+FROM (SELECT *, event_id % 7 NOT IN (3, 4) AS ok FROM events) e""")
+def q_json_nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_of_events(spark, sf_dir).select(
+        "event_id", fj.at("doc", "$.user.id", "bigint").alias("user_id"), fj.at("doc", "$.user.seen.kind").alias("kind"),
+        fj.at("doc", "$.items[1].amount", "double").alias("second_amount"), fj.at("doc", "$.note").alias("note"),
+        fj.at("doc", "$.note", "bigint").alias("note_as_number"), fj.at("doc", "$.user.none.at.all").alias("missing"),
+        fj.at("doc", "$.items[2].amount", "double").alias("beyond"))
+
+
+@register("json_array_items", """SELECT event_id, CAST(i AS INTEGER) AS pos, CASE i WHEN 0 THEN 'EUR' ELSE 'USD' END AS unit
+FROM events, range(2) t(i) WHERE event_id % 7 NOT IN (3, 4)""")
+def q_json_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fj.explode_array(_documents_of_events(spark, sf_dir), "doc", "$.items", "variant", value="item")
+    return items.select("event_id", "pos", fj.at("item", "$.unit").alias("unit"))
+
+
 @register("dedup_first", _C + """SELECT lead_source, input_order FROM (
   SELECT lead_source, input_order, row_number() OVER (PARTITION BY lead_source ORDER BY input_order) AS rn
   FROM valid) x WHERE rn = 1""")

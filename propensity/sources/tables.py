@@ -7,10 +7,14 @@ downstream reach the Parquet reader (``ReadSchema`` / ``PushedFilters``).
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensity.constants import FORM_NAMES, PAGE_NAMES
+from propensity.sources import files
 
 # Reference instant of the fixture data ("now" of every as-of computation).
 FIXTURE_NOW = "2024-01-25 00:00:00"
@@ -193,18 +197,55 @@ def score_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def read_leads_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Raw lead CSV with a header: every column read as a string (no inference),
-    padding kept, then the reader's missing-value tokens turned into NULL.  A quote
-    inside a quoted field is doubled, and a backslash is an ordinary character.
+_REJECT = "_rejected_line"
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file or folder, from the first line of its first file, read on the
+    driver without a job.  An empty name becomes its position, a repeated one gets it as a suffix."""
+    line = files.first_line(spark, path)
+    if line is None:
+        raise ValueError(f"no CSV file with a header under {path}")
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")]))):
+        name = name or f"_c{i}"
+        out.append(f"{name}{i}" if name.lower() in {n.lower() for n in out} else name)
+    return out
+
+
+def scan_leads_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejected)`` of a raw lead CSV with a header.
+
+    ``rows``: every column a string (no inference), padding kept, the reader's missing-value
+    tokens turned into NULL; a quote inside a quoted field is doubled, and a backslash is an
+    ordinary character.  ``rejected``: one row ``line`` for each record with more or fewer fields
+    than the header; none is cut or filled up.  Both come from the same scan with an explicit
+    schema; the header costs no job.
 
     ``multi_line`` reads fields that hold line breaks; a file is then one task, so it
     is off unless asked for."""
     from propensity.operators.cleaning import na_tokens_to_null
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+    header = csv_header(spark, path)
+    reject = _REJECT
+    while reject in header:
+        reject += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, reject]])
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line).csv(path))
-    return na_tokens_to_null(raw)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", reject)
+           .option("columnPruning", False)  # a record's fields are counted, whatever columns are read
+           .option("escape", '"').option("multiLine", multi_line).csv(path))
+    # always true: Spark reads no CSV for its reject column alone, so a count has to name another one
+    first = F.col(f"`{header[0]}`")
+    raw = raw.where(first.isNull() | (F.length(first) >= 0))
+    rows = na_tokens_to_null(raw.where(F.col(f"`{reject}`").isNull()).drop(reject))
+    rejected = raw.where(F.col(f"`{reject}`").isNotNull()).select(F.col(f"`{reject}`").alias("line"))
+    return rows, rejected
+
+
+def read_leads_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The rows of :func:`scan_leads_csv`, without the rejected ones."""
+    return scan_leads_csv(spark, path, multi_line)[0]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -259,6 +300,19 @@ def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.lit("v1.1")).otherwise(F.lit("v1.0")).alias("model_version"))
 
 
+def prediction_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with several predictions per lead: those of ``predictions_view`` and a second scoring
+    of every lead by v1.2, each with its time; some leads have both at the same time."""
+    from propensity.functions.scoring import score_bucket
+    now = ntz(FIXTURE_NOW)
+    hours = lambda n: F.timestamp_add("HOUR", -F.pmod(n, F.lit(30)), now)
+    first = predictions_view(spark, sf_dir).withColumn("scored_at", hours(F.col("lead_id")))
+    again = first.select("lead_id", (1 - F.col("score")).alias("score")).select(
+        "lead_id", "score", score_bucket("score").alias("bucket"), F.lit("v1.2").alias("model_version"),
+        hours(F.col("lead_id") * 7).alias("scored_at"))
+    return first.unionByName(again)
+
+
 def append_rows(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Append-only sink: events or predictions join what the folder holds."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)

@@ -42,3 +42,35 @@ def test_time_split(spark):
     test = [r for r in out if r["split"] == "test"]
     assert len(train) == 8 and len(test) == 2
     assert max(r["as_of"] for r in train) <= min(r["as_of"] for r in test)
+
+
+def by_sort(rows, fraction):
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or datetime.min, r[0]))
+    cut = int(len(rows) * (1.0 - fraction))
+    return {r[0]: "train" if i < cut else "test" for i, r in enumerate(ordered)}
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.5, 0.37, 0.0, 1.0])
+@pytest.mark.parametrize("days", [1, 2, 7, 400])
+def test_time_split_equals_a_sort(spark, fraction, days):
+    """Few and many ties, a null time, cuts inside and between ties."""
+    rows = [(i, None if i % 50 == 49 else datetime(2024, 1, 1) + timedelta(days=(i * 13) % days, microseconds=days % 3))
+            for i in range(123)]
+    df = spark.createDataFrame(rows, "lead_id long, as_of timestamp_ntz")
+    got = {r["lead_id"]: r["split"] for r in ds.time_split(df, test_fraction=fraction).collect()}
+    assert got == by_sort(rows, fraction)
+
+
+def test_time_split_of_nothing_and_of_text_keys(spark):
+    df = spark.createDataFrame([], "lead_id long, as_of timestamp_ntz")
+    assert ds.time_split(df).collect() == []
+    df = spark.createDataFrame([(k, 1) for k in "cabed"], "lead_id string, as_of int")
+    assert {r["lead_id"] for r in ds.time_split(df, test_fraction=0.4).where("split = 'train'").collect()} == set("abc")
+
+
+def test_time_split_moves_no_wide_rows(spark):
+    """The split of wide rows is a projection: nothing of them is exchanged, sorted or written."""
+    df = spark.range(500).select(F.col("id").alias("lead_id"), (F.col("id") % 9).alias("as_of"),
+                                 *[F.rand(i).alias(f"x{i}") for i in range(20)])
+    text = ds.time_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in text for w in ("Exchange", "Sort", "Window", "Join", "Scan ExistingRDD"))

@@ -6,8 +6,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from propensity.functions import checked as ck
 from propensity.catalogue import Catalogue, by_origin, catalogue_table, default_catalogue, with_builder
-from propensity.operators.features import feature_matrix, apply_defaults, invalid_feature_report
+from propensity.operators.features import (apply_defaults, apply_defaults_counted, feature_failures, feature_matrix,
+                                            invalid_feature_report)
 
 AS_OF = datetime(2024, 3, 10, 12, 0, 0)
 SCHEMA = "lead_id long, event_type string, event_name string, properties string, occurred_at timestamp_ntz"
@@ -135,11 +137,11 @@ def test_validation_of_wrong_types(spark):
                                "viewed_pricing string, requested_demo int, emails_opened_30d boolean, company_size_bucket int")
     r = apply_defaults(df).first()
     assert r["days_since_last_visit"] == 365 and r["total_sessions"] == 0 and r["total_pageviews_7d"] == 2.5
-    assert r["viewed_pricing"] is False and r["requested_demo"] is False and r["emails_opened_30d"] == 0
+    assert r["viewed_pricing"] is False and r["requested_demo"] is False and r["emails_opened_30d"] == 1
     assert r["company_size_bucket"] == "unknown"
     rep = {x["feature"]: (x["value"], x["default_value"]) for x in invalid_feature_report(df).collect()}
     assert rep == {"days_since_last_visit": ("5", "365"), "total_sessions": ("abc", "0"), "viewed_pricing": ("yes", "false"),
-                   "requested_demo": ("1", "false"), "emails_opened_30d": ("true", "0"), "company_size_bucket": ("7", "unknown")}
+                   "requested_demo": ("1", "false"), "company_size_bucket": ("7", "unknown")}
 
 
 def test_catalogue_registry(spark):
@@ -169,3 +171,65 @@ def test_failing_builder_is_isolated(spark):
     assert r["company_size_bucket"] == "unknown" and r["job_title_seniority"] == "manager"
     assert r["total_pageviews_7d"] == 0
     assert r["days_since_last_visit"] == 1
+
+
+def test_booleans_are_numbers(spark):
+    df = spark.createDataFrame([(1, True, True), (2, False, False), (3, None, None)],
+                               "lead_id long, total_sessions boolean, avg_pages_per_session boolean")
+    got = {r["lead_id"]: (r["total_sessions"], r["avg_pages_per_session"]) for r in apply_defaults(df).collect()}
+    assert got == {1: (1, 1.0), 2: (0, 0.0), 3: (0, 0.0)} and invalid_feature_report(df).isEmpty()
+
+
+def test_invalid_values_are_counted_in_the_same_pass(spark, tmp_path):
+    rows = [(i, float("nan") if i % 3 == 0 else 1.0, "5" if i % 2 else None, ["manager", "boss"][i % 5 == 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "lead_id long, days_since_last_visit double, total_sessions string, job_title_seniority string")
+    df.write.parquet(f"{tmp_path}/in")
+    out, seen = apply_defaults_counted(spark.read.parquet(f"{tmp_path}/in").repartition(5))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    out.write.parquet(f"{tmp_path}/out")
+    report = {r["feature"]: r["count"] for r in invalid_feature_report(df).groupBy("feature").count().collect()}
+    assert seen.get == {"rows": 60, **report} and report == {"days_since_last_visit": 20, "total_sessions": 30, "job_title_seniority": 12}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 60
+    nothing, seen = apply_defaults_counted(df.limit(0))
+    assert nothing.count() == 0 and set(seen.get.values()) == {0}
+
+
+def failing(text):
+    cat = with_builder(Catalogue(), "total_sessions", lambda a: ck.checked_sum(ck.checked_cast(F.col("event_name"), "int")))
+    cat = with_builder(cat, "avg_pages_per_session", lambda a: ck.checked_divide(
+        ck.checked_count(F.col("event_type") == "page_view"), ck.checked_count(F.col("event_type") == "email_open")))
+    cat = with_builder(cat, "total_pageviews_30d", lambda a: F.sum(F.col("event_name").cast("int")))
+    cat = with_builder(cat, "emails_clicked_30d", lambda a: 1 / 0)
+    return cat
+
+
+def test_features_that_fail_on_data_are_isolated(spark):
+    rows = [e("page_view", 1, name="3"), e("email_open", 1, name="4"), e("page_view", 2, lead=2, name="x"),
+            e("page_view", 3, lead=2, name="5"), e("page_view", 3, lead=3, name="7")]
+    ev = spark.createDataFrame(rows, SCHEMA)
+    ld = spark.createDataFrame([(1,), (2,), (3,), (4,)], "lead_id long")
+    cat = failing(None)
+    got = {r["lead_id"]: r for r in feature_matrix(ld, ev, as_of=AS_OF, catalogue=cat).collect()}
+    plain = {r["lead_id"]: r for r in feature_matrix(ld, ev, as_of=AS_OF).collect()}
+    assert {k: r["total_sessions"] for k, r in got.items()} == {1: 7, 2: 0, 3: 7, 4: 0}
+    assert {k: r["avg_pages_per_session"] for k, r in got.items()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    assert {k: r["total_pageviews_30d"] for k, r in got.items()} == {1: 7, 2: 5, 3: 7, 4: 0}
+    others = [n for n in default_catalogue.names if n not in cat.builders]
+    assert all(got[k][n] == plain[k][n] for k in got for n in others) and got[1]["emails_clicked_30d"] == 0
+    failed = sorted(map(tuple, feature_failures(ld, ev, cat, as_of=AS_OF).collect()))
+    assert failed == [(2, "avg_pages_per_session", "division by zero"), (2, "total_sessions", "cannot cast 'x' to int"),
+                      (3, "avg_pages_per_session", "division by zero")]
+    assert feature_failures(ld, ev, default_catalogue, as_of=AS_OF).isEmpty()
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"  # as it was
+
+
+def test_checked_expressions(spark):
+    df = spark.createDataFrame([(1, "4", [1, 2], 0), (1, None, None, 2), (2, "9223372036854775807", [5], 1), (2, "1", [6], 1)],
+                               "g int, t string, a array<int>, d int")
+    n, el = ck.checked_cast(F.col("t"), "bigint"), ck.checked_element(F.col("a"), F.lit(1))
+    cols = {"sum": ck.checked_sum(n), "max": ck.checked_max(n), "min": ck.checked_min(n), "element": ck.checked_max(el),
+            "ratio": ck.checked_max(ck.checked_divide(n, F.col("d")))}
+    got = {r["g"]: r for r in df.groupBy("g").agg(*[x for k, c in cols.items() for x in (c.value.alias(k), c.error.alias(f"{k}_e"))]).collect()}
+    assert (got[1]["sum"], got[1]["sum_e"], got[1]["element"], got[1]["element_e"]) == (4, None, 2, None)
+    assert got[1]["ratio_e"] == "division by zero" and got[2]["sum_e"] == "sum overflows" and got[2]["element_e"] == "no element 1"
+    assert (got[2]["max"], got[2]["min"], got[2]["ratio_e"]) == (2 ** 63 - 1, 1, None)
