@@ -354,6 +354,14 @@ LONG = "This is a paragraph of the story, with commas, and some words more. It g
     (f"<script>if (a<b) '</p>'</script><style>p{{}}</style><p>{LONG}</p><!-- <p>x</p> --><p hidden>h</p>", LONG),
     (f"<article><p>{LONG}</p><p>cut &am", f"{LONG}\n\ncut &am"),
     (f"<div class='content with-ads'><article class='has-ads'><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='content with-ads'><p>{LONG}</p></div><nav>{LONG}</nav>", LONG),
+    (f"<main><article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article></main>", LONG),
+    (f"<aside><article><p>{LONG} {LONG}</p></article></aside><div><p>{LONG}</p><p>Yes.</p></div>", f"{LONG}\n\nYes."),
+    (f"<form><main><p>{LONG}</p></main></form><div>{LONG} {LONG}</div>", LONG),
+    (f"<section id='comments'><article><p>{LONG} {LONG}</p></article></section><div><p>{LONG}</p></div>", LONG),
+    (f"<article><div class='header'><h1>T</h1></div><p>{LONG}</p><div class='share'>Share</div></article>", f"T\n\n{LONG}"),
+    ("<nav><a>Home</a></nav><footer>c</footer>", ""), ("<p>x", "x"), ("<div hidden><p>x</p></div>", ""),
+    (f"<div role='complementary'>{LONG}</div><p>{LONG}</p>", LONG),
 ])
 def test_main_text(page, want):
     assert html.main_text(page) == want
@@ -370,6 +378,49 @@ def test_paths_are_aggregated_over_the_page(page, want):
     assert html.main_text(page) == want
 
 
+def table_pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+
+
+def test_ratios_decide_not_names(spark, monkeypatch):
+    """Without the threshold most pages change; without the list of names hardly one does."""
+    pages = table_pages(spark)
+    normal = [html.main_text(p) for p in pages]
+    assert sum(html.main_text(p, 0) != t for p, t in zip(pages, normal)) > 0.9 * len(pages)
+    monkeypatch.setattr(html, "DOUBTFUL_NAMES", set())
+    monkeypatch.setattr(html, "FOREIGN_NAMES", set())
+    assert sum(html.main_text(p) == t for p, t in zip(pages, normal)) >= 0.95 * len(pages)
+
+
+def test_ratios_decide_without_declared_articles(spark, monkeypatch):
+    """The same pages with plain divs instead of their articles: ratios find most of them."""
+    pages = table_pages(spark)
+    plain = [re.sub(r"(</?)article", r"\1div", p) for p in pages]
+    same = sum(html.main_text(a) == html.main_text(b) for a, b in zip(plain, pages))
+    assert same >= 0.8 * len(pages)
+
+
+def brute_scores(page):
+    """Ratios of a simple page by the formula, path by path."""
+    found = [(m.start(), m[1].split(), m[2]) for m in re.finditer(r"<!--([^>]*)-->([^<]+)", page)]
+    per = collections.defaultdict(list)
+    for _, path, text in found:
+        per[tuple(path)].append(text)
+    return {p: sum(map(len, ts)) / len(ts) * (1 + np.log1p(sum(t.count(".") + t.count(",") for t in ts) / len(ts))) for p, ts in per.items()}
+
+
+def test_scores_by_hand():
+    page = ("<body><nav><ul><li><!--nav ul li-->Home</li><li><!--nav ul li-->About us.</li></ul></nav><div><h2><!--div h2-->Head</h2>"
+            "<p><!--div p-->One, two, three and four.</p><p><!--div p-->Five.</p></div></body>")
+    ratio = brute_scores(page)
+    texts = ["Home", "About us.", "Head", "One, two, three and four.", "Five."]
+    mean = (ratio["div", "h2"] * 4 + ratio["div", "p"] * 30) / 34
+    got = html.scored(page)
+    assert [t for _, _, t in got] == texts and got[0][1] == pytest.approx(mean)
+    want = [html.AWAY * ratio["nav", "ul", "li"]] * 2 + [mean] + [max(mean, ratio["div", "p"])] * 2
+    assert [s for s, _, _ in got] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("page", ["<div>word " * 20_000, "<li>a<ul>" * 20_000 + "x", "<article><h1>x</h1>" * 20_000,
                                   "<b>" * 50_000 + "<p>word</p>" * 500])
 def test_deep_pages_take_linear_time(page):
