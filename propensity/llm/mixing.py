@@ -9,7 +9,8 @@ about one document of the target, not only their number.
 
 Defined results: a null or empty text has size 0; a null ``source`` is a source of its
 own, last in order; sources of size 0 have target 0; repeated rows are rows like any
-other; an empty table gives an empty result.  Extra columns pass through ``mix``.
+other; rows of one id and size are told apart by a hash of all their columns; an empty table gives an
+empty result.  Extra columns, whatever their names, pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import fresh, written
+from propensity.llm.common import content_key, fresh, written
 from propensity.operators.windows import prefix_sums
 
 WEIGHTS = (5, 2, 1)
@@ -66,37 +67,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
                          F.least(F.col("cap").cast("double"), x.scalar() * F.col("weight")).alias("target"))
 
 
+def _hashable(docs: DataFrame, c: str) -> Column:
+    col = F.col(f"`{c}`")
+    return F.to_json(F.struct(col)) if "map<" in docs.schema[c].dataType.simpleString() else col
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
-             keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: ``id, source, size, source_size, target, copies`` and the
-    columns named in ``keep`` (inside the struct ``row``).
-
-    The order inside a source is (size class, hash bucket, md5 of the id, id, size), so
-    reruns agree and the prefix sum splits: rows are numbered inside (source, class,
-    bucket), and the counts of those groups, at most 2,048 classes x 64 buckets for a
-    source, are summed in front.  A source with a third of all documents is thus spread
-    over thousands of groups.
+             weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """One row per document: ``id, source, size, source_size, target, copies`` and ``row``, 128
+    bits that stand for all its columns.
+
+    The order inside a source is (size class, hash bucket, md5 of the id, id, size, row), so
+    reruns agree, whole rows that are equal aside, and the prefix sum splits: rows are numbered
+    inside (source, class, bucket), and the counts of those groups, at most 2,048 classes x 64
+    buckets for a source, are summed in front.  A source with a third of all documents is thus
+    spread over thousands of groups.
     """
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                         word_count(F.col(text_col)).alias("size"), h.alias("h"),
-                        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
-    narrow = written(sized.drop("row"), "sizes")  # texts are counted once, then only numbers are read
-
-    def classed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("cls", size_class(F.col("size"))).withColumn(
-            "hb", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % HASH_BUCKETS)
-
-    rows, groups = classed(sized if keep else narrow), classed(narrow)
+                        content_key(*[_hashable(docs, c) for c in docs.columns]).alias("row"))
+    narrow = written(sized, "sizes")  # texts are counted and hashed once, then only numbers are read
+    rows = narrow.withColumn("cls", size_class(F.col("size"))).withColumn(
+        "hb", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % HASH_BUCKETS)
     targets = source_targets(narrow.select("source", "size"), weights, max_repeat)
-    groups = groups.groupBy("source", "cls", "hb").agg(F.count("*").alias("n"))
+    groups = rows.groupBy("source", "cls", "hb").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("cls", "hb").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     groups = groups.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), F.col("cls").alias("c"), F.col("hb").alias("b"), "off", "source_size", "target")
-    inside = Window.partitionBy("source", "cls", "hb").orderBy("h", "id", "size")
+    inside = Window.partitionBy("source", "cls", "hb").orderBy("h", "id", "size", "row")
     rows = rows.withColumn("rn", F.row_number().over(inside) - 1)
     rows = rows.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c"))
                      & (F.col("hb") == F.col("b")))
@@ -105,16 +106,23 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     i = F.col("off") + F.col("rn")
     copies = F.least(F.floor((i + 1) * rate + u) - F.floor(i * rate + u), F.lit(max_repeat)).cast("int")
-    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"),
-                       *(["row"] if keep else []))
+    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), "row")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
-    n = fresh(docs, "copy")
-    plan = plan_mix(docs, keep=docs.columns, **how)
-    return (plan.where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(n))
-            .drop(n))
+    """The mix itself: every document as often as it is taken, with all its columns.
+
+    Copies are decided on the narrow plan and joined to the rows by 128 bits over all their
+    columns, so texts are shuffled once, for this join.  Rows that are equal as a whole are
+    interchangeable: one stands for all of them, with the sum of their copies."""
+    key, n, m, copy = (fresh(docs, x) for x in ("key", "times", "equal", "copy"))
+    plan = plan_mix(docs, **how).groupBy("row").agg(F.sum("copies").alias(n), F.count("*").alias(m)).where(F.col(n) > 0)
+    plan = written(plan.select(F.col("row").alias(key), n, m), "copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select("*", content_key(*[_hashable(docs, c) for c in docs.columns]).alias(key)).join(plan, key)
+    once, several = rows.where(F.col(m) == 1), rows.where(F.col(m) > 1).dropDuplicates([key])
+    taken = once if plan.where(F.col(m) > 1).isEmpty() else once.unionByName(several)
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(copy)).drop(copy)
 
 
 ORACLE = f"""

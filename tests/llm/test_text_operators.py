@@ -214,6 +214,60 @@ def test_lines_repeat_inside_a_document(spark):
     assert linededup.dedup_lines(df).first()["text"] == "a b\nc d\ne f\nx\ny"
 
 
+def line_texts(seed, n=300, vocab=25):
+    """Documents out of few different lines: every kind of partial, nested and shifted repeat."""
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(rng.choice([1, 2, 3, 20, 30, 60]))) for _ in range(vocab)]
+    return ["\n".join(rng.choice(["", "  ", rng.choice(lines), rng.choice(lines) + "\t", rng.choice(lines[:4])])
+                      for _ in range(rng.randrange(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed, vocab, hot", [(1, 25, 10_000), (2, 8, 1), (4, 3, 10_000)])
+def test_lines_equal_brute_force(spark, monkeypatch, seed, vocab, hot):
+    monkeypatch.setattr(linededup, "HOT_LEAST", hot)  # 1: every repeated fingerprint is joined by broadcast
+    texts = line_texts(seed, vocab=vocab)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.dedup_lines(df, n_removed="gone").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+
+
+def test_fingerprints_are_selected_positions(spark):
+    """Fewer rows than windows, one at least in each window, and equal runs select equal lines."""
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(4))
+    texts = ["\n".join(line() for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = linededup.fingerprints(df, "doc_id", "text", 3, 50).select("id", "p0", "wins").collect()
+    assert len(rows) < 0.6 * 20 * 58 and len({(r["id"], r["p0"]) for r in rows}) == len(rows)
+    windows = sorted((r["id"], r["p0"] + w["lo"]) for r in rows for w in r["wins"])
+    assert windows == [(i, k) for i in range(20) for k in range(58)]  # each window has one position
+    assert all(w["lo"] <= 0 < w["lo"] + w["n"] for r in rows for w in r["wins"])
+
+
+def test_runs_come_through_fingerprints(spark):
+    """Without the fingerprints of a run the run stays."""
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(4))
+    run = [line() for _ in range(9)]
+    texts = ["\n".join([line(), *run, line()]), "\n".join([line(), line(), *run])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = linededup.fingerprints(df, "doc_id", "text", 3, 50)
+    found = [(r["id"], r["first"], r["last"], ) for r in linededup.merged(linededup._matched(fps, 2)).collect()]
+    assert found == [(1, 2, 10)]
+    mine = [r["p0"] for r in fps.where("id = 1 and p0 between 2 and 10").orderBy("p0").collect()]
+    cut = linededup.merged(linededup._matched(fps.where(f"not (id = 1 and p0 = {mine[0]})"), 2)).collect()
+    assert [(r["first"], r["last"]) for r in cut] != [(2, 10)]
+    none = linededup._matched(fps.where("not (id = 1 and p0 between 2 and 10)"), 2)
+    assert none.isEmpty()
+
+
+def test_copied_characters(spark):
+    rows = [(1, "a b c d e\nf g h i\nj k l m"), (2, "x1 x2 x3 x4\nx1 x2 x3 x4\nx1 x2 x3 x4"), (3, "a b c d e\nj k l m\nmine"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["c"], r["n"]) for r in linededup.dedup_lines(df, line_words=4, n_copied="c", n_removed="n").collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("x1 x2 x3 x4", 0, 2), 3: ("mine", 17, 2), 4: (None, 0, 0)}
+
+
 def test_pipeline_deletes_planted_single_lines(spark):
     # boilerplate of four to twelve words alone between lines that differ, and a run of short lines
     rng = random.Random(8)
@@ -319,6 +373,32 @@ def test_mix_meets_targets(docs, spark):
     assert mixing.mix(no_docs(spark)).count() == 0
 
 
+def test_mix_of_equal_and_similar_rows(spark):
+    """Rows of one id and size with other texts, whole rows that are equal, null ids: reruns agree
+    and every row comes as often as the plan says."""
+    rows = [(1, f"a{k % 4} b c", "s") for k in range(12)] + [(None, f"w{k} w", None) for k in range(9)] + [(2, "x y", "t")] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("k"), F.col("text")))
+    mixes = []
+    for parts in (1, 3, 5):
+        mixed = mixing.mix(df.repartition(parts))
+        assert mixed.columns == df.columns
+        mixes.append(collections.Counter((r["doc_id"], r["text"], r["source"], r["m"]["k"]) for r in mixed.collect()))
+    assert mixes[0] == mixes[1] == mixes[2]
+    plan = collections.Counter()
+    for r in mixing.plan_mix(df).collect():
+        plan[r["id"], r["source"]] += r["copies"]
+    got = collections.Counter()
+    for (i, _, s, _), n in mixes[0].items():
+        got[i, s] += n
+    assert got == +plan
+
+
+def test_mix_shuffles_texts_once(docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().explainString(
+        docs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "regexp_count" not in plan  # counted once, when the sizes were written
+
+
 def test_mix_taken_words_near_target(spark):
     got = QUERIES["op8_mixing"](spark, "/root/testdata/sf0.01").collect()
     taken, target, longest = collections.Counter(), {}, 0
