@@ -17,6 +17,9 @@ from propensity.llm import jaccard, langid, linededup, mixing, packing
 from propensity.llm.common import fresh, table, written
 
 
+COPIED = 0.8  # like the similarity of the stage after
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that resemble no language learned:
     ``und``, or a score below ``langid.MIN_SCORE``.  All other rows stay as they are, and all
@@ -31,12 +34,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated runs of lines and repeated lines of ``linededup.LINE_WORDS`` words or
-    more (``n_chars`` follows); a document of which nothing is left goes."""
-    gone = fresh(docs, "removed")
-    left = linededup.dedup_lines(docs, n_removed=gone, line_words=linededup.LINE_WORDS)
+    more (``n_chars`` follows).  A document of which nothing is left goes, and so does one that
+    shared ``COPIED`` or more of its characters with earlier documents: it is a near copy, and its
+    rest would be a stub that the next stage can't tell from an own text.  A document's own
+    repeated lines don't count for that."""
+    gone, copied = fresh(docs, "removed"), fresh(docs, "copied")
+    left = linededup.dedup_lines(docs, n_removed=gone, n_copied=copied, line_words=linededup.LINE_WORDS)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return left.where((F.col(gone) == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).drop(gone)
+    stub = F.col(copied) * (1 - COPIED) >= F.length("text") * COPIED
+    keep = (F.col(gone) == 0) | (F.col("text").rlike(r"[^ \t\n\x0B\f\r]") & ((F.col(copied) == 0) | ~stub))
+    return left.where(keep).drop(gone, copied)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
