@@ -105,24 +105,25 @@ def rows_to_insert(existing: DataFrame | None, valid: DataFrame, key: str = "ext
     return first.join(existing.select(key), key, "left_anti")
 
 
-def load_summary(raw: DataFrame, valid: DataFrame, rejected: DataFrame, inserted: DataFrame,
-                 label: str = "converted") -> DataFrame:
-    """One row: total_read, total_rejected, total_skipped, total_inserted,
-    conversion_rate (% of valid rows, 1 decimal, half-even; 0 when empty).
-
-    The four inputs are tagged and unioned, then counted in one aggregate (no join).
-    """
-    none = F.lit(None).cast("boolean")
-    tagged = (raw.select(F.lit("read").alias("_t"), none.alias("_y"))
-              .unionByName(rejected.select(F.lit("rejected").alias("_t"), none.alias("_y")))
-              .unionByName(valid.select(F.lit("valid").alias("_t"), F.col(label).alias("_y")))
-              .unionByName(inserted.select(F.lit("inserted").alias("_t"), none.alias("_y"))))
-    t = F.col("_t")
-    agg = tagged.agg(F.count_if(t == "read").alias("total_read"),
-                     F.count_if(t == "rejected").alias("total_rejected"),
-                     F.count_if(t == "valid").alias("_valid"),
-                     F.count_if((t == "valid") & F.col("_y")).alias("_conv"),
-                     F.count_if(t == "inserted").alias("total_inserted"))
+def load_summary(raw: DataFrame, existing: DataFrame | None = None, key: str = "external_id", label: str = "converted") -> DataFrame:
+    """What loading ``raw`` into ``existing`` does, in one row: total_read, total_rejected,
+    total_skipped, total_inserted, conversion_rate (% of valid rows, 1 decimal, half-even; 0
+    when empty).
+
+    One scan: rows are counted per key, a rejected row under none, and the counts summed.  A
+    key that the table has not is inserted once, its other rows are skipped."""
+    cleaned = clean_leads(na_tokens_to_null(raw, exclude=("input_order",)))
+    keyed = cleaned.select(F.when(fc.non_blank(key), F.col(key)).alias("_k"), F.col(label).alias("_y"))
+    per = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_y").alias("_c"))
+    there = F.lit(False)
+    if existing is not None:
+        per = per.join(existing.select(F.col(key).alias("_k"), F.lit(True).alias("_there")), "_k", "left")
+        there = F.coalesce("_there", F.lit(False))
+    valid = F.col("_k").isNotNull()
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("bigint")
+    agg = per.agg(total("_n", F.lit(True)).alias("total_read"), total("_n", ~valid).alias("total_rejected"),
+                  total("_n", valid).alias("_valid"), total("_c", valid).alias("_conv"),
+                  F.count_if(valid & ~there).alias("total_inserted"))
     rate = F.when(F.col("_valid") > 0, F.bround(F.col("_conv") / F.col("_valid") * F.lit(100.0), 1)) \
         .otherwise(F.lit(0.0))
     return agg.select("total_read", "total_rejected",

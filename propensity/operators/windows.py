@@ -95,29 +95,32 @@ def sessionize(events: DataFrame, key: str = "lead_id", ts: str = "occurred_at",
     ev = events.join(hot, key, "left")
     w_us = F.greatest(F.lit(1), F.floor(F.lit(width) / F.coalesce(F.col("_sk"), F.lit(1))))
     bucketed = ev.withColumn("_bucket", F.floor(_epoch_micros(events, ts) / w_us).cast("bigint")).drop("_sk")
-    t = F.col(ts)
+    t, is_pv = F.col(ts), F.col(type_col) == page_type
     w_in = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
-    ev = (bucketed.withColumn("_prev_type", F.lag(type_col).over(w_in))
-          .withColumn("_prev_ts", F.lag(ts).over(w_in)))
-    # last event of each bucket (a partial aggregate of the raw rows), and of the
-    # previous non-empty bucket of the key
-    last = (bucketed.groupBy(key, "_bucket")
-            .agg(F.max_by(F.struct(F.col(type_col).alias("t"), t.alias("ts")), F.struct(t, F.col(tie))).alias("_last")))
-    w_b = Window.partitionBy(key).orderBy("_bucket")
-    prev_last = last.select(key, "_bucket", F.lag("_last").over(w_b).alias("_pl"))
-    ev = ev.join(prev_last, [key, "_bucket"], "left")
-    prev_type = F.coalesce(F.col("_prev_type"), F.col("_pl.t"))
-    prev_ts = F.when(F.col("_prev_type").isNotNull(), F.col("_prev_ts")).otherwise(F.col("_pl.ts"))
-    is_pv = F.col(type_col) == page_type
-    cont = (prev_type == page_type) & (F.timestamp_diff("MICROSECOND", prev_ts, t) <= gap_seconds * 1_000_000)
-    ev = ev.withColumn("_start", (is_pv & ~F.coalesce(cont, F.lit(False))).cast("int"))
+    event = F.struct(F.col(type_col).alias("t"), t.alias("ts"))
+
+    def goes_on(before, now):
+        """Whether a page view continues the session of the event before it."""
+        return F.coalesce((before["t"] == page_type) & (F.timestamp_diff("MICROSECOND", before["ts"], now["ts"]) <= gap_seconds * 1_000_000),
+                          F.lit(False))
+
+    # sessions that start inside a bucket; its first event depends on the bucket before
+    ev = bucketed.withColumn("_before", F.lag(event).over(w_in))
+    ev = ev.withColumn("_start", (is_pv & F.col("_before").isNotNull() & ~goes_on(F.col("_before"), event)).cast("int"))
     ev = ev.withColumn("_local", F.sum("_start").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = ev.groupBy(key, "_bucket").agg(F.sum("_start").alias("_s"))
-    offset = starts.select(key, "_bucket", F.coalesce(
-        F.sum("_s").over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    ev = ev.join(offset, [key, "_bucket"], "left")
-    out = ev.withColumn("session_no", F.when(is_pv, (F.col("_off") + F.col("_local")).cast("bigint")))
-    return out.drop("_bucket", "_prev_type", "_prev_ts", "_pl", "_start", "_local", "_off")
+    # one row per bucket: its starts, first and last event; all that is left is done on these
+    order = F.struct(t, F.col(tie))
+    buckets = ev.groupBy(key, "_bucket").agg(F.sum("_start").alias("_s"), F.min_by(event, order).alias("_first"),
+                                             F.max_by(event, order).alias("_last"))
+    w_b = Window.partitionBy(key).orderBy("_bucket")
+    buckets = buckets.withColumn("_prev", F.lag("_last").over(w_b))
+    opens = (F.coalesce(F.col("_first.t") == page_type, F.lit(False)) & ~goes_on(F.col("_prev"), F.col("_first"))).cast("int")
+    buckets = buckets.withColumn("_s", F.col("_s") + opens).withColumn("_opens", opens)
+    before = F.coalesce(F.sum("_s").over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select(key, "_bucket", (before + F.col("_opens")).alias("_base"))
+    out = ev.join(buckets, [key, "_bucket"], "left")
+    out = out.withColumn("session_no", F.when(is_pv, (F.col("_base") + F.col("_local")).cast("bigint")))
+    return out.drop("_bucket", "_before", "_start", "_local", "_base")
 
 
 def prefix_sums(df: DataFrame, order: list, cols: list[str], partitions: int | None = None) -> DataFrame:

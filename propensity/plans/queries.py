@@ -335,15 +335,6 @@ def q_append_ignore_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.rows_to_insert(None, valid).select("external_id", "input_order")
 
 
-def _load(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
-    raw = tb.raw_leads_view(spark, sf_dir)
-    valid, rejected = cl.prepare_load(raw)
-    first = cl.rows_to_insert(None, valid)
-    if not second:
-        return cl.load_summary(raw, valid, rejected, first)
-    return cl.load_summary(raw, valid, rejected, cl.rows_to_insert(first, valid))
-
-
 _SUMMARY = """SELECT (SELECT count(*) FROM raw) AS total_read,
   (SELECT count(*) FROM rejected) AS total_rejected,
   (SELECT count(*) FROM valid) - {ins} AS total_skipped,
@@ -355,12 +346,13 @@ _SUMMARY = """SELECT (SELECT count(*) FROM raw) AS total_read,
 
 @register("load_summary", _C + _SUMMARY.format(ins="(SELECT count(*) FROM inserted)"))
 def q_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _load(spark, sf_dir, second=False)
+    return cl.load_summary(tb.raw_leads_view(spark, sf_dir))
 
 
 @register("reload_summary", _C + _SUMMARY.format(ins="CAST(0 AS BIGINT)"))
 def q_reload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _load(spark, sf_dir, second=True)
+    raw = tb.raw_leads_view(spark, sf_dir)
+    return cl.load_summary(raw, cl.rows_to_insert(None, cl.prepare_load(raw)[0]))
 
 
 def _null_pct_sql(cols: list[str], src: str) -> str:

@@ -71,7 +71,12 @@ def test_csv_fixture_end_to_end(spark, tmp_path):
     assert first.where("external_id = 'abc-001'").first()["input_order"] == 1
     again = cl.rows_to_insert(first, valid)
     assert again.count() == 0
-    s = cl.load_summary(raw, valid, rejected, again).first()
+    s = cl.load_summary(raw).first()
+    assert (s["total_read"], s["total_rejected"], s["total_skipped"], s["total_inserted"]) == (7, 1, 1, 5)
+    assert cl.load_summary(raw)._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    s = cl.load_summary(raw.limit(0), first).first()
+    assert tuple(s) == (0, 0, 0, 0, 0.0)
+    s = cl.load_summary(raw, first).first()
     assert (s["total_read"], s["total_rejected"], s["total_skipped"], s["total_inserted"]) == (7, 1, 6, 0)
 
 
