@@ -23,8 +23,20 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_returns_every_row(spark, name):
     got = QUERIES[name](spark, SF)
-    if name.startswith(("op1_", "op2_", "op5_", "op10_")):
-        assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count() == got.count()
+    rows = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    if name.startswith(("op1_", "op2_", "op5_", "op10_", "op12_", "op13_")):
+        assert got.select("doc_id").distinct().count() == rows("documents") == got.count()
+    elif name.startswith("op3_"):
+        assert got.select("vec_id").distinct().count() == rows("embeddings") == got.count()
+    elif name.startswith("op4_"):
+        queries = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
+        assert got.count() == 5 * queries and got.select("query_id").distinct().count() == queries
+    elif name.startswith("op7_"):
+        assert got.select("doc_id").distinct().count() == rows("documents")
+        assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    else:
+        assert name.startswith("op9_")
+        assert got.select("page_id").distinct().count() == rows("pages") == got.count()
 
 
 ODD = [(100, None), (101, []), (102, [0.0] * 8), (103, [1.0, None] + [0.0] * 6), (104, [float("nan")] + [1.0] * 7),
@@ -217,6 +229,25 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
+def test_near_copies_leave_no_stubs(spark):
+    """Near copies go as a whole; documents that share a passage or repeat themselves keep the rest."""
+    rng = np.random.default_rng(12)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(12))
+    texts = {i: [line() for _ in range(12)] for i in range(20)}
+    for i in range(5):  # one word changed
+        texts[100 + i] = [*texts[i]]
+        texts[100 + i][i] = "changed " + texts[i][i][7:]
+    texts[200] = [*texts[6][:5], *[line() for _ in range(6)]]  # a passage of another document, and its own text
+    texts[201] = [line()] * 30 + texts[7][:1]                  # its own line again and again
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", len("\n".join(t))) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()}
+    assert set(got) == set(texts) - {100, 101, 102, 103, 104}
+    assert all(got[i]["text"] == "\n".join(texts[i]) for i in range(20))
+    assert got[200]["text"] == "\n".join(texts[200][5:]) and got[201]["text"] == texts[201][0]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_run_packs_what_the_stages_kept(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "mix_sources", "pack_sequences"]
     got = corpus_pipeline.run(spark, SF).collect()
