@@ -25,11 +25,13 @@ An anchor with more than ``GROUP`` different contexts is split exactly: its star
 distance to the anchor, eight at a time, and these by the bytes that all eight share.  Of the
 pieces that are equal all but the first are repeated; where more than ``GROUP`` different ones
 still share those bytes, each start is told apart by its own ``LENGTH`` bytes.  Copies of a
-common passage are reduced to one in each block of texts before anything is shuffled.
+common passage are reduced to one in each block of texts before anything is shuffled, and anchors that
+many texts share are dealt by their whole contexts, not by the anchor alone.
 
 Defined results: a null text is empty, texts shorter than ``LENGTH`` stay whole; null ids come
 last; of rows with the same id the one further up in the table is the earlier document; an
-empty table gives an empty result.  Rows are numbered once, and written with their texts
+empty table gives an empty result; ids must be whole numbers (text ids raise an error); 2^63 - 1 stands
+for a null id and is returned as null; other columns, whatever their names, are ignored.  Rows are numbered once, and written with their texts
 compressed; every later pass reads that table, so a lost executor can't renumber them.
 """
 
@@ -54,6 +56,9 @@ GROUP = 20_000  # contexts of one anchor that are compared together
 UNIT = 1 << 18  # bytes of contexts whose transforms are merged together
 SHARDS = 4
 BLOCK = 1 << 19  # bytes of text whose anchors are found together
+SAMPLE = 64  # one text in so many is looked at for anchors that many texts share
+HOT_SHARE = 1000
+HOT_LEAST = 16
 
 _PLACE = np.uint64(28)  # bits of a position in a block
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -171,12 +176,23 @@ def find_contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, ch long, doc long, uid long, at long")
 
 
-def settle(found: DataFrame) -> DataFrame:
+def common_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``h`` of anchors that hold more than one in ``HOT_SHARE`` of the contexts in one text of
+    ``SAMPLE``: fewer than ``HOT_SHARE`` of them.  They only decide how rows are dealt."""
+    some = find_contexts(texts.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0), length, gram)
+    per = written(some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    least = max(HOT_LEAST, (per.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return per.where(F.col("n") > least).select("h", F.lit(True).alias("hot"))
+
+
+def settle(found: DataFrame, hot: DataFrame) -> DataFrame:
     """``(h, doc, uid, at)``: contexts marked as repeated, and those whose anchor has others
     to be compared with.  Contexts that nothing else shares the anchor of are gone.
 
     Marked rows are dealt by their document, the others by their anchor, one for each block
-    of texts at most, and read as a sorted stream: a task holds one row."""
+    of texts at most, and read as a sorted stream: a task holds one row.  Contexts of a ``hot`` anchor
+    are dealt by all their bytes' hash, so that a passage in a third of all documents is spread
+    over all tasks; the first of each kind is always left to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(h, doc, uid, at):
@@ -185,16 +201,18 @@ def settle(found: DataFrame) -> DataFrame:
         held, last = None, None  # the last first context of an anchor, with whether there was one before; last (h, ch)
         for b in batches:
             h, ch, doc, uid, at = (b.column(c).to_numpy() for c in ("h", "ch", "doc", "uid", "at"))
+            spread = b.column("hot").to_numpy(zero_copy_only=False)
             known = (at & 1) == 1
             if known.any():
                 yield out(h[known], doc[known], uid[known], at[known])
-            h, ch, doc, uid, at = (x[~known] for x in (h, ch, doc, uid, at))
+            h, ch, doc, uid, at, spread = (x[~known] for x in (h, ch, doc, uid, at, spread))
             if not len(h):
                 continue
             new = np.concatenate([[(h[0], ch[0]) != last], (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])])
             last = (h[-1], ch[-1])
             yield out(h[~new], doc[~new], uid[~new], at[~new] | 1)
-            fh, fdoc, fuid, fat = (x[new] for x in (h, doc, uid, at))
+            yield out(*[x[new & spread] for x in (h, doc, uid, at)])
+            fh, fdoc, fuid, fat = (x[new & ~spread] for x in (h, doc, uid, at))
             before = False
             if held is not None:
                 *row, before = held
@@ -212,7 +230,8 @@ def settle(found: DataFrame) -> DataFrame:
             yield out(*[np.array([v]) for v in held[:-1]])
 
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
-    dealt = found.repartition(F.when(known, F.xxhash64("uid")).otherwise(F.col("h")))
+    found = found.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = found.repartition(F.when(known, F.xxhash64("uid")).when(F.col("hot"), F.xxhash64("h", "ch")).otherwise(F.col("h")))
     return dealt.sortWithinPartitions("h", "ch", "doc", "uid", "at").mapInArrow(run, "h long, doc long, uid long, at long")
 
 
@@ -444,7 +463,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``(uid, starts, counts)``: for each of the ``compressed`` texts with repeated strings the
     stretches of their starts."""
-    settled = written(settle(find_contexts(texts, length, gram)), "settled")
+    settled = written(settle(find_contexts(texts, length, gram), common_anchors(texts, length, gram)), "settled")
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
     opened = settled.where(~known).groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("l")).select(
         F.col("uid").alias("u"), F.col("l.h").alias("hs"), F.col("l.at").alias("ats"))

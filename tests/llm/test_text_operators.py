@@ -103,7 +103,10 @@ def brute_removal(rows, length=100):
 
 
 @pytest.mark.parametrize("group", [suffix.GROUP, 2])
-def test_suffix_removal_equals_brute_force(spark, texts, group):
+def test_suffix_removal_equals_brute_force(spark, texts, group, monkeypatch):
+    if group == 2:  # every anchor that repeats is dealt by whole contexts
+        monkeypatch.setattr(suffix, "SAMPLE", 1)
+        monkeypatch.setattr(suffix, "HOT_LEAST", 0)
     # documents in descending order of rows; periodic texts, copies and shared passages
     rng = random.Random(5)
     base = "".join(rng.choices("abc d", k=400))
@@ -134,6 +137,29 @@ def test_suffix_groups_of_a_common_passage_are_bounded(spark, monkeypatch, size)
     assert (seen[0].groupBy("h", "part", "core").count().agg(F.max("count")).first()[0] or 0) <= group
 
 
+def test_suffix_common_passage_is_spread_over_tasks(spark):
+    """A passage in thousands of documents, between surroundings that differ."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(104)
+    df = spark.createDataFrame([(i, word(100) + passage + word(100)) for i in range(3000)], "doc_id long, text string").repartition(6)
+    texts = suffix.compressed(suffix.numbered(df, "doc_id", "text")).cache()
+    found, hot = suffix.find_contexts(texts, 100, 20).cache(), suffix.common_anchors(texts, 100, 20)
+    names = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        largest = {}
+        for name, list_ in (("spread", hot), ("dealt by anchor", hot.limit(0))):
+            rows = suffix.settle(found, list_).groupBy(F.spark_partition_id()).count().collect()
+            largest[name] = max(r["count"] for r in rows) / sum(r["count"] for r in rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert hot.count() >= 1 and largest["spread"] < 0.15 < 0.3 < largest["dealt by anchor"]
+
+
 def test_suffix_odd_rows(spark):
     rows = odd_rows()
     got = suffix.removal(odd_docs(spark)).collect()
