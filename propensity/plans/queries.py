@@ -30,6 +30,7 @@ from propensity.operators import scoring as sc
 from propensity.operators import tuning as tn
 from propensity.operators import windows as wn
 from propensity.plans import oracle as O
+from propensity.sources import files
 from propensity.sources import prediction_log as pl
 from propensity.sources import tables as tb
 from propensity.streaming import score_stream as ss
@@ -925,12 +926,14 @@ def q_crm_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ML M1-M3, M8, M10, K1-K3 (model-dependent: rows-only checks, no SQL oracle)
 # ---------------------------------------------------------------------------
 
-_TRAINED: dict[str, object] = {}
+_TRAINED: dict[tuple, object] = {}
 
 
 def _trained(spark: SparkSession, sf_dir: str):
-    """Train once per session and table directory (fit = GBT on the time-split train rows)."""
-    key = f"{spark.sparkContext.applicationId}:{sf_dir}"
+    """Train once per session and state of the tables' files (fit = GBT on the time-split train rows)."""
+    base = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, base,
+           *(tuple(sorted(files.modified(spark, f"{base}/{t}.parquet").items())) for t in ("events", "customer")))
     if key not in _TRAINED:
         ts = checkpoint(q_training_dataset(spark, sf_dir))
         train = ts.where(F.col("split") == "train")
