@@ -14,7 +14,8 @@ from propensity.plans import queries as Q  # noqa: E402
 from propensity.session import get_spark  # noqa: E402
 
 NAMES = ["feature_matrix", "pit_join", "training_dataset", "load_summary", "sessionize_6h", "top_values",
-         "metric_auc_roc", "partial_failures", "sliding_window_throttle"]
+         "metric_auc_roc", "partial_failures", "sliding_window_throttle", "latest_prediction_per_lead",
+         "prediction_counts_of_version", "failed_feature_isolation"]
 KEEP = re.compile(r"(Scan|Exchange|Join|HashAggregate|Window|Generate|MapInPandas|Sort |Expand|BroadcastExchange"
                   r"|ReusedExchange|AQEShuffleRead|Union|InMemory|LogicalRDD|ExistingRDD)")
 
