@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +70,14 @@ def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_frac
     the driver and the split is a comparison on each row."""
     counts = df.groupBy(F.col(ts).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     sums = prefix_sums(counts, ["ts"], ["n"], partitions)
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    cut = math.floor(total * (1.0 - test_fraction))
-    if cut <= 0 or cut >= total:
-        return df.withColumn("split", F.lit("train" if cut > 0 else "test"))
-    at = sums.where((F.col("_before_n") < cut) & (F.col("_before_n") + F.col("n") >= cut)).first()
+    cut = F.floor(F.col("total") * F.lit(1.0 - test_fraction))
+    found = sums.select("*", sums.agg(F.sum("n").alias("total")).scalar().alias("total")).withColumn("cut", cut)
+    at = found.where((F.col("_before_n") < F.col("cut")) & (F.col("_before_n") + F.col("n") >= F.col("cut"))).first()
+    if at is None or at["cut"] >= at["total"]:  # no training rows, or only such
+        return df.withColumn("split", F.lit("test" if at is None else "train"))
     t, last = F.col(ts), F.lit(at["ts"]).cast(df.schema[ts].dataType)
     train = F.coalesce(t < last, t.isNull() & F.lit(at["ts"] is not None))
-    rest = cut - at["_before_n"]
+    rest = at["cut"] - at["_before_n"]
     if rest == at["n"]:
         train = train | t.eqNullSafe(last)
     else:
