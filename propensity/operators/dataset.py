@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensity.catalogue import Catalogue, default_catalogue
 from propensity.constants import AS_OF_HORIZON_DAYS, FIRMOGRAPHIC_FEATURES, MODEL_FEATURES, TEST_FRACTION
@@ -58,6 +59,20 @@ def labelled_features(leads: DataFrame, events: DataFrame, now, catalogue: Catal
     return fm.select(*keep)
 
 
+def _plain(col: str, kind: T.DataType) -> Column:
+    """A column in a form that reaches the driver and comes back as a literal unchanged, whatever the
+    time zones of session and driver: local times as text, instants as microseconds."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(col).cast("string")
+    return F.unix_micros(col) if isinstance(kind, T.TimestampType) else F.col(col)
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType) and value is not None:
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(kind)
+
+
 def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_fraction: float = TEST_FRACTION,
                partitions: int | None = None) -> DataFrame:
     """Adds ``split``: the first floor(n * (1 - test_fraction)) rows in (ts, key)
@@ -71,19 +86,20 @@ def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_frac
     counts = df.groupBy(F.col(ts).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     sums = prefix_sums(counts, ["ts"], ["n"], partitions)
     cut = F.floor(F.col("total") * F.lit(1.0 - test_fraction))
-    found = sums.select("*", sums.agg(F.sum("n").alias("total")).scalar().alias("total")).withColumn("cut", cut)
+    found = sums.select("*", _plain("ts", df.schema[ts].dataType).alias("value"), sums.agg(F.sum("n").alias("total")).scalar().alias("total")).withColumn("cut", cut)
     at = found.where((F.col("_before_n") < F.col("cut")) & (F.col("_before_n") + F.col("n") >= F.col("cut"))).first()
     if at is None or at["cut"] >= at["total"]:  # no training rows, or only such
         return df.withColumn("split", F.lit("test" if at is None else "train"))
-    t, last = F.col(ts), F.lit(at["ts"]).cast(df.schema[ts].dataType)
-    train = F.coalesce(t < last, t.isNull() & F.lit(at["ts"] is not None))
+    t, last = F.col(ts), _literal(at["value"], df.schema[ts].dataType)
+    train = F.coalesce(t < last, t.isNull() & F.lit(at["value"] is not None))
     rest = at["cut"] - at["_before_n"]
     if rest == at["n"]:
         train = train | t.eqNullSafe(last)
     else:
         tied = global_rank(df.where(t.eqNullSafe(last)).select(key), [key], partitions=partitions)
-        bound = tied.where(F.col("_rank") == rest).first()[key]
-        first = F.coalesce(F.col(key) <= F.lit(bound), F.col(key).isNull())
+        kind = df.schema[key].dataType
+        bound = tied.where(F.col("_rank") == rest).select(_plain(key, kind).alias("value")).first()["value"]
+        first = F.coalesce(F.col(key) <= _literal(bound, kind), F.col(key).isNull())
         train = train | (t.eqNullSafe(last) & first)
     return df.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 

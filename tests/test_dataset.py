@@ -74,3 +74,24 @@ def test_time_split_moves_no_wide_rows(spark):
                                  *[F.rand(i).alias(f"x{i}") for i in range(20)])
     text = ds.time_split(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in text for w in ("Exchange", "Sort", "Window", "Join", "Scan ExistingRDD"))
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_time_split_in_other_time_zones(spark, kind, zone, tmp_path):
+    """The cut goes through the driver unchanged, also in the hour that a clock change repeats."""
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        # instants half an hour apart around 2024-11-03 06:00 UTC, each three times
+        micros = [1730610000_000000 + (i // 3) * 1800_000000 for i in range(30)]
+        df = spark.createDataFrame(list(enumerate(micros)), "lead_id long, m long").select(
+            "lead_id", "m", F.timestamp_micros("m").cast(kind).alias("as_of"))
+        df.repartition(3).write.parquet(f"{tmp_path}/t")  # stored values: a cast in the plan would be folded into the comparison
+        df = spark.read.parquet(f"{tmp_path}/t")
+        order = [r["lead_id"] for r in df.orderBy("as_of", "lead_id").collect()]
+        for fraction in (0.2, 0.5, 0.63):
+            got = ds.time_split(df, test_fraction=fraction).where("split = 'train'").collect()
+            assert {r["lead_id"] for r in got} == set(order[:int(30 * (1 - fraction))])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
