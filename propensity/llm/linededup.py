@@ -225,8 +225,11 @@ k AS (
               ELSE t || chr(10) || t1 || chr(10) || t2 END AS win FROM z),
 g AS (
   SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, first) AS nth FROM k WHERE last IS NOT NULL),
+s AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) AS nth FROM w WHERE n >= {LINE_WORDS}),
 gone AS (
-  SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(generate_series(first, last)) AS pos FROM g WHERE nth > 1)),
+  SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(generate_series(first, last)) AS pos FROM g WHERE nth > 1)
+  UNION SELECT doc_id, pos FROM s WHERE nth > 1),
 r AS (
   SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(gone.pos)::BIGINT AS n_removed,
          coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS kept

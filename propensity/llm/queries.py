@@ -51,7 +51,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed")
+    return linededup.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed", line_words=linededup.LINE_WORDS)
 
 
 ORACLE["op6_line_dedup"] = linededup.ORACLE

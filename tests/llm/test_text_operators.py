@@ -196,7 +196,7 @@ def test_interleave_gives_common_prefixes():
 
 # --- 6 line dedup
 
-def brute_lines(rows, min_lines=3, min_words=50):
+def brute_lines(rows, min_lines=3, min_words=50, line_words=None):
     """Rows in order -> (text, removed): straight from the definition."""
     seen, out = set(), []
     for t in rows:
@@ -208,6 +208,10 @@ def brute_lines(rows, min_lines=3, min_words=50):
         at = [(i, x) for i, x in at if x]
         gone = set()
         for k in range(len(at)):
+            if line_words and len(re.findall(r"[^ \t\x0B\f\r]+", at[k][1])) >= line_words:
+                if at[k][1] in seen:
+                    gone.add(at[k][0])
+                seen.add(at[k][1])
             words = 0
             for m in range(k, min(k + min_lines, len(at))):
                 words += len(re.findall(r"[^ \t\x0B\f\r]+", at[m][1]))
@@ -248,13 +252,14 @@ def line_texts(seed, n=300, vocab=25):
                       for _ in range(rng.randrange(0, 14))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("line_words", [None, 4])
 @pytest.mark.parametrize("seed, vocab, hot", [(1, 25, 10_000), (2, 8, 1), (4, 3, 10_000)])
-def test_lines_equal_brute_force(spark, monkeypatch, seed, vocab, hot):
+def test_lines_equal_brute_force(spark, monkeypatch, seed, vocab, hot, line_words):
     monkeypatch.setattr(linededup, "HOT_LEAST", hot)  # 1: every repeated fingerprint is joined by broadcast
     texts = line_texts(seed, vocab=vocab)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.dedup_lines(df, n_removed="gone").collect()}
-    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.dedup_lines(df, n_removed="gone", line_words=line_words).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, line_words=line_words)
 
 
 def test_fingerprints_are_selected_positions(spark):
