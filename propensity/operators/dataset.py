@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,34 +73,49 @@ def _literal(value, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
+def _day(col: str, kind: T.DataType) -> Column | None:
+    """The number of a time's day, in the order of the times themselves: of an instant in UTC, whatever
+    clock changes the session's zone has.  None for other types."""
+    if isinstance(kind, T.TimestampType):
+        return F.floor(F.unix_micros(col) / F.lit(86_400_000_000)).cast("long")
+    return F.unix_date(F.col(col).cast("date")) if isinstance(kind, (T.TimestampNTZType, T.DateType)) else None
+
+
 def time_split(df: DataFrame, ts: str = "as_of", key: str = "lead_id", test_fraction: float = TEST_FRACTION,
                partitions: int | None = None) -> DataFrame:
     """Adds ``split``: the first floor(n * (1 - test_fraction)) rows in (ts, key)
     order are 'train', the rest 'test' (ties in ts broken by key, which must be unique among them;
     a null comes first, as in a sort).
 
-    The cut is selected by counting: rows per ts (partial aggregates), prefix sums over these
-    counts up to the ts where the cut falls, and, among the rows of that one ts only, the key
-    of the last training row.  Only (ts, count) rows and the keys of one ts are ordered; two values reach
-    the driver and the split is a comparison on each row."""
-    counts = df.groupBy(F.col(ts).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
-    sums = prefix_sums(counts, ["ts"], ["n"], partitions)
-    cut = F.floor(F.col("total") * F.lit(1.0 - test_fraction))
-    found = sums.select("*", _plain("ts", df.schema[ts].dataType).alias("value"), sums.agg(F.sum("n").alias("total")).scalar().alias("total")).withColumn("cut", cut)
+    The cut is selected by counting: rows per day (partial aggregates; there are at most as many
+    days as the calendar has), summed up to the day where the cut falls, and, among the rows of that one
+    day only, the (ts, key) of the last training row.  Where ``ts`` is no time its values are counted
+    instead, with distributed prefix sums.  Only counts and the (ts, key) of one day are ordered; one
+    position reaches the driver and the split is a comparison on each row."""
+    kind, key_kind = df.schema[ts].dataType, df.schema[key].dataType
+    span = _day(ts, kind)
+    counts = df.groupBy((F.col(ts) if span is None else span).alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    if span is None:
+        span = F.col(ts)
+        sums = prefix_sums(counts, ["span"], ["n"], partitions)
+        sums = sums.withColumn("total", sums.agg(F.sum("n").alias("total")).scalar())
+    else:
+        before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before_n"),
+                             F.sum("n").over(Window.partitionBy()).alias("total"))
+    found = sums.withColumn("cut", F.floor(F.col("total") * F.lit(1.0 - test_fraction)))
     at = found.where((F.col("_before_n") < F.col("cut")) & (F.col("_before_n") + F.col("n") >= F.col("cut"))).first()
     if at is None or at["cut"] >= at["total"]:  # no training rows, or only such
         return df.withColumn("split", F.lit("test" if at is None else "train"))
-    t, last = F.col(ts), _literal(at["value"], df.schema[ts].dataType)
-    train = F.coalesce(t < last, t.isNull() & F.lit(at["value"] is not None))
-    rest = at["cut"] - at["_before_n"]
+    rest, t = at["cut"] - at["_before_n"], F.col(ts)
     if rest == at["n"]:
-        train = train | t.eqNullSafe(last)
+        train = F.coalesce(span <= F.lit(at["span"]), t.isNull())
     else:
-        tied = global_rank(df.where(t.eqNullSafe(last)).select(key), [key], partitions=partitions)
-        kind = df.schema[key].dataType
-        bound = tied.where(F.col("_rank") == rest).select(_plain(key, kind).alias("value")).first()["value"]
-        first = F.coalesce(F.col(key) <= _literal(bound, kind), F.col(key).isNull())
-        train = train | (t.eqNullSafe(last) & first)
+        ranked = global_rank(df.where(span.eqNullSafe(F.lit(at["span"]))).select(ts, key), [ts, key], partitions=partitions)
+        last = ranked.where(F.col("_rank") == rest).select(_plain(ts, kind).alias("t"), _plain(key, key_kind).alias("k")).first()
+        here = _literal(last["t"], kind)
+        earlier = F.coalesce(t < here, t.isNull() & F.lit(last["t"] is not None))
+        train = earlier | (t.eqNullSafe(here) & F.coalesce(F.col(key) <= _literal(last["k"], key_kind), F.col(key).isNull()))
     return df.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
 
 # Session settings this workload wants; each is applied only where the deployment
 # (spark-submit --conf, spark-defaults) has not set it already.
@@ -79,11 +85,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark).rstrip("/")
+    """A path under the shared checkpoint folder, or the open scope's folder in it, for
+    written intermediate tables."""
+    base = (_SCOPE.get() or checkpoint_dir(spark)).rstrip("/")
     return f"{base}/{name}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder for the intermediate tables that operators write inside the scope, deleted at
+    its end, after an error too.
+
+    Results are lazy and read these tables: write or collect them inside.  Scopes may be nested, an
+    inner one ends on its own; each thread has its own.  Without a scope the tables stay, and so do
+    Spark's checkpoints unless the deployment sets ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    from propensity.sources import files
+    folder = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    outer = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(outer)
+        files.remove(spark, folder)
+
+
 def checkpoint(df, eager: bool = True):
     """``df.checkpoint`` into the shared folder (resolved first, so a session that
     was built elsewhere works too).  Reliable: survives executor loss."""

@@ -67,6 +67,12 @@ def first_line(spark: SparkSession, path: str, charset: str = "UTF-8") -> str |
     return None
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or a whole folder; False where there is none."""
+    fs, p = _path(spark, path)
+    return fs.delete(p, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return first_line(spark, path) or ""
 

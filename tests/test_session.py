@@ -66,3 +66,40 @@ def test_a_cluster_must_name_a_folder(monkeypatch, master):
     Session.sparkContext.master = master
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_scratch_scope_deletes_its_tables(spark):
+    from propensity.session import checkpoint_dir, scratch_path, scratch_scope
+    from propensity.sources import files
+
+    def table(n):
+        path = scratch_path(spark, f"t{n}")
+        spark.range(n).write.parquet(path)
+        return path
+
+    base = checkpoint_dir(spark)
+    with scratch_scope(spark) as outer:
+        kept = table(5)
+        with pytest.raises(ZeroDivisionError), scratch_scope(spark, "inner") as inner:
+            lost = table(7)
+            assert lost.startswith(inner) and inner.startswith(outer) and outer.startswith(base)
+            1 / 0
+        assert files.names(spark, inner) == [] and spark.read.parquet(kept).count() == 5
+        assert scratch_path(spark, "x") == f"{outer}/x"
+    assert files.names(spark, outer) == [] and scratch_path(spark, "x") == f"{base}/x"
+    assert not files.remove(spark, outer)
+
+
+def test_scratch_scope_around_an_operator(spark):
+    """An update stages its partitions inside the scope and leaves nothing but its result."""
+    from propensity.operators import joins
+    from propensity.session import checkpoint_dir, scratch_path, scratch_scope
+    target = scratch_path(spark, f"scoped-{os.urandom(8).hex()}")
+    spark.range(20).selectExpr("id", "id % 4 as part", "0 as v").write.partitionBy("part").parquet(target)
+    before = set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    with scratch_scope(spark):
+        changes = spark.range(3).selectExpr("id", "9 as v")
+        assert len(joins.update_partitions(spark, target, changes, "id", ["v"], ("part",))) == 3
+    assert spark.read.parquet(target).where("v = 9").count() == 3
+    left = set(os.listdir(checkpoint_dir(spark).removeprefix("file:"))) - before
+    assert not any(n.startswith(("run-", "update-")) for n in left)
