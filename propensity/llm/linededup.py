@@ -36,7 +36,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _words(t: Column) -> Column:
+    """Number of words of a trimmed line.  Lines with single spaces only, which most are, are
+    counted without the pattern."""
+    odd = reduce(or_, [F.contains(t, F.lit(c)) for c in ("  ", *SPACES[1:])])
+    return F.when(odd, F.regexp_count(t, F.lit(WORD))).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int,
                  line_words: int | None = None) -> DataFrame:
     """One row per selected position: ``id, th`` (hash of the text), the fingerprint
@@ -65,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_lines: int, mi
         i.alias("pos"), F.trim(x, F.lit(SPACES)).alias("t")))
     hashed = F.transform(F.filter(trimmed, lambda x: x["t"] != ""), lambda x: F.struct(
         F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit("second"), x["t"]).alias("g"), x["pos"].alias("pos"),
-        F.least(F.regexp_count(x["t"], F.lit(WORD)), F.lit(min_words)).alias("w")))
+        F.least(_words(x["t"]), F.lit(min_words)).alias("w")))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), hashed.alias("l"))
     reach = min_lines - 1
 
