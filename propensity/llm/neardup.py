@@ -6,7 +6,9 @@ pattern of its products with random hyperplanes.  Buckets are compared in blocks
 holds at most two parts of ``BLOCK`` nodes, multiplies them as matrices in double precision,
 and returns for each node the number of linked vectors and one link towards the smallest
 node that it reaches, so a dense group of any size yields rows, not pairs.  A pair that
-meets in several tables counts in the first one only.
+meets in several tables counts in the first one only.  Signatures are computed once, into a
+written table; a row is shipped with its vector as wide as it was given and with the codes of
+the tables up to its own, in as few bytes as the bits need.
 
 Buckets hold about ``PER_BUCKET`` nodes whatever the number of rows: the bits grow with its
 logarithm, and the number of tables with them, so that a pair exactly at the threshold is
@@ -45,8 +47,14 @@ def plan_tables(rows: int, threshold: float = THRESHOLD, miss: float = MISS, per
     return bits, math.ceil(math.log(miss) / math.log1p(-same ** bits))
 
 
+def code_width(bits: int) -> int:
+    """Bytes that hold a sign pattern: 2, 4 or 8."""
+    return 2 if bits <= 16 else 4 if bits <= 32 else 8
+
+
 def signatures(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """Adds ``codes``: one sign pattern for each table, as longs in bytes."""
+    """Adds ``codes``: one sign pattern for each table, ``code_width(bits)`` bytes each."""
+    kind = f"<u{code_width(bits)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -60,13 +68,13 @@ def signatures(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame
                 own = np.flatnonzero(dims == dim)
                 signs = matrix(t["vec"].take(own), dim) @ planes[dim] > 0
                 for i, row in zip(own, signs.reshape(-1, tables, bits) @ weights):
-                    codes[i] = row.astype("<i8").tobytes()
+                    codes[i] = row.astype(kind).tobytes()
             yield from t.append_column("codes", pa.array(codes.tolist(), pa.binary())).to_batches()
 
     return nodes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + ", codes binary")
 
 
-def _compare(threshold: float, tables: int):
+def _compare(threshold: float, width: int):
     def links(t: pa.Table) -> pa.Table | None:
         n = len(t)
         if n < 2:
@@ -75,7 +83,7 @@ def _compare(threshold: float, tables: int):
         order = np.argsort(t["node"].to_numpy(), kind="stable")
         node, m, own = (t[c].to_numpy()[order] for c in ("node", "m", "own"))
         u = unit(matrix(t["vec"].take(order), dim))
-        codes = np.frombuffer(b"".join(t["codes"].take(order).to_pylist()), dtype="<i8").reshape(n, tables)
+        codes = np.frombuffer(b"".join(t["codes"].take(order).to_pylist()), dtype=f"<u{width}").reshape(n, table + 1)
         near = np.triu(u @ u.T >= threshold, 1)
         if t["bi"][0].as_py() != t["bj"][0].as_py():
             near &= own[:, None] != own[None, :]
@@ -99,11 +107,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     nodes = vecs.groupBy("ka", "kb").agg(F.count("*").alias("m"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bits, tables = plan_tables(nodes.count(), threshold, miss, per_bucket)
-    coded = signatures(nodes.select("node", "m", "dim", "vec"), bits, tables, seed)
-    code = F.expr("substring(codes, 8 * t + 1, 8)")
-    rows = coded.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", F.xxhash64("dim", code))
+    coded = written(signatures(nodes.select("node", "m", "dim", "vec"), bits, tables, seed), "signatures")
+    width = code_width(bits)
+    rows = coded.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+    rows = rows.withColumn("code", F.xxhash64("dim", F.expr(f"substring(codes, {width} * t + 1, {width})")))
+    rows = rows.withColumn("codes", F.expr(f"substring(codes, 1, {width} * (t + 1))"))  # those that tell earlier meetings
     rows = blocked(rows, ["t", "code"], block, F.col("node"))
-    found = written(per_group(rows, ["t", "code", "bi", "bj"], _compare(threshold, tables),
+    found = written(per_group(rows, ["t", "code", "bi", "bj"], _compare(threshold, width),
                               "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("node <> root"), "node", "root")
