@@ -84,7 +84,7 @@ def search_hyperparameters(train: DataFrame, param_grid: dict | None = None, cv_
     points = [{**{k: base[k] for k in TUNABLE}, **p} for p in sample_param_maps(grid, n_iter, seed)]
     folds = stratified_folds(_prepared(train, label, None), cv_folds, label, key)
     data = assemble_features(feature_columns).transform(binned(folds, feature_columns)).select("_label", "fold", "features")
-    data = checkpoint(sized_for_training(data)).persist()  # written: a lost executor costs a read
+    data = checkpoint(sized_for_training(data, rows=folds.count())).persist()  # written: a lost executor costs a read
     try:
         sizes = {r["fold"]: (r["n"], int(r["pos"])) for r in data.groupBy("fold").agg(
             F.count(F.lit(1)).alias("n"), F.sum("_label").alias("pos")).collect()}
