@@ -359,13 +359,22 @@ def feature_failures(leads: DataFrame, events: DataFrame, catalogue: Catalogue,
 
 REQUEST_SALTS = 16
 
+# Requests of more leads are not broadcast: with their salts they are some tens of megabytes.
+REQUEST_BROADCAST_ROWS = 20_000
 
-def requested_events(events: DataFrame, leads: DataFrame, salts: int = REQUEST_SALTS) -> DataFrame:
+
+def requested_events(events: DataFrame, leads: DataFrame, salts: int = REQUEST_SALTS,
+                     broadcast_rows: int = REQUEST_BROADCAST_ROWS) -> DataFrame:
     """Events of the requested leads.  The semi join is salted: a request is repeated for
     each of ``salts`` parts of its lead's events, so a lead with a third of all events is
-    spread over as many tasks; a small request side is broadcast by adaptive execution."""
+    spread over as many tasks; a small request side is broadcast by Spark's size check.
+
+    That check goes by the files the leads come from, packed and without the ``salts`` copies, and
+    so would broadcast millions of rows too: the requested leads are counted, and many are sort-merged."""
     salt = F.pmod(F.xxhash64("occurred_at", "event_type", "event_name", "session_id"), F.lit(salts))
     ids = leads.select("lead_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    if leads.count() > broadcast_rows:
+        ids = ids.hint("merge")
     return events.withColumn("_salt", salt.cast("bigint")).join(ids, ["lead_id", "_salt"], "left_semi").drop("_salt")
 
 

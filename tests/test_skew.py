@@ -70,3 +70,14 @@ def test_salted_plan_without_broadcast(spark):
             assert df.count() == 205
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_many_requested_leads_are_not_broadcast(spark, tmp_path):
+    from propensity.operators.features import _events_for_features, requested_events
+    ev = _events_for_features(skewed_events(spark))
+    spark.range(300).withColumnRenamed("id", "lead_id").write.parquet(str(tmp_path / "leads"))
+    leads = spark.read.parquet(str(tmp_path / "leads"))  # a file of a few hundred bytes
+    plans = [requested_events(ev, leads, broadcast_rows=n) for n in (299, 300)]
+    many, few = (p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert "SortMergeJoin" in many and "BroadcastHashJoin" not in many and "BroadcastHashJoin" in few
+    assert plans[0].count() == plans[1].count() == ev.where("lead_id < 300").count()
